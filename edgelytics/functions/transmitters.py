@@ -45,10 +45,9 @@ def drop_probabilities(df: DataFrame) -> DataFrame:
     return df.drop(*NT_COLUMNS)
 
 
-def nt_tokens(text: Column | str, keep_blank: bool = False) -> Column:
-    """Split a dominant-NT text into its trimmed labels; blanks go unless asked for."""
-    tokens = F.transform(F.split(text, ","), F.trim)
-    return tokens if keep_blank else F.filter(tokens, lambda token: token != "")
+def nt_tokens(text: Column | str) -> Column:
+    """Split a dominant-NT text into its trimmed, non-blank labels."""
+    return F.filter(F.transform(F.split(text, ","), lambda token: F.trim(token)), lambda token: token != "")
 
 
 def explode_nt(df: DataFrame, include_unassigned: bool = False) -> DataFrame:
@@ -56,8 +55,9 @@ def explode_nt(df: DataFrame, include_unassigned: bool = False) -> DataFrame:
 
     With `include_unassigned`, rows whose text is empty appear under the label "".
     """
-    tokens = nt_tokens("dominant_nt", keep_blank=include_unassigned)
-    return df.select("*", F.explode(tokens).alias("nt"))
+    exploded = df.select("*", F.explode(F.split("dominant_nt", ",")).alias("nt"))
+    labelled = exploded.withColumn("nt", F.trim("nt"))
+    return labelled if include_unassigned else labelled.where("nt <> ''")
 
 
 def is_tied(text: Column | str = "dominant_nt") -> Column:

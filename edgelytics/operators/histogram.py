@@ -141,11 +141,12 @@ def syn_quantiles(cube: DataFrame, quantiles: list[float]) -> DataFrame:
     return values.select(F.inline(F.array(*rows)))
 
 
-def unique_counts(connections: DataFrame) -> DataFrame:
+def unique_counts(connections: DataFrame, cube: DataFrame | None = None) -> DataFrame:
     """Exact distinct counts of senders, receivers, their union, and regions.
 
     Each neuron is reduced map-side to one row that says in which roles it occurs,
-    so the three id counts cost one shuffle of distinct ids.
+    so the three id counts cost one shuffle of distinct ids. Regions are counted in
+    the cube if there is one.
     """
     roles = F.array(
         F.struct(F.col("pre_pt_root_id").alias("id"), F.lit(1).alias("pre"), F.lit(0).alias("post")),
@@ -159,7 +160,7 @@ def unique_counts(connections: DataFrame) -> DataFrame:
         F.lit(0).cast("bigint").alias("neuropil"),
     )
     zero = [F.lit(0).cast("bigint").alias(c) for c in ids.columns[:3]]
-    regions = connections.agg(*zero, F.countDistinct("neuropil").alias("neuropil"))
+    regions = (connections if cube is None else cube).agg(*zero, F.countDistinct("neuropil").alias("neuropil"))
     return ids.union(regions).agg(
         *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in ids.columns]
     )

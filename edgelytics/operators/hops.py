@@ -11,6 +11,7 @@ shuffled, and AQE splits the partitions of hub neurons on either side.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,7 @@ from edgelytics.session import broadcast_if_small, materialize
 MAX_HOPS = 5
 DOWNSTREAM = ("src", "dst")
 UPSTREAM = ("dst", "src")
-_CARRIED = ["syn_count", "neuropil", "dominant_nt", "dominant_score"]
+PATH_ATTRIBUTES = ["syn_count", "neuropil", "dominant_nt", "dominant_score"]
 
 
 def check_hops(k: int, max_hops: int | None = MAX_HOPS) -> int:
@@ -38,7 +39,8 @@ def _node(hop: int) -> str:
 
 
 def _step(edges: DataFrame, far: str, hop: int) -> list[Column]:
-    return [F.col(far).alias(_node(hop)), *[F.col(c).alias(f"{c}_{hop}") for c in _CARRIED]]
+    attributes = [c for c in edges.columns if c not in DOWNSTREAM]
+    return [F.col(far).alias(_node(hop)), *[F.col(c).alias(f"{c}_{hop}") for c in attributes]]
 
 
 def _extend(trails: DataFrame, edges: DataFrame, hop: int, near: str, far: str) -> DataFrame:
@@ -61,14 +63,16 @@ def trails(
     k: int,
     flt: EdgeFilter = ALL_EDGES,
     direction: tuple[str, str] = DOWNSTREAM,
+    attributes: Sequence[str] = PATH_ATTRIBUTES,
 ) -> list[DataFrame]:
     """The trails of each length 1..k away from the roots, one flat table per length.
 
-    Columns: root_id, then per hop i the node reached and the attributes of edge i.
-    Edge 1 touches the root. Lengths beyond the longest trail are left out.
+    Columns: root_id, then per hop i the node reached and the attributes of edge i,
+    which must include the region as a part of the edge key. Edge 1 touches the root.
+    Once a length has no trail, its empty table is the last one.
     """
     near, far = direction
-    usable = edges.where(flt.condition).select("src", "dst", *_CARRIED)
+    usable = edges.where(flt.condition).select("src", "dst", *attributes)
     current = edges_of(usable, roots, near).select("root_id", *_step(usable, far, 1))
     lengths = [current]
     for hop in range(2, k + 1):
@@ -93,7 +97,7 @@ def as_paths(trails_of_length: DataFrame, hops: int, direction: tuple[str, str])
         F.struct(
             F.col(_node(source)).alias("source_id"),
             F.col(_node(target)).alias("target_id"),
-            *[F.col(f"{c}_{max(source, target)}").alias(c) for c in _CARRIED],
+            *[F.col(f"{c}_{max(source, target)}").alias(c) for c in PATH_ATTRIBUTES],
         ).cast(PATH_EDGE)
         for source, target in ends
     ]
@@ -157,17 +161,16 @@ def path_preview(paths: DataFrame) -> DataFrame:
 def _two_hop(
     edges: DataFrame, roots: Roots, flt: EdgeFilter, direction: tuple[str, str], names: list[str]
 ) -> DataFrame:
-    by_length = trails(edges, roots, 2, flt, direction)
-    # With an empty first hop there is no second one: extend nothing to get the columns.
-    chains = by_length[1] if len(by_length) == 2 else _extend(by_length[0], edges, 2, *direction)
-    outer_first = dict(zip(names, ["node_1", "node_2"], strict=True))
-    return chains.select(
+    attributes = ["syn_count", "neuropil"]
+    by_length = trails(edges, roots, 2, flt, direction, attributes)
+    if len(by_length) == 1:  # no first hop, so this has the right columns and no rows
+        by_length.append(_extend(by_length[0], edges.select("src", "dst", *attributes), 2, *direction))
+    first, second = names
+    return by_length[1].select(
         "root_id",
-        *[F.col(node).alias(name) for name, node in outer_first.items()],
-        "syn_count_1",
-        "syn_count_2",
-        "neuropil_1",
-        "neuropil_2",
+        F.col("node_1").alias(first),
+        F.col("node_2").alias(second),
+        *[f"{c}_{hop}" for c in attributes for hop in (1, 2)],
     )
 
 
@@ -209,19 +212,17 @@ def k_hop_nodes(
         "root_id", F.col("far").alias("node_id")
     )
     touched = start.distinct()
+    rows = 0
     if k > 1:
-        touched = materialize(touched, "nodes-1").df
+        touched, rows = materialize(touched, "nodes-1")
     itself = touched.select("root_id", F.col("root_id").alias("node_id")).distinct()
     levels = [itself, touched.where("node_id <> root_id")]
     for hop in range(2, k + 1):
         if hop > 2:
-            stored = materialize(levels[-1], f"nodes-{hop - 1}")
-            levels[-1] = stored.df
-            if stored.rows == 0:
-                break
-            frontier = broadcast_if_small(*stored)
-        else:
-            frontier = broadcast_if_small(levels[-1])
+            levels[-1], rows = materialize(levels[-1], f"nodes-{hop - 1}")
+        if rows == 0:
+            break
+        frontier = broadcast_if_small(levels[-1], rows)
         reached = frontier.join(_both_ways(usable), F.col("node_id") == F.col("near"))
         reached = reached.select("root_id", F.col("far").alias("node_id")).distinct()
         known = levels[-2].union(levels[-1])
@@ -252,10 +253,20 @@ def circuit(
     )
 
 
-def circuit_document(connections: DataFrame) -> DataFrame:
-    """Circuit rows nested as one document per root: circuits[0].connections[]."""
-    connection = F.struct(*[c for c in connections.columns if c != "root_id"])
-    nested = connections.groupBy("root_id").agg(
-        F.sort_array(F.collect_list(connection)).alias("connections")
+def circuit_documents(connections: DataFrame, piece_rows: int = 10_000) -> DataFrame:
+    """Circuit rows nested as documents, as (root_id, piece, circuits[0].connections[]).
+
+    A circuit of up to `piece_rows` connections is one document. A larger one is
+    spread by hash over pieces of about that size, so no task gathers a whole hub.
+    """
+    columns = [c for c in connections.columns if c != "root_id"]
+    stored = materialize(connections, "circuit").df
+    sizes = stored.groupBy("root_id").agg(
+        F.ceil(F.count("*") / F.lit(piece_rows)).alias("pieces")
+    )
+    piece = F.pmod(F.xxhash64(*columns), F.col("pieces")).cast("int").alias("piece")
+    spread = stored.join(sizes, "root_id").select("root_id", piece, F.struct(*columns).alias("row"))
+    nested = spread.groupBy("root_id", "piece").agg(
+        F.sort_array(F.collect_list("row")).alias("connections")
     )
-    return nested.select("root_id", F.array(F.struct("connections")).alias("circuits"))
+    return nested.select("root_id", "piece", F.array(F.struct("connections")).alias("circuits"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgelytics.functions.filters import ALL_EDGES, EdgeFilter
 from edgelytics.schema import NEURONS, NT_COLUMNS
-from edgelytics.session import broadcast_if_small
+from edgelytics.session import broadcast_if_small, materialize
 
 Roots = DataFrame | Sequence[int] | None
 
@@ -30,8 +30,10 @@ def edges_of(edges: DataFrame, roots: Roots, end: str) -> DataFrame:
         if len(ids) <= LITERAL_IDS:
             return edges.where(F.col(end).isin(ids)).withColumn("root_id", F.col(end))
         roots = edges.sparkSession.createDataFrame([(r,) for r in ids], NEURONS)
-    wanted = roots.select("root_id").distinct()
-    return edges.join(broadcast_if_small(wanted), F.col(end) == F.col("root_id"))
+    # Roots are often the result of a large query: written once, they are counted and
+    # used without running it again.
+    wanted = materialize(roots.select("root_id").distinct(), "roots")
+    return edges.join(broadcast_if_small(*wanted), F.col(end) == F.col("root_id"))
 
 
 def _partners(edges: DataFrame, roots: Roots, near: str, far: str, flt: EdgeFilter) -> DataFrame:
@@ -62,6 +64,11 @@ def strongest_first(partners: DataFrame) -> DataFrame:
     return partners.orderBy("root_id", F.desc("syn_count"), "partner_id", "neuropil")
 
 
+def preview(partners: DataFrame, n: int = 5) -> DataFrame:
+    """The first `n` rows of a partner listing."""
+    return strongest_first(partners).limit(n)
+
+
 def outgoing_edges(edges: DataFrame, roots: Roots = None) -> DataFrame:
     """Every outgoing edge of the roots, unfiltered."""
     return edges_of(edges, roots, "src").select(

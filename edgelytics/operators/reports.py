@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from edgelytics.schema import NT_LABELS
 
-# A row cap up to this size is taken by sorting; beyond it, a cut-off is searched first.
-SORTED_CAP = 100_000
+# A range of at most this many rows may be sorted in one task to apply a row cap.
+SORTED_ROWS = 100_000
 _SLICES = 4_096
 
 
@@ -67,38 +67,28 @@ def schema_report(df: DataFrame) -> DataFrame:
 
 
 def first_n_rows(df: DataFrame, n: int, ord_column: str = "ord") -> DataFrame:
-    """The n rows that come first by `ord_column`, ties by the other columns.
+    """The n rows that come first by `ord_column` (not null), ties by the other columns.
 
-    A large cap never gathers its rows in one task: see `_cutoff`.
+    Counting narrows the range in which the n-th row lies until it holds few rows. Rows
+    before the range are taken as they are; only the range itself is sorted in one
+    task, so the cap may be as large as the table. Only counts reach the driver.
     """
-    order = [ord_column, *[c for c in df.columns if c != ord_column]]
-    if n <= SORTED_CAP:
-        return df.orderBy(*order).limit(n)
-    cut = _cutoff(df.select(F.col(ord_column).alias("ord")), n)
-    if cut is None:
-        return df
-    last, missing = cut
-    tied = df.where(F.col(ord_column) == last).orderBy(*order).limit(missing)
-    return df.where(F.col(ord_column) < last).union(tied)
-
-
-def _cutoff(ords: DataFrame, n: int) -> tuple[int, int] | None:
-    """The n-th smallest order value and how many rows of that value are needed.
-
-    Repeatedly counts rows in up to 4,096 equal slices of the range that holds the
-    n-th value. Only slice counts reach the driver.
-    """
-    low, high, rows = ords.agg(F.min("ord"), F.max("ord"), F.count("ord")).first()
+    position = F.col(ord_column)
+    low, high, rows = df.agg(F.min(position), F.max(position), F.count(position)).first()
+    before = 0
     if rows <= n:
-        return None
-    while low < high:
+        return df
+    while rows > SORTED_ROWS and low < high:
         width = -(-(high - low + 1) // _SLICES)
-        slices = ords.where(F.col("ord").between(low, high)).groupBy(
-            F.expr(f"(ord - {low}) div {width}").alias("slice")
+        sliced = df.where(position.between(low, high)).groupBy(
+            F.expr(f"({ord_column} - {low}) div {width}").alias("slice")
         )
         running = F.sum("rows").over(W.orderBy("slice"))
-        counted = slices.agg(F.count("*").alias("rows")).withColumn("running", running)
-        hit = counted.where(F.col("running") >= n).orderBy("slice").first()
-        n -= hit["running"] - hit["rows"]
+        counted = sliced.agg(F.count("*").alias("rows")).withColumn("running", running)
+        hit = counted.where(F.col("running") >= n - before).orderBy("slice").first()
+        before += hit["running"] - hit["rows"]
+        rows = hit["rows"]
         low, high = low + hit["slice"] * width, min(high, low + (hit["slice"] + 1) * width - 1)
-    return low, n
+    order = [ord_column, *[c for c in df.columns if c != ord_column]]
+    rest = df.where(position.between(low, high)).orderBy(*order).limit(n - before)
+    return df.where(position < low).union(rest) if before else rest

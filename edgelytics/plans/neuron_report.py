@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from edgelytics.functions.filters import ALL_EDGES, EdgeFilter
 from edgelytics.operators.hops import DOWNSTREAM, UPSTREAM, check_hops, circuit, trails
+from edgelytics.session import materialize
 
 SECTIONS = (
     "presynaptic",
@@ -30,7 +31,7 @@ def neuron_report_counts(
     at different lengths, so one expansion per direction serves three sections.
     """
     check_hops(k)
-    wanted = roots.select("root_id").distinct()
+    wanted = materialize(roots.select("root_id").distinct(), "roots").df
     none = wanted.select(
         "root_id",
         F.explode(F.array(*map(F.lit, SECTIONS))).alias("section"),
@@ -41,7 +42,7 @@ def neuron_report_counts(
         (UPSTREAM, "presynaptic", "upstream"),
         (DOWNSTREAM, "postsynaptic", "downstream"),
     ):
-        by_length = trails(edges, wanted, max(k, 2), flt, direction)
+        by_length = trails(edges, wanted, max(k, 2), flt, direction, ["neuropil"])
         for hops, found in enumerate(by_length, start=1):
             sections = [partners] if hops == 1 else [f"two_hop_{way}"] if hops == 2 else []
             if hops <= k:

@@ -94,6 +94,53 @@ PATH_EDGE = T.StructType(
     )
 )
 
+HISTOGRAM = T.ArrayType(
+    T.StructType(_fields(("syn_count", T.IntegerType()), ("count", T.LongType())))
+)
+_COUNTED = _fields(("total_pairs", T.LongType()), ("histogram", HISTOGRAM))
+_BY_NT = T.MapType(T.StringType(), T.StructType(_COUNTED))
+
+# The dashboard summary document.
+SUMMARY_DOCUMENT = T.StructType(
+    _fields(
+        ("input", T.StringType()),
+        ("max_rows", T.LongType()),
+        ("total_rows", T.LongType()),
+        ("neurotransmitters", T.ArrayType(T.StringType())),
+        (
+            "unique",
+            T.StructType(
+                _fields(
+                    ("pre_pt_root_id", T.LongType()),
+                    ("post_pt_root_id", T.LongType()),
+                    ("neuron_ids_union", T.LongType()),
+                    ("neuropil", T.LongType()),
+                )
+            ),
+        ),
+        (
+            "syn_count",
+            T.StructType(
+                _fields(
+                    ("min", T.IntegerType()),
+                    ("max", T.IntegerType()),
+                    ("median", T.IntegerType()),
+                    ("quantiles", T.MapType(T.StringType(), T.IntegerType())),
+                    ("histogram", HISTOGRAM),
+                )
+            ),
+        ),
+        (
+            "by_neuropil",
+            T.MapType(
+                T.StringType(),
+                T.StructType(_COUNTED + _fields(("by_neurotransmitter", _BY_NT))),
+            ),
+        ),
+        ("by_neurotransmitter", _BY_NT),
+    )
+)
+
 # One stored dashboard summary per dataset id.
 SUMMARY_RECORD = T.StructType(
     _fields(

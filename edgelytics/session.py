@@ -78,15 +78,9 @@ def release_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def within_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether `df` has at most `limit` rows; stops counting one row past it."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Mark `df` for broadcast if its (given or counted) rows stay within BROADCAST_ROWS.
+def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
+    """Mark `df` for broadcast if its counted rows stay within BROADCAST_ROWS.
 
     A larger table is left to a shuffle join, whose skewed keys AQE splits.
     """
-    small = rows <= BROADCAST_ROWS if rows is not None else within_rows(df)
-    return F.broadcast(df) if small else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

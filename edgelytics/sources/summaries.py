@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelytics.schema import SUMMARY_RECORD
+from edgelytics.schema import SUMMARY_DOCUMENT, SUMMARY_RECORD
 
 # Record columns and where their numbers sit in the document.
 _NUMBERS = {
@@ -34,6 +36,30 @@ def read_summary_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def parse_summary(document: DataFrame) -> DataFrame:
+    """The fields of a JSON summary document as typed columns."""
+    parsed = F.from_json("summary_json", SUMMARY_DOCUMENT, {"mode": "FAILFAST"})
+    return document.select(parsed.alias("summary")).select("summary.*")
+
+
+def summary_histograms(document: DataFrame) -> DataFrame:
+    """All histograms of a document as (neuropil, nt, syn_count, count) rows; null stands
+    for all regions or all labels."""
+    none = F.lit(None).cast("string")
+    keys, bars = ["neuropil", "nt"], F.col("histogram")
+    parsed = parse_summary(document)
+    regions = parsed.select(F.explode("by_neuropil").alias("neuropil", "found"))
+    overall = parsed.select(F.explode("by_neurotransmitter").alias("nt", "found"))
+    cells = regions.select("neuropil", F.explode("found.by_neurotransmitter").alias("nt", "found"))
+    parts = [
+        parsed.select(none.alias("neuropil"), none.alias("nt"), "syn_count.histogram"),
+        regions.select("neuropil", none.alias("nt"), "found.histogram"),
+        overall.select(none.alias("neuropil"), "nt", "found.histogram"),
+        cells.select(*keys, "found.histogram"),
+    ]
+    return reduce(DataFrame.union, parts).select(*keys, F.inline(bars))
+
+
 def _safe_int(path: str) -> Column:
     text = F.get_json_object("summary_json", path)
     whole = text.try_cast("bigint")

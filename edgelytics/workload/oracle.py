@@ -307,6 +307,13 @@ ORACLE: dict[str, str] = {
     "summary_document_gold": _with(
         "hist hist_np hist_np_nt_all ranked unique_ids", _document("hist_np_nt_all", [])
     ),
+    "summary_histograms": _with(
+        "hist hist_np hist_np_nt",
+        """select null::varchar as neuropil, null::varchar as nt, syn_count, count from hist
+        union all select neuropil, null, syn_count, count from hist_np
+        union all select null, nt, syn_count, sum(count)::bigint from hist_np_nt group by nt, syn_count
+        union all select neuropil, nt, syn_count, count from hist_np_nt""",
+    ),
     "summary_record_columns": _with(
         "hist ranked unique_ids",
         f"""select 'whole' as dataset_id, 'connections' as input,
@@ -395,6 +402,12 @@ ORACLE: dict[str, str] = {
         union all select dst, src, {_PARTNER}, 'pre' from edges
         where syn_count >= 0 and dst = {_TOP.format(1)}""",
     ),
+    "top_neuron_preview": _with(
+        "edges",
+        f"""select src as root_id, dst as partner_id, {_PARTNER} from edges
+        where syn_count >= 0 and src = {_TOP.format(1)}
+        order by syn_count desc, dst, neuropil limit 5""",
+    ),
     "two_hop_upstream": _with(
         "edges",
         """select e1.dst as root_id, e1.src as pre1_id, e2.src as pre2_id, e1.syn_count as syn_count_1,

@@ -27,6 +27,7 @@ from edgelytics.plans.neuron_report import neuron_report_counts
 from edgelytics.plans.summary import summary_document
 from edgelytics.schema import CONNECTIONS, CUBE, GOLD, NT_COLUMNS, NT_LABELS
 from edgelytics.session import materialize, scratch_path
+from edgelytics.sources import summaries
 from edgelytics.sources.arrow_ipc import read_ipc
 from edgelytics.sources.gold import read_gold, write_gold
 from edgelytics.sources.graph import upsert_graph, write_graph
@@ -152,8 +153,8 @@ def edges_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = hg.unique_counts(connections(spark, sf_dir))
-    return summary_document(stored_cube(spark, sf_dir), ids, INPUT_NAME)
+    counted = stored_cube(spark, sf_dir)
+    return summary_document(counted, hg.unique_counts(connections(spark, sf_dir), counted), INPUT_NAME)
 
 
 @query
@@ -164,9 +165,15 @@ def summary_document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def summary_document_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = hg.unique_counts(connections(spark, sf_dir))
-    stored = stored_cube(spark, sf_dir)
-    return summary_document(stored, ids, INPUT_NAME, quantiles=None, include_unassigned=True)
+    counted = stored_cube(spark, sf_dir)
+    ids = hg.unique_counts(connections(spark, sf_dir), counted)
+    return summary_document(counted, ids, INPUT_NAME, quantiles=None, include_unassigned=True)
+
+
+@query
+def summary_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_summary_json(_summary(spark, sf_dir), scratch_path(spark, "summary"))
+    return summaries.summary_histograms(read_summary_json(spark, path))
 
 
 @query
@@ -317,12 +324,18 @@ def presynaptic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def top_neuron_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = graph(spark, sf_dir).edges
-    target = eg.top_out_degree(stored, 1)
+    target = materialize(eg.top_out_degree(stored, 1), "target").df
     sent = partners.postsynaptic(stored, target).withColumn("side", F.lit("post"))
     received = partners.presynaptic(stored, target).withColumn("side", F.lit("pre"))
     return sent.union(received)
 
 
+@query
+def top_neuron_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = graph(spark, sf_dir).edges
+    return partners.preview(partners.postsynaptic(stored, eg.top_out_degree(stored, 1)), 5)
+
+
 @query
 def two_hop_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = graph(spark, sf_dir).edges
@@ -389,7 +402,7 @@ def circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def circuit_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = graph(spark, sf_dir).edges
     found = hops.circuit(stored, k=1, flt=EdgeFilter(threshold=40, neuropil="a_f"))
-    nested = hops.circuit_document(found)
+    nested = hops.circuit_documents(found)
     return nested.select("root_id", F.to_json(F.struct("circuits")).alias("document"))
 
 
