@@ -266,7 +266,8 @@ def circuit_documents(connections: DataFrame, piece_rows: int = 10_000) -> DataF
     )
     piece = F.pmod(F.xxhash64(*columns), F.col("pieces")).cast("int").alias("piece")
     spread = stored.join(sizes, "root_id").select("root_id", piece, F.struct(*columns).alias("row"))
-    nested = spread.groupBy("root_id", "piece").agg(
+    # The join has put each root into one partition; its pieces go to different ones.
+    nested = spread.repartition("root_id", "piece").groupBy("root_id", "piece").agg(
         F.sort_array(F.collect_list("row")).alias("connections")
     )
     return nested.select("root_id", "piece", F.array(F.struct("connections")).alias("circuits"))

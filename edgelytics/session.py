@@ -25,13 +25,18 @@ class Stored(NamedTuple):
 
 
 def get_session(app_name: str = "edgelytics", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators count on (all Spark defaults but the time zone)."""
+    """A session with the settings the operators count on.
+
+    All are Spark's defaults but two: UTC, and splitting a skewed join partition even
+    where the next step then needs a shuffle of its own.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
     } | conf

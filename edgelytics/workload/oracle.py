@@ -303,7 +303,7 @@ ORACLE: dict[str, str] = {
           select *, 0 as load from ({_connections(FIRST_LOAD)})
           union all select *, 1 from ({_connections(SECOND_LOAD)})),
         gold as ({_gold('loads')}) {_edges('gold', '(load, ord)')}""",
-    "summary_document_json": _RAW_DOCUMENT,
+    "summary_document": _RAW_DOCUMENT,
     "summary_document_gold": _with(
         "hist hist_np hist_np_nt_all ranked unique_ids", _document("hist_np_nt_all", [])
     ),
@@ -314,7 +314,7 @@ ORACLE: dict[str, str] = {
         union all select null, nt, syn_count, sum(count)::bigint from hist_np_nt group by nt, syn_count
         union all select neuropil, nt, syn_count, count from hist_np_nt""",
     ),
-    "summary_record_columns": _with(
+    "summary_record": _with(
         "hist ranked unique_ids",
         f"""select 'whole' as dataset_id, 'connections' as input,
         (select count(*) from gold) as total_rows, null::bigint as max_rows, u.*,
@@ -476,7 +476,7 @@ ORACLE: dict[str, str] = {
         where syn_count >= 1 and dominant_nt like '%Serotonin%'
         order by syn_count desc, src, dst, neuropil limit 1000""",
     ),
-    "neuron_report": _report(3, "syn_count >= 25"),
+    "neuron_report_counts": _report(3, "syn_count >= 25"),
     "out_degree": _with("edges", "select src as root_id, count(*) as out_deg from edges group by src"),
     "top_out_degree": _with(
         "edges",

@@ -23,8 +23,7 @@ from edgelytics.operators import histogram as hg
 from edgelytics.operators import hops, partners, reports, tails, whatif
 from edgelytics.operators.edges import latest_edges
 from edgelytics.operators.histogram import connection_cube
-from edgelytics.plans.neuron_report import neuron_report_counts
-from edgelytics.plans.summary import summary_document
+from edgelytics.plans import neuron_report, summary
 from edgelytics.schema import CONNECTIONS, CUBE, GOLD, NT_COLUMNS, NT_LABELS
 from edgelytics.session import materialize, scratch_path
 from edgelytics.sources import summaries
@@ -35,7 +34,6 @@ from edgelytics.sources.summaries import (
     fetch_summary,
     push_summary,
     read_summary_json,
-    summary_record,
     write_summary_json,
 )
 from edgelytics.streaming import incremental
@@ -154,11 +152,12 @@ def edges_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = stored_cube(spark, sf_dir)
-    return summary_document(counted, hg.unique_counts(connections(spark, sf_dir), counted), INPUT_NAME)
+    ids = hg.unique_counts(connections(spark, sf_dir), counted)
+    return summary.summary_document(counted, ids, INPUT_NAME)
 
 
 @query
-def summary_document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+def summary_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_summary_json(_summary(spark, sf_dir), scratch_path(spark, "summary"))
     return read_summary_json(spark, path)
 
@@ -167,7 +166,9 @@ def summary_document_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary_document_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = stored_cube(spark, sf_dir)
     ids = hg.unique_counts(connections(spark, sf_dir), counted)
-    return summary_document(counted, ids, INPUT_NAME, quantiles=None, include_unassigned=True)
+    return summary.summary_document(
+        counted, ids, INPUT_NAME, quantiles=None, include_unassigned=True
+    )
 
 
 @query
@@ -177,8 +178,8 @@ def summary_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def summary_record_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary_record(_summary(spark, sf_dir), "whole").drop("updated_at", "summary_json")
+def summary_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summaries.summary_record(_summary(spark, sf_dir), "whole").drop("updated_at", "summary_json")
 
 
 @query
@@ -417,10 +418,10 @@ def dataset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def neuron_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def neuron_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = graph(spark, sf_dir).edges
     target = eg.top_out_degree(stored, 1)
-    return neuron_report_counts(stored, target, k=3, flt=EdgeFilter(threshold=25))
+    return neuron_report.neuron_report_counts(stored, target, k=3, flt=EdgeFilter(threshold=25))
 
 
 @query

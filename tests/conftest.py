@@ -33,6 +33,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            "spark.sql.maxMetadataStringLength": "1000",
             "spark.driver.memory": "4g",
         },
     )

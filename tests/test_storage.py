@@ -1,0 +1,189 @@
+"""Stored datasets, the Arrow source, graph tables, incremental ingest."""
+
+import os
+
+import pyarrow as pa
+import pyarrow.ipc as ipc
+import pytest
+from conftest import TINY, rows
+from pyspark.sql import functions as F
+
+from edgelytics.functions.filters import EdgeFilter
+from edgelytics.functions.transmitters import with_dominant
+from edgelytics.operators import partners
+from edgelytics.operators.edges import latest_edges
+from edgelytics.operators.histogram import connection_cube
+from edgelytics.schema import CONNECTIONS, GOLD, NT_COLUMNS
+from edgelytics.session import materialize, scratch_dir, scratch_path
+from edgelytics.sources import arrow_ipc
+from edgelytics.sources.gold import read_gold, write_gold
+from edgelytics.sources.graph import read_graph, upsert_graph, write_graph
+from edgelytics.streaming import incremental
+
+# Column types that differ from the target schema on purpose.
+RAW = pa.schema(
+    [
+        ("pre_pt_root_id", pa.uint64()),
+        ("post_pt_root_id", pa.int64()),
+        ("neuropil", pa.dictionary(pa.int8(), pa.string())),
+        ("syn_count", pa.int64()),
+        *[(c, pa.float32()) for c in NT_COLUMNS],
+        ("extra", pa.string()),
+    ]
+)
+BIG_ID = 720575940624547622
+
+
+def write_ipc(path, batches=3, size=4, compression="lz4", first=0):
+    with ipc.new_file(path, RAW, options=ipc.IpcWriteOptions(compression=compression)) as writer:
+        for b in range(batches):
+            ids = [BIG_ID + first + b * size + i for i in range(size)]
+            columns = [ids, ids, ["AL_L", None] * (size // 2), [5] * size]
+            columns += [[0.5] * size] * 6 + [["x"] * size]
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, RAW, strict=True)]
+            writer.write_batch(pa.record_batch(arrays, schema=RAW))
+
+
+def test_ipc_file(spark, tmp_path):
+    write_ipc(str(tmp_path / "c.feather"))
+    df = arrow_ipc.read_ipc(spark, str(tmp_path / "c.feather"))
+    assert df.schema == CONNECTIONS
+    found = df.orderBy("ord").collect()
+    assert [r.pre_pt_root_id for r in found] == [BIG_ID + i for i in range(12)]
+    assert found[0].neuropil == "AL_L" and found[1].neuropil is None and found[0].syn_count == 5
+    assert len({r.ord for r in found}) == 12
+    narrow = arrow_ipc.read_ipc(spark, str(tmp_path / "c.feather"), ["syn_count", "neuropil"])
+    assert narrow.columns == ["syn_count", "neuropil"] and narrow.count() == 12
+    only_ord = arrow_ipc.read_ipc(spark, str(tmp_path / "c.feather"), ["ord"])
+    assert rows(only_ord) == sorted(((r.ord,) for r in found), key=repr)
+
+
+def test_ipc_folder_and_splits(spark, tmp_path, monkeypatch):
+    (tmp_path / "sub").mkdir()
+    write_ipc(str(tmp_path / "b.arrow"), first=100, compression="zstd")
+    write_ipc(str(tmp_path / "sub" / "c.ipc"), first=200, compression=None)
+    (tmp_path / "readme.txt").write_text("not data")
+    df = arrow_ipc.read_ipc(spark, str(tmp_path))
+    assert df.count() == 24 and df.select("ord").distinct().count() == 24
+    monkeypatch.setattr(arrow_ipc, "_WHOLE_FILE_BYTES", 2_000)
+    reader = arrow_ipc._IpcReader(CONNECTIONS, str(tmp_path))
+    parts = reader.partitions()
+    assert len(parts) > 2
+    read = [n for p in parts for batch in reader.read(p) for n in batch.column("ord").to_pylist()]
+    assert sorted(read) == sorted(r[0] for r in rows(df, "ord"))
+
+
+def test_ipc_errors(spark, tmp_path):
+    with pytest.raises(Exception, match="FileNotFound"):
+        arrow_ipc.read_ipc(spark, str(tmp_path / "none.feather")).count()
+    with ipc.new_file(str(tmp_path / "x.feather"), pa.schema([("syn_count", pa.int32())])) as writer:
+        writer.write_batch(pa.record_batch([pa.array([1], pa.int32())], names=["syn_count"]))
+    with pytest.raises(Exception, match="Missing columns"):
+        arrow_ipc.read_ipc(spark, str(tmp_path / "x.feather")).count()
+    with pytest.raises(Exception, match="Unknown columns"):
+        arrow_ipc.read_ipc(spark, str(tmp_path / "x.feather"), ["nope"])
+
+
+def test_gold(spark, tiny):
+    path = write_gold(tiny, scratch_path(spark, "gold"))
+    assert rows(read_gold(spark, path)) == rows(with_dominant(tiny).select(GOLD.names))
+    folders = {f for f in os.listdir(path) if f.startswith("neuropil=")}
+    assert folders == {
+        "neuropil=AL_L", "neuropil=AL_R", "neuropil=FB", "neuropil=__HIVE_DEFAULT_PARTITION__",
+    }
+    write_gold(tiny, path, max_rows=2, keep_probabilities=False)
+    narrow = read_gold(spark, path, has_probabilities=False)
+    assert narrow.count() == 2 and not set(NT_COLUMNS) & set(narrow.columns)
+
+
+def test_numeric_looking_regions_stay_text(spark, tiny):
+    path = write_gold(tiny.withColumn("neuropil", F.lit("007")), scratch_path(spark, "gold"))
+    assert read_gold(spark, path).select("neuropil").distinct().first()[0] == "007"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gold_pairs_read_one_region(spark, tiny):
+    path = write_gold(tiny, scratch_path(spark, "gold"))
+    pairs = partners.gold_pairs(read_gold(spark, path), EdgeFilter(3, None, "al_l"), limit=10)
+    assert [r.syn_count for r in pairs.collect()] == [9, 7, 5]
+    scan = plan(pairs)
+    assert "PartitionFilters: [(lower(coalesce(neuropil" in scan
+    assert "GreaterThanOrEqual(syn_count,3)" in scan and "gaba_avg" not in scan
+
+
+def test_hot_region_is_spread_over_files(spark):
+    ids = spark.range(0, 60_000, 1, 8).withColumnRenamed("id", "ord")
+    probabilities = [F.rand(1).alias(c) for c in NT_COLUMNS]
+    df = ids.select(
+        "ord",
+        F.col("ord").alias("pre_pt_root_id"),
+        F.xxhash64("ord").alias("post_pt_root_id"),
+        F.when(F.col("ord") % 2 == 0, "hot").otherwise(F.concat(F.lit("r"), F.col("ord") % 40)).alias(
+            "neuropil"
+        ),
+        (F.col("ord") % 9).cast("int").alias("syn_count"),
+        *probabilities,
+    )
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        path = write_gold(df, scratch_path(spark, "gold"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = [f for f in os.listdir(f"{path}/neuropil=hot") if f.endswith(".parquet")]
+    assert len(files) > 3
+    assert read_gold(spark, path).count() == 60_000
+
+
+def test_graph_tables(spark, tiny):
+    graph = write_graph(tiny, scratch_path(spark, "graph"), mirror=True)
+    assert rows(graph.edges) == rows(latest_edges(tiny)) == rows(graph.edges_by_dst)
+    assert graph.neurons.count() == 5 and rows(graph.rejects) == [TINY[-1]]
+    lookup = partners.postsynaptic(graph.edges, [1, 2])
+    assert "In(src, [1,2])" in plan(lookup) and "Exchange" not in plan(lookup)
+    later = spark.createDataFrame([(1, 9, 1, "EB", 3, *[0.5] * 6), (2, None, 1, "EB", 3, *[0.5] * 6)], CONNECTIONS)
+    target = scratch_path(spark, "graph")
+    grown = upsert_graph(graph, later, target)
+    assert grown.edges.count() == 8 and grown.neurons.count() == 6 and grown.rejects.count() == 2
+    assert read_graph(spark, target).edges.count() == 8 and graph.edges.count() == 7
+    with pytest.raises(ValueError, match="new path"):
+        upsert_graph(grown, later, target)
+
+
+def test_materialize(spark, tiny):
+    stored = materialize(tiny, "tiny")
+    assert stored.rows == 9 and rows(stored.df) == rows(tiny)
+    assert materialize(tiny.where("ord < 0"), "none").rows == 0
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    assert configured is None or scratch_dir(spark).startswith(configured)
+
+
+def test_incremental(spark, tiny):
+    arriving, target = scratch_path(spark, "arriving"), scratch_path(spark, "ingested")
+    run = lambda: (
+        incremental.ingest(incremental.read_connection_stream(spark, arriving, 1), target)
+        .trigger(availableNow=True)
+        .start()
+        .awaitTermination()
+    )
+    for part in ("ord <= 3", "ord between 4 and 7"):
+        tiny.where(part).coalesce(1).write.mode("append").parquet(arriving)
+    run()
+    tiny.where("ord > 7").coalesce(1).write.mode("append").parquet(arriving)
+    run()
+    columns = ["neuropil", "dominant_nt", "syn_count", "count"]
+    whole = rows(connection_cube(with_dominant(tiny)))
+    assert rows(incremental.current_cube(spark, target), *columns) == whole
+    assert rows(incremental.current_edges(spark, target)) == rows(latest_edges(tiny))
+    # A batch that runs again after a failure replaces what it had stored.
+    commits = f"{target}/checkpoint/commits"
+    last = max(int(n) for n in os.listdir(commits) if n.isdigit())
+    stale = read = spark.read.parquet(f"{target}/cube/batch={last}")
+    stale.union(read).coalesce(1).write.parquet(f"{target}/spoiled")
+    spark.read.parquet(f"{target}/spoiled").write.mode("overwrite").parquet(f"{target}/cube/batch={last}")
+    for name in (f"{last}", f".{last}.crc"):
+        os.unlink(f"{commits}/{name}")
+    run()
+    assert rows(incremental.current_cube(spark, target), *columns) == whole
