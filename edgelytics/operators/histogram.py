@@ -64,16 +64,29 @@ def with_total_pairs(hist: DataFrame, *keys: str) -> DataFrame:
     return hist.withColumn("total_pairs", F.sum("count").over(W.partitionBy(*keys)))
 
 
-def hist_slice(cube: DataFrame, neuropil: str | None = None, nt: str | None = None) -> DataFrame:
-    """The (syn_count, count) histogram of one region, one label, both, or everything."""
-    if nt:
-        hist = hist_by_neuropil_nt(cube) if neuropil else hist_by_nt(cube)
-        hist = hist.where(F.col("nt") == nt)
-    else:
-        hist = hist_by_neuropil(cube) if neuropil else hist_global(cube)
-    if neuropil:
-        hist = hist.where(F.col("neuropil") == neuropil)
-    return hist.select("syn_count", "count")
+def all_histograms(cube: DataFrame, include_unassigned: bool = False) -> DataFrame:
+    """Every histogram as (neuropil, nt, syn_count, count); null stands for all regions
+    or all labels."""
+    every = F.lit(None).cast("string")
+    by_label = hist_by_neuropil_nt(cube, include_unassigned)
+    parts = [
+        hist_global(cube).select(every.alias("neuropil"), every.alias("nt"), "syn_count", "count"),
+        hist_by_neuropil(cube).select("neuropil", every.alias("nt"), "syn_count", "count"),
+        hist_by_nt(cube, include_unassigned).select(
+            every.alias("neuropil"), "nt", "syn_count", "count"
+        ),
+        by_label.select("neuropil", "nt", "syn_count", "count"),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+def hist_slice(
+    histograms: DataFrame, neuropil: str | None = None, nt: str | None = None
+) -> DataFrame:
+    """The (syn_count, count) histogram of one region, one label, both, or everything,
+    out of `all_histograms` or a stored summary. The optimizer drops the other parts."""
+    chosen = F.col("neuropil").eqNullSafe(neuropil or None) & F.col("nt").eqNullSafe(nt or None)
+    return histograms.where(chosen).select("syn_count", "count")
 
 
 def hist_tail(hist: DataFrame, threshold: int) -> DataFrame:

@@ -83,7 +83,7 @@ def trails(
             lengths[-1] = stored.df
             if stored.rows == 0:
                 break
-            frontier = broadcast_if_small(*stored)
+            frontier = stored.join_side
         current = _extend(frontier, usable, hop, near, far)
         lengths.append(current)
     return lengths
@@ -214,12 +214,14 @@ def k_hop_nodes(
     touched = start.distinct()
     rows = 0
     if k > 1:
-        touched, rows = materialize(touched, "nodes-1")
+        stored = materialize(touched, "nodes-1")
+        touched, rows = stored.df, stored.rows
     itself = touched.select("root_id", F.col("root_id").alias("node_id")).distinct()
     levels = [itself, touched.where("node_id <> root_id")]
     for hop in range(2, k + 1):
         if hop > 2:
-            levels[-1], rows = materialize(levels[-1], f"nodes-{hop - 1}")
+            stored = materialize(levels[-1], f"nodes-{hop - 1}")
+            levels[-1], rows = stored.df, stored.rows
         if rows == 0:
             break
         frontier = broadcast_if_small(levels[-1], rows)
@@ -240,7 +242,7 @@ def circuit(
     """Passing edges with both ends within k undirected hops of a root, per root."""
     members = materialize(k_hop_nodes(edges, roots, k, flt, max_hops), "circuit-nodes")
     usable = edges.where(flt.condition).select("src", "dst", "neuropil", "syn_count", "dominant_nt")
-    inside = broadcast_if_small(*members)
+    inside = members.join_side
     leaving = usable.join(inside, F.col("src") == F.col("node_id")).drop("node_id")
     targets = inside.select("root_id", F.col("node_id").alias("dst"))
     return leaving.join(targets, ["root_id", "dst"], "left_semi").select(

@@ -1,4 +1,8 @@
-"""One-hop graph queries. `roots` is None (every neuron), ids, or a `root_id` DataFrame."""
+"""One-hop graph queries.
+
+`roots` is None (every neuron), a list of ids, or a table with `root_id`. A table that
+serves several queries may be passed as `Stored`; its ids must then be distinct.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +13,9 @@ from pyspark.sql import functions as F
 
 from edgelytics.functions.filters import ALL_EDGES, EdgeFilter
 from edgelytics.schema import NEURONS, NT_COLUMNS
-from edgelytics.session import broadcast_if_small, materialize
+from edgelytics.session import Stored, materialize
 
-Roots = DataFrame | Sequence[int] | None
+Roots = DataFrame | Stored | Sequence[int] | None
 
 # Up to this many ids become a plain predicate, which the Parquet scan can use to
 # skip row groups; a longer list becomes a join.
@@ -25,15 +29,19 @@ def edges_of(edges: DataFrame, roots: Roots, end: str) -> DataFrame:
     """
     if roots is None:
         return edges.withColumn("root_id", F.col(end))
-    if not isinstance(roots, DataFrame):
+    if not isinstance(roots, DataFrame | Stored):
         ids = sorted({int(r) for r in roots})
         if len(ids) <= LITERAL_IDS:
             return edges.where(F.col(end).isin(ids)).withColumn("root_id", F.col(end))
         roots = edges.sparkSession.createDataFrame([(r,) for r in ids], NEURONS)
-    # Roots are often the result of a large query: written once, they are counted and
-    # used without running it again.
-    wanted = materialize(roots.select("root_id").distinct(), "roots")
-    return edges.join(broadcast_if_small(*wanted), F.col(end) == F.col("root_id"))
+    wanted = roots if isinstance(roots, Stored) else store_roots(roots)
+    return edges.join(wanted.join_side, F.col(end) == F.col("root_id"))
+
+
+def store_roots(roots: DataFrame) -> Stored:
+    """The distinct roots as a written table: they are often the result of a large
+    query, which then runs only once."""
+    return materialize(roots.select("root_id").distinct(), "roots")
 
 
 def _partners(edges: DataFrame, roots: Roots, near: str, far: str, flt: EdgeFilter) -> DataFrame:

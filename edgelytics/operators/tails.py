@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from edgelytics.functions.transmitters import vocabulary_rank
-from edgelytics.operators.histogram import hist_by_neuropil, hist_by_neuropil_nt
 
 # Bubble diameters, opacities and grid width of the region chart.
 MIN_SIZE, MAX_SIZE = 14, 72
@@ -22,30 +21,22 @@ def tail_counts(hist: DataFrame, *keys: str) -> DataFrame:
     return hist.withColumn("at_or_above", F.sum("count").over(upward))
 
 
-def tail_by_neuropil(cube: DataFrame) -> DataFrame:
-    return tail_counts(hist_by_neuropil(cube), "neuropil")
-
-
-def tail_by_neuropil_nt(cube: DataFrame) -> DataFrame:
-    return tail_counts(hist_by_neuropil_nt(cube), "neuropil", "nt")
-
-
 def pairs_at_or_above(tails: DataFrame, threshold: int, *keys: str) -> DataFrame:
     """Look a threshold up in a stored tail table: `pairs` per key, zero above its range."""
     reached = F.when(F.col("syn_count") >= threshold, F.col("at_or_above"))
     return tails.groupBy(*keys).agg(F.coalesce(F.max(reached), F.lit(0)).alias("pairs"))
 
 
-def region_dominant_nt(cube: DataFrame, threshold: int) -> DataFrame:
+def region_dominant_nt(by_label: DataFrame, threshold: int) -> DataFrame:
     """Per region the label with most rows at or above the threshold, as (neuropil, nt, pairs).
 
-    Equal counts go to the first label of the vocabulary. A region whose rows all lie
-    below the threshold still names one of its labels, with zero pairs.
+    `by_label` holds the histograms by region and label. Equal counts go to the first
+    label of the vocabulary. A region whose rows all lie below the threshold still names
+    one of its labels, with zero pairs.
     """
     in_tail = F.when(F.col("syn_count") >= threshold, F.col("count")).otherwise(0)
     per_label = (
-        hist_by_neuropil_nt(cube)
-        .groupBy("neuropil", "nt")
+        by_label.groupBy("neuropil", "nt")
         .agg(F.sum(in_tail).alias("pairs"))
         .withColumn("rank", vocabulary_rank(F.col("nt")))
         .where("rank is not null")
@@ -55,17 +46,23 @@ def region_dominant_nt(cube: DataFrame, threshold: int) -> DataFrame:
     return best.select("neuropil", "nt", "pairs")
 
 
-def region_bubbles(cube: DataFrame, threshold: int, nt: str | None = None) -> DataFrame:
+def _pairs(hist: DataFrame, threshold: int) -> DataFrame:
+    return pairs_at_or_above(tail_counts(hist, "neuropil"), threshold, "neuropil")
+
+
+def region_bubbles(
+    by_region: DataFrame, by_label: DataFrame, threshold: int, nt: str | None = None
+) -> DataFrame:
     """One chart bubble per region: tail count, size, opacity, grid cell, hover label.
 
-    With `nt`, counts are those of that label. The unpartitioned windows run over one
-    row per region.
+    The histograms by region, and by region and label, come from a cube or from a stored
+    summary. With `nt`, counts are those of that label. The unpartitioned windows run
+    over one row per region.
     """
-    tails = pairs_at_or_above(tail_by_neuropil(cube), threshold, "neuropil")
-    dominant = region_dominant_nt(cube, threshold).select("neuropil", F.col("nt").alias("dominant_nt"))
+    tails = _pairs(by_region, threshold)
+    dominant = region_dominant_nt(by_label, threshold).select("neuropil", F.col("nt").alias("dominant_nt"))
     if nt:
-        of_label = tail_by_neuropil_nt(cube).where(F.col("nt") == nt)
-        labelled = pairs_at_or_above(of_label, threshold, "neuropil")
+        labelled = _pairs(by_label.where(F.col("nt") == nt), threshold)
         tails = tails.select("neuropil").join(labelled, "neuropil", "left").fillna(0, ["pairs"])
         dominant = tails.select("neuropil", F.lit(nt).alias("dominant_nt"))
     largest = F.max("pairs").over(W.partitionBy())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgelytics.operators.partners import Roots, edges_of
-from edgelytics.session import broadcast_if_small, materialize
+from edgelytics.session import materialize
 
 
 def _reweighted(edges: DataFrame, factor: Column) -> DataFrame:
@@ -25,7 +25,7 @@ def reweight(edges: DataFrame, scenarios: DataFrame) -> DataFrame:
     `scenarios` has (root_id, factor); a null synapse count weighs nothing.
     """
     wanted = materialize(scenarios.select("root_id", "factor"), "scenarios")
-    joined = edges.join(broadcast_if_small(*wanted), F.col("src") == F.col("root_id"))
+    joined = edges.join(wanted.join_side, F.col("src") == F.col("root_id"))
     return _reweighted(joined, F.col("factor"))
 
 

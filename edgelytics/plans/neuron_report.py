@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from edgelytics.functions.filters import ALL_EDGES, EdgeFilter
 from edgelytics.operators.hops import DOWNSTREAM, UPSTREAM, check_hops, circuit, trails
-from edgelytics.session import materialize
+from edgelytics.operators.partners import store_roots
 
 SECTIONS = (
     "presynaptic",
@@ -31,8 +31,8 @@ def neuron_report_counts(
     at different lengths, so one expansion per direction serves three sections.
     """
     check_hops(k)
-    wanted = materialize(roots.select("root_id").distinct(), "roots").df
-    none = wanted.select(
+    wanted = store_roots(roots)
+    none = wanted.df.select(
         "root_id",
         F.explode(F.array(*map(F.lit, SECTIONS))).alias("section"),
         F.lit(0).cast("bigint").alias("rows"),

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgelytics.functions.transmitters import with_dominant
 from edgelytics.operators.histogram import (
+    connection_cube,
     hist_by_neuropil,
     hist_by_neuropil_nt,
     hist_by_nt,
@@ -15,8 +17,11 @@ from edgelytics.operators.histogram import (
     row_count,
     syn_quantiles,
     syn_stats,
+    unique_counts,
 )
+from edgelytics.operators.reports import first_n_rows
 from edgelytics.schema import NT_LABELS
+from edgelytics.session import materialize
 
 # The quantiles reported unless others are asked for.
 SUMMARY_QUANTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
@@ -107,3 +112,29 @@ def summary_document(
     )
     as_text = F.to_json(document, {"ignoreNullFields": "false"})
     return row.select(as_text.alias("summary_json"))
+
+
+def summarize(
+    connections: DataFrame,
+    input_name: str,
+    max_rows: int | None = None,
+    quantiles: Sequence[float] | None = SUMMARY_QUANTILES,
+) -> DataFrame:
+    """The summary document of raw connections; rows without a label count for no label."""
+    if max_rows is not None:
+        connections = first_n_rows(connections, max_rows)
+    cube = materialize(connection_cube(with_dominant(connections)), "cube").df
+    ids = unique_counts(connections, cube)
+    return summary_document(cube, ids, input_name, max_rows, quantiles)
+
+
+def summarize_gold(gold: DataFrame, input_name: str, max_rows: int | None = None) -> DataFrame:
+    """The summary document of the enriched dataset, from its dominant-NT texts.
+
+    It has no quantiles, and counts rows without a label under the label "".
+    """
+    if max_rows is not None:
+        gold = first_n_rows(gold, max_rows)
+    cube = materialize(connection_cube(gold), "cube").df
+    ids = unique_counts(gold, cube)
+    return summary_document(cube, ids, input_name, max_rows, None, include_unassigned=True)

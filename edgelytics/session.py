@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from typing import NamedTuple
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +18,20 @@ BROADCAST_ROWS = 100_000
 _local_scratch: dict[str, str] = {}
 
 
-class Stored(NamedTuple):
-    """A table written to the scratch folder, with its exact row count."""
+@dataclass
+class Stored:
+    """A table written to the scratch folder."""
 
     df: DataFrame
-    rows: int
+
+    @cached_property
+    def rows(self) -> int:
+        """The exact row count, taken from the file footers."""
+        return self.df.count()
+
+    @property
+    def join_side(self) -> DataFrame:
+        return broadcast_if_small(self.df, self.rows)
 
 
 def get_session(app_name: str = "edgelytics", master: str | None = None, **conf: str) -> SparkSession:
@@ -68,13 +78,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> Stored:
-    """Write `df` to shared storage and read it back: cuts lineage, survives lost
-    executors, gives the optimizer true sizes, and its footers give the row count."""
+    """Write `df` to shared storage and read it back: computed once, safe when executors
+    are lost, and of a size that the optimizer knows."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    stored = spark.read.schema(df.schema).parquet(path)
-    return Stored(stored, stored.count())
+    return Stored(spark.read.schema(df.schema).parquet(path))
 
 
 def release_scratch(spark: SparkSession) -> None:
@@ -83,6 +92,11 @@ def release_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Mark `df` for broadcast if its counted rows stay within BROADCAST_ROWS.
 

@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
@@ -28,6 +30,8 @@ from edgelytics.schema import CONNECTIONS
 _SUFFIXES = (".feather", ".arrow", ".ipc")
 # Files up to this size are one task and are not opened while planning.
 _WHOLE_FILE_BYTES = 128 * 1024 * 1024
+# Footers of larger files are read this many at a time while planning.
+_FOOTER_THREADS = 32
 # Bits of `ord` for the batch within its file and the row within its batch.
 _BATCH_BITS, _ROW_BITS = 18, 25
 
@@ -55,17 +59,18 @@ class _IpcReader(DataSourceReader):
             files = sorted((f for f in listed if f.path.endswith(_SUFFIXES)), key=lambda f: f.path)
         else:
             files = [found]
-        parts = []
-        for index, file in enumerate(files):
+
+        def split(index: int, file: pafs.FileInfo) -> list[_Batches]:
             if file.size <= _WHOLE_FILE_BYTES:
-                parts.append(_Batches(file.path, index, 0, None))
-                continue
+                return [_Batches(file.path, index, 0, None)]
             with fs.open_input_file(file.path) as handle:
                 batches = ipc.open_file(handle).num_record_batches
             pieces = min(batches, -(-file.size // _WHOLE_FILE_BYTES))
-            edges = [batches * i // pieces for i in range(pieces + 1)]
-            parts += [_Batches(file.path, index, a, b) for a, b in zip(edges, edges[1:])]
-        return parts
+            cuts = [batches * i // pieces for i in range(pieces + 1)]
+            return [_Batches(file.path, index, a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+        with ThreadPoolExecutor(_FOOTER_THREADS) as pool:
+            return [part for parts in pool.map(split, *zip(*enumerate(files))) for part in parts]
 
     def read(self, partition: _Batches) -> Iterator[pa.RecordBatch]:
         fs, _ = pafs.FileSystem.from_uri(self.path)
@@ -94,7 +99,7 @@ def _conform(
     columns = []
     for field in target:
         if field.name == "ord":
-            columns.append(pa.array(range(start, start + batch.num_rows), pa.int64()))
+            columns.append(pa.array(np.arange(start, start + batch.num_rows, dtype=np.int64)))
         else:
             columns.append(batch.column(field.name).cast(field.type))
     return pa.RecordBatch.from_arrays(columns, schema=target)

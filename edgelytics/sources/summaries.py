@@ -45,8 +45,7 @@ def parse_summary(document: DataFrame) -> DataFrame:
 def summary_histograms(document: DataFrame) -> DataFrame:
     """All histograms of a document as (neuropil, nt, syn_count, count) rows; null stands
     for all regions or all labels."""
-    none = F.lit(None).cast("string")
-    keys, bars = ["neuropil", "nt"], F.col("histogram")
+    none, keys = F.lit(None).cast("string"), ["neuropil", "nt"]
     parsed = parse_summary(document)
     regions = parsed.select(F.explode("by_neuropil").alias("neuropil", "found"))
     overall = parsed.select(F.explode("by_neurotransmitter").alias("nt", "found"))
@@ -57,7 +56,7 @@ def summary_histograms(document: DataFrame) -> DataFrame:
         overall.select(none.alias("neuropil"), "nt", "found.histogram"),
         cells.select(*keys, "found.histogram"),
     ]
-    return reduce(DataFrame.union, parts).select(*keys, F.inline(bars))
+    return reduce(DataFrame.union, parts).select(*keys, F.inline("histogram"))
 
 
 def _safe_int(path: str) -> Column:

@@ -107,7 +107,8 @@ def _with(names: str, body: str, extra: str = "", recursive: bool = False) -> st
 def _trails(k: int, where: str, downstream: bool, roots: str = "true") -> str:
     """Recursive listing of edge-distinct trails, as text paths in edge direction."""
     near, far = ("src", "dst") if downstream else ("dst", "src")
-    edge = "concat_ws(':', src, dst, neuropil, syn_count, dominant_nt)"
+    score = "coalesce(dominant_score::varchar, 'null')"
+    edge = f"'{{' || concat_ws(', ', src, dst, syn_count, neuropil, dominant_nt, {score}) || '}}'"
     key = "concat_ws(':', src, dst, neuropil)"
     nodes = "t.nodes || '>' || u.{0}" if downstream else "u.{0} || '>' || t.nodes"
     steps = "t.edges || ';' || u.step" if downstream else "u.step || ';' || t.edges"

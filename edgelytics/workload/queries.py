@@ -37,7 +37,7 @@ from edgelytics.sources.summaries import (
     write_summary_json,
 )
 from edgelytics.streaming import incremental
-from edgelytics.workload.tables import FIRST_LOAD, SECOND_LOAD, connections, gold, graph
+from edgelytics.workload.tables import FIRST_LOAD, SECOND_LOAD, connections, gold, graph, load_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,7 +130,7 @@ def schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def edges_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph(spark, sf_dir).edges
+    return load_graph(spark, sf_dir).edges
 
 
 @query
@@ -151,9 +151,12 @@ def edges_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = stored_cube(spark, sf_dir)
-    ids = hg.unique_counts(connections(spark, sf_dir), counted)
-    return summary.summary_document(counted, ids, INPUT_NAME)
+    return summary.summarize(connections(spark, sf_dir), INPUT_NAME)
+
+
+def _stored_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_summary_json(_summary(spark, sf_dir), scratch_path(spark, "summary"))
+    return summaries.summary_histograms(read_summary_json(spark, path))
 
 
 @query
@@ -164,17 +167,13 @@ def summary_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def summary_document_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = stored_cube(spark, sf_dir)
-    ids = hg.unique_counts(connections(spark, sf_dir), counted)
-    return summary.summary_document(
-        counted, ids, INPUT_NAME, quantiles=None, include_unassigned=True
-    )
+    path = write_gold(connections(spark, sf_dir), scratch_path(spark, "gold"))
+    return summary.summarize_gold(read_gold(spark, path), INPUT_NAME)
 
 
 @query
 def summary_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = write_summary_json(_summary(spark, sf_dir), scratch_path(spark, "summary"))
-    return summaries.summary_histograms(read_summary_json(spark, path))
+    return _stored_histograms(spark, sf_dir)
 
 
 @query
@@ -292,12 +291,12 @@ def edge_filter_nt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hist_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = stored_cube(spark, sf_dir)
+    histograms = hg.all_histograms(stored_cube(spark, sf_dir))
     slices = {
-        "all": hg.hist_slice(counted),
-        "label": hg.hist_slice(counted, nt="Serotonin"),
-        "region": hg.hist_slice(counted, neuropil="R_F"),
-        "both": hg.hist_slice(counted, neuropil="R_F", nt="Serotonin"),
+        "all": hg.hist_slice(histograms),
+        "label": hg.hist_slice(histograms, nt="Serotonin"),
+        "region": hg.hist_slice(histograms, neuropil="R_F"),
+        "both": hg.hist_slice(histograms, neuropil="R_F", nt="Serotonin"),
     }
     named = [df.select(F.lit(name).alias("slice"), "*") for name, df in slices.items()]
     return named[0].union(named[1]).union(named[2]).union(named[3])
@@ -325,7 +324,7 @@ def presynaptic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def top_neuron_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = graph(spark, sf_dir).edges
-    target = materialize(eg.top_out_degree(stored, 1), "target").df
+    target = partners.store_roots(eg.top_out_degree(stored, 1))
     sent = partners.postsynaptic(stored, target).withColumn("side", F.lit("post"))
     received = partners.presynaptic(stored, target).withColumn("side", F.lit("pre"))
     return sent.union(received)
@@ -349,17 +348,11 @@ def two_hop_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _path_text(paths: DataFrame) -> DataFrame:
-    step = F.transform(
-        "edges",
-        lambda e: F.concat_ws(
-            ":", e["source_id"], e["target_id"], e["neuropil"], e["syn_count"], e["dominant_nt"]
-        ),
-    )
     return paths.select(
         "root_id",
         "hops",
         F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes"),
-        F.array_join(step, ";").alias("edges"),
+        F.array_join(F.col("edges").cast("array<string>"), ";").alias("edges"),
     )
 
 
@@ -527,33 +520,37 @@ def tail_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tail_by_neuropil(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tails.tail_by_neuropil(cube(spark, sf_dir))
+    return tails.tail_counts(hg.hist_by_neuropil(cube(spark, sf_dir)), "neuropil")
 
 
 @query
 def tail_by_neuropil_nt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tails.tail_by_neuropil_nt(cube(spark, sf_dir))
+    return tails.tail_counts(hg.hist_by_neuropil_nt(cube(spark, sf_dir)), "neuropil", "nt")
 
 
 @query
 def tail_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = tails.tail_by_neuropil_nt(cube(spark, sf_dir))
+    table = tail_by_neuropil_nt(spark, sf_dir)
     return tails.pairs_at_or_above(table, 42, "neuropil", "nt")
 
 
 @query
 def region_dominant_nt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tails.region_dominant_nt(cube(spark, sf_dir), 35)
+    return tails.region_dominant_nt(hg.hist_by_neuropil_nt(cube(spark, sf_dir)), 35)
 
 
 @query
 def region_bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tails.region_bubbles(stored_cube(spark, sf_dir), 20)
+    counted = stored_cube(spark, sf_dir)
+    return tails.region_bubbles(hg.hist_by_neuropil(counted), hg.hist_by_neuropil_nt(counted), 20)
 
 
 @query
 def region_bubbles_nt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tails.region_bubbles(stored_cube(spark, sf_dir), 20, nt="Dopamine")
+    # From a stored summary, as a dashboard would.
+    histograms = _stored_histograms(spark, sf_dir).where("neuropil is not null")
+    by_label = histograms.where("nt is not null")
+    return tails.region_bubbles(histograms.where("nt is null"), by_label, 20, nt="Dopamine")
 
 
 # Incremental ingest

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from edgelytics.functions.transmitters import with_dominant
-from edgelytics.session import scratch_path
-from edgelytics.sources.graph import Graph, write_graph
+from edgelytics.session import path_exists, scratch_path
+from edgelytics.sources.graph import Graph, read_graph, write_graph
 
 _PROBABILITY = "case when l_orderkey % 97 = 0 then null else cast(({0}) % 5 as double) / 4 end as {1}"
 
@@ -46,6 +46,22 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_dominant(connections(spark, sf_dir))
 
 
+_loaded: dict[tuple[str, str], str] = {}
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph tables, written to scratch: the load that comes before graph queries."""
+    """The graph tables, loaded before the first graph query of a session.
+
+    Like any graph store they are written once and then queried; they lie in the
+    scratch folder and are loaded again if it has been released.
+    """
+    key = (spark.conf.get("spark.app.id"), sf_dir)
+    path = _loaded.get(key)
+    if path is None or not path_exists(spark, f"{path}/rejects/_SUCCESS"):
+        path = load_graph(spark, sf_dir).path
+        _loaded[key] = path
+    return read_graph(spark, path)
+
+
+def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
     return write_graph(connections(spark, sf_dir), scratch_path(spark, "graph"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from edgelytics.functions.transmitters import with_dominant
 from edgelytics.operators import histogram as hg
 from edgelytics.operators import tails
-from edgelytics.plans.summary import summary_document
+from edgelytics.plans.summary import summarize, summarize_gold, summary_document
 from edgelytics.schema import CONNECTIONS, SUMMARY_RECORD
 from edgelytics.session import scratch_path
 from edgelytics.sources import summaries
@@ -41,13 +41,16 @@ def test_hand_counts(cube, tiny):
 
 
 def test_slices_and_tails(cube):
-    assert rows(hg.hist_slice(cube, "AL_L", "GABA")) == [(5, 1), (7, 1), (9, 1)]
-    assert rows(hg.hist_slice(cube, "AL_R")) == [(3, 1)]
-    assert rows(hg.hist_slice(cube, nt="Dopamine")) == [(4, 1)]
-    assert hg.hist_slice(cube).count() == 8
+    histograms = hg.all_histograms(cube)
+    assert rows(hg.hist_slice(histograms, "AL_L", "GABA")) == [(5, 1), (7, 1), (9, 1)]
+    assert rows(hg.hist_slice(histograms, "AL_R")) == [(3, 1)]
+    assert rows(hg.hist_slice(histograms, nt="Dopamine")) == [(4, 1)]
+    assert hg.hist_slice(histograms, "", "").count() == 8
+    one = hg.hist_slice(histograms, "AL_R")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in one
     assert hg.tail_total(hg.hist_global(cube), 6).first()[0] == 3
     assert hg.tail_total(hg.hist_global(cube), 100).first()[0] == 0
-    table = tails.tail_by_neuropil(cube)
+    table = tails.tail_counts(hg.hist_by_neuropil(cube), "neuropil")
     assert dict(rows(tails.pairs_at_or_above(table, 5, "neuropil"))) == {"AL_L": 3, "AL_R": 0, "FB": 1}
     assert dict(rows(tails.pairs_at_or_above(table, 7, "neuropil")))["FB"] == 0
     assert rows(table.where("neuropil = 'AL_L'"), "syn_count", "at_or_above") == [
@@ -56,29 +59,30 @@ def test_slices_and_tails(cube):
 
 
 def test_region_dominant(cube):
-    found = {r.neuropil: (r.nt, r.pairs) for r in tails.region_dominant_nt(cube, 5).collect()}
+    found = {r.neuropil: (r.nt, r.pairs) for r in tails.region_dominant_nt(hg.hist_by_neuropil_nt(cube), 5).collect()}
     assert found == {"AL_L": ("GABA", 3), "AL_R": ("Acetylcholine", 0), "FB": ("Dopamine", 0)}
 
 
 def test_equal_tails_follow_the_vocabulary(spark):
     df = spark.createDataFrame(
-        [("A", "Dopamine,Serotonin", 5, 2), ("A", "Octopamine", 9, 1), ("A", "unknown", 9, 7)],
-        "neuropil string, dominant_nt string, syn_count int, count bigint",
+        [("A", "Dopamine", 5, 2), ("A", "Serotonin", 5, 2), ("A", "Octopamine", 9, 1), ("A", "other", 9, 7)],
+        "neuropil string, nt string, syn_count int, count bigint",
     )
     assert tails.region_dominant_nt(df, 1).first().nt == "Serotonin"
     assert tails.region_dominant_nt(df, 99).first().nt == "Octopamine"
 
 
 def test_bubbles(cube):
-    found = {r.neuropil: r for r in tails.region_bubbles(cube, 5).collect()}
+    hists = hg.hist_by_neuropil(cube), hg.hist_by_neuropil_nt(cube)
+    found = {r.neuropil: r for r in tails.region_bubbles(*hists, 5).collect()}
     assert found["AL_L"].marker_size == 72 and found["AL_R"].marker_size == 14
     assert found["FB"].label == "FB<br>pairs ≥ 5: 1<br>dominant: Dopamine"
     assert [found[r].grid_x for r in ("AL_L", "AL_R", "FB")] == [0, 1, 2]
     assert found["AL_R"].opacity == 0.2 and found["FB"].opacity == 0.95
-    of_label = {r.neuropil: r for r in tails.region_bubbles(cube, 5, "GABA").collect()}
+    of_label = {r.neuropil: r for r in tails.region_bubbles(*hists, 5, "GABA").collect()}
     assert of_label["FB"].pairs == 0 and of_label["AL_L"].pairs == 3
     assert of_label["FB"].label == "FB<br>dominant: GABA<br>pairs ≥ 5: 0"
-    assert {r.marker_size for r in tails.region_bubbles(cube, 1000).collect()} == {14.0}
+    assert {r.marker_size for r in tails.region_bubbles(*hists, 1000).collect()} == {14.0}
 
 
 def test_quantiles_by_hand(cube):
@@ -153,14 +157,20 @@ def test_summary_document(cube, tiny):
     assert stored["by_neurotransmitter"][""]["total_pairs"] == 1
 
 
+def test_summaries_of_raw_rows_and_dataset(tiny):
+    raw = json.loads(summarize(tiny, "raw", max_rows=4).first()[0])
+    assert (raw["total_rows"], raw["max_rows"], raw["unique"]["neuropil"]) == (4, 4, 2)
+    gold = json.loads(summarize_gold(with_dominant(tiny), "gold").first()[0])
+    assert gold["syn_count"]["quantiles"] == {} and "" in gold["by_neurotransmitter"]
+    whole = json.loads(summarize(tiny, "gold").first()[0])
+    assert gold["unique"] == whole["unique"]
+    assert gold["by_neuropil"]["AL_L"] == whole["by_neuropil"]["AL_L"]
+
+
 def test_summary_histograms(cube, tiny):
     document = summary_document(cube, hg.unique_counts(tiny), "tiny")
     found = summaries.summary_histograms(document)
-    assert rows(found.where("neuropil is null and nt is null"), "syn_count", "count") == rows(
-        hg.hist_global(cube)
-    )
-    cells = found.where("neuropil is not null and nt is not null")
-    assert rows(cells) == rows(hg.hist_by_neuropil_nt(cube))
+    assert rows(found) == rows(hg.all_histograms(cube))
 
 
 def test_summary_records(spark, tmp_path):
@@ -190,7 +200,7 @@ def test_summary_records(spark, tmp_path):
 
 
 def test_tail_lookup_matches_direct_count(cube, tiny):
-    table = tails.tail_by_neuropil_nt(cube)
+    table = tails.tail_counts(hg.hist_by_neuropil_nt(cube), "neuropil", "nt")
     for threshold in range(0, 11):
         looked_up = tails.pairs_at_or_above(table, threshold, "neuropil", "nt").where("pairs > 0")
         direct = (
