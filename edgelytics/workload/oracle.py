@@ -429,7 +429,7 @@ ORACLE: dict[str, str] = {
     "k_hop_downstream": _with(
         "edges",
         "select root_id, hops, nodes, edges from trails",
-        _trails(3, "syn_count >= 40", True),
+        _trails(3, "syn_count >= 44", True),
         recursive=True,
     ),
     "k_hop_upstream": _with(

@@ -359,7 +359,7 @@ def _path_text(paths: DataFrame) -> DataFrame:
 @query
 def k_hop_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = graph(spark, sf_dir).edges
-    return _path_text(hops.k_hop_downstream(stored, k=3, flt=EdgeFilter(threshold=40)))
+    return _path_text(hops.k_hop_downstream(stored, k=3, flt=EdgeFilter(threshold=44)))
 
 
 @query

@@ -18,7 +18,9 @@ from edgelytics.sources import summaries
 
 @pytest.fixture(scope="module")
 def cube(tiny):
-    return hg.connection_cube(with_dominant(tiny)).cache()
+    cached = hg.connection_cube(with_dominant(tiny)).cache()
+    yield cached
+    cached.unpersist()
 
 
 def test_hand_counts(cube, tiny):
