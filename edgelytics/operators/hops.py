@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgelytics.functions.filters import ALL_EDGES, EdgeFilter
-from edgelytics.operators.partners import Roots, edges_of
+from edgelytics.operators.lookup import near_table, split_columns
+from edgelytics.operators.partners import Roots, edges_of, store_roots
 from edgelytics.schema import PATH_EDGE
-from edgelytics.session import broadcast_if_small, materialize
+from edgelytics.session import Stored, materialize
 
 MAX_HOPS = 5
 DOWNSTREAM = ("src", "dst")
@@ -39,7 +40,7 @@ def _node(hop: int) -> str:
 
 
 def _step(edges: DataFrame, far: str, hop: int) -> list[Column]:
-    attributes = [c for c in edges.columns if c not in DOWNSTREAM]
+    attributes = [c for c in edges.columns if c not in (*DOWNSTREAM, *split_columns(edges))]
     return [F.col(far).alias(_node(hop)), *[F.col(c).alias(f"{c}_{hop}") for c in attributes]]
 
 
@@ -72,19 +73,21 @@ def trails(
     Once a length has no trail, its empty table is the last one.
     """
     near, far = direction
-    usable = edges.where(flt.condition).select("src", "dst", *attributes)
+    usable = edges.where(flt.condition).select("src", "dst", *attributes, *split_columns(edges))
     current = edges_of(usable, roots, near).select("root_id", *_step(usable, far, 1))
     lengths = [current]
     for hop in range(2, k + 1):
         if hop == 2 and roots is None:
-            frontier = current  # the edge table itself: nothing to save by writing it again
+            # The edge table itself: nothing to save by writing it again.
+            frontier, nearby = current, usable
         else:
             stored = materialize(current, f"trails-{hop - 1}")
             lengths[-1] = stored.df
             if stored.rows == 0:
                 break
             frontier = stored.join_side
-        current = _extend(frontier, usable, hop, near, far)
+            nearby = near_table(usable, near, stored, _node(hop - 1))
+        current = _extend(frontier, nearby, hop, near, far)
         lengths.append(current)
     return lengths
 
@@ -188,9 +191,15 @@ def two_hop_downstream(
     return _two_hop(edges, roots, flt, DOWNSTREAM, ["post1_id", "post2_id"])
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    forward = edges.select(F.col("src").alias("near"), F.col("dst").alias("far"))
-    return forward.union(edges.select(F.col("dst").alias("near"), F.col("src").alias("far")))
+def _neighbours(usable: dict[str, DataFrame], frontier: Stored) -> DataFrame:
+    """(root_id, node_id) of all neighbours, in either direction, of a frontier's nodes."""
+    side = frontier.join_side
+    ways = [
+        side.join(near_table(table, near, frontier, "node_id"), F.col("node_id") == F.col(near))
+        .select("root_id", F.col("dst" if near == "src" else "src").alias("node_id"))
+        for near, table in usable.items()
+    ]
+    return ways[0].union(ways[1])
 
 
 def k_hop_nodes(
@@ -199,34 +208,36 @@ def k_hop_nodes(
     k: int = 3,
     flt: EdgeFilter = ALL_EDGES,
     max_hops: int | None = MAX_HOPS,
+    edges_by_dst: DataFrame | None = None,
 ) -> DataFrame:
     """Neurons within k edges of each root, direction ignored, as (root_id, node_id).
 
     Includes the root, and is empty for a root without a passing edge. Breadth-first:
     a node at distance d has its neighbours at distance d-1, d or d+1, so a new level
     is the neighbours of the last one without the last two levels. No trail is listed.
+    With `edges_by_dst`, incoming edges are looked up in that copy.
     """
     check_hops(k, max_hops)
-    usable = edges.where(flt.condition).select("src", "dst")
-    start = edges_of(_both_ways(usable), roots, "near").select(
-        "root_id", F.col("far").alias("node_id")
-    )
-    touched = start.distinct()
-    rows = 0
-    if k > 1:
-        stored = materialize(touched, "nodes-1")
-        touched, rows = stored.df, stored.rows
+    mirror = edges if edges_by_dst is None else edges_by_dst
+    usable = {
+        end: table.where(flt.condition).select("src", "dst", *split_columns(table))
+        for end, table in (("src", edges), ("dst", mirror))
+    }
+    if isinstance(roots, DataFrame):
+        roots = store_roots(roots)
+    outgoing = edges_of(usable["src"], roots, "src").select("root_id", F.col("dst").alias("node_id"))
+    incoming = edges_of(usable["dst"], roots, "dst").select("root_id", F.col("src").alias("node_id"))
+    touched = materialize(outgoing.union(incoming).distinct(), "nodes-1").df
     itself = touched.select("root_id", F.col("root_id").alias("node_id")).distinct()
     levels = [itself, touched.where("node_id <> root_id")]
+    frontier = Stored(levels[-1])
     for hop in range(2, k + 1):
         if hop > 2:
-            stored = materialize(levels[-1], f"nodes-{hop - 1}")
-            levels[-1], rows = stored.df, stored.rows
-        if rows == 0:
+            frontier = materialize(levels[-1], f"nodes-{hop - 1}")
+            levels[-1] = frontier.df
+        if frontier.rows == 0:
             break
-        frontier = broadcast_if_small(levels[-1], rows)
-        reached = frontier.join(_both_ways(usable), F.col("node_id") == F.col("near"))
-        reached = reached.select("root_id", F.col("far").alias("node_id")).distinct()
+        reached = _neighbours(usable, frontier).distinct()
         known = levels[-2].union(levels[-1])
         levels.append(reached.join(known, ["root_id", "node_id"], "left_anti"))
     return reduce(DataFrame.union, levels)
@@ -238,11 +249,14 @@ def circuit(
     k: int = 3,
     flt: EdgeFilter = ALL_EDGES,
     max_hops: int | None = MAX_HOPS,
+    edges_by_dst: DataFrame | None = None,
 ) -> DataFrame:
     """Passing edges with both ends within k undirected hops of a root, per root."""
-    members = materialize(k_hop_nodes(edges, roots, k, flt, max_hops), "circuit-nodes")
-    usable = edges.where(flt.condition).select("src", "dst", "neuropil", "syn_count", "dominant_nt")
+    nodes = k_hop_nodes(edges, roots, k, flt, max_hops, edges_by_dst)
+    members = materialize(nodes, "circuit-nodes")
     inside = members.join_side
+    usable = near_table(edges, "src", members, "node_id").where(flt.condition)
+    usable = usable.select("src", "dst", "neuropil", "syn_count", "dominant_nt")
     leaving = usable.join(inside, F.col("src") == F.col("node_id")).drop("node_id")
     targets = inside.select("root_id", F.col("node_id").alias("dst"))
     return leaving.join(targets, ["root_id", "dst"], "left_semi").select(

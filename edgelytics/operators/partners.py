@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgelytics.functions.filters import ALL_EDGES, EdgeFilter
+from edgelytics.operators.lookup import near_ids, near_table
 from edgelytics.schema import NEURONS, NT_COLUMNS
 from edgelytics.session import Stored, materialize
 
@@ -32,10 +33,12 @@ def edges_of(edges: DataFrame, roots: Roots, end: str) -> DataFrame:
     if not isinstance(roots, DataFrame | Stored):
         ids = sorted({int(r) for r in roots})
         if len(ids) <= LITERAL_IDS:
-            return edges.where(F.col(end).isin(ids)).withColumn("root_id", F.col(end))
+            found = near_ids(edges, end, ids).where(F.col(end).isin(ids))
+            return found.withColumn("root_id", F.col(end))
         roots = edges.sparkSession.createDataFrame([(r,) for r in ids], NEURONS)
     wanted = roots if isinstance(roots, Stored) else store_roots(roots)
-    return edges.join(wanted.join_side, F.col(end) == F.col("root_id"))
+    nearby = near_table(edges, end, wanted, "root_id")
+    return nearby.join(wanted.join_side, F.col(end) == F.col("root_id"))
 
 
 def store_roots(roots: DataFrame) -> Stored:

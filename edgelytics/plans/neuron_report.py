@@ -23,7 +23,11 @@ SECTIONS = (
 
 
 def neuron_report_counts(
-    edges: DataFrame, roots: DataFrame, k: int = 3, flt: EdgeFilter = ALL_EDGES
+    edges: DataFrame,
+    roots: DataFrame,
+    k: int = 3,
+    flt: EdgeFilter = ALL_EDGES,
+    edges_by_dst: DataFrame | None = None,
 ) -> DataFrame:
     """How many rows each section of the report of each root has, as (root_id, section, rows).
 
@@ -31,18 +35,19 @@ def neuron_report_counts(
     at different lengths, so one expansion per direction serves three sections.
     """
     check_hops(k)
+    mirror = edges if edges_by_dst is None else edges_by_dst
     wanted = store_roots(roots)
     none = wanted.df.select(
         "root_id",
         F.explode(F.array(*map(F.lit, SECTIONS))).alias("section"),
         F.lit(0).cast("bigint").alias("rows"),
     )
-    counted = [none, _counted(circuit(edges, wanted, k, flt), "circuit")]
-    for direction, partners, way in (
-        (UPSTREAM, "presynaptic", "upstream"),
-        (DOWNSTREAM, "postsynaptic", "downstream"),
+    counted = [none, _counted(circuit(edges, wanted, k, flt, edges_by_dst=mirror), "circuit")]
+    for table, direction, partners, way in (
+        (mirror, UPSTREAM, "presynaptic", "upstream"),
+        (edges, DOWNSTREAM, "postsynaptic", "downstream"),
     ):
-        by_length = trails(edges, wanted, max(k, 2), flt, direction, ["neuropil"])
+        by_length = trails(table, wanted, max(k, 2), flt, direction, ["neuropil"])
         for hops, found in enumerate(by_length, start=1):
             sections = [partners] if hops == 1 else [f"two_hop_{way}"] if hops == 2 else []
             if hops <= k:

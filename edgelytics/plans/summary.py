@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -86,11 +87,9 @@ def summary_document(
     )
     parts = [row_count(cube), syn_stats(cube), found, hist_global(cube).agg(_bars())]
     parts += [counts, by_neuropil, by_nt]
-    # Every part is exactly one row, joined on a constant.
-    keyed = [p.withColumn("one", F.lit(1)) for p in parts]
-    row = keyed[0]
-    for part in keyed[1:]:
-        row = row.join(part, "one")
+    # Each part is one row with columns of its own.
+    rows = reduce(partial(DataFrame.unionByName, allowMissingColumns=True), parts)
+    row = rows.agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns])
     no_value = F.lit(None).cast("int")
     wanted = F.array(*[F.lit(str(q)) for q in quantiles or []]).cast("array<string>")
     syn = F.struct(

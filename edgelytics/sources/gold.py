@@ -33,6 +33,7 @@ def write_gold(
         .sortWithinPartitions("neuropil", "syn_count")
         .write.mode("overwrite")
         .option("compression", "snappy")
+        .option("partitionOverwriteMode", "static")
         .partitionBy("neuropil")
         .parquet(path)
     )

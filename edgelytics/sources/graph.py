@@ -12,6 +12,7 @@ from edgelytics.operators.edges import (
     rejected_connections,
     upsert_edges,
 )
+from edgelytics.operators.lookup import split_by
 from edgelytics.schema import EDGES, GOLD, NEURONS
 
 
@@ -26,35 +27,52 @@ class Graph:
     rejects: DataFrame
 
 
-def _write_edges(edges: DataFrame, path: str, first: str, second: str) -> None:
+def _write_edges(
+    edges: DataFrame, path: str, first: str, second: str, directories: int | None
+) -> None:
     # Range partitions over both ends split a hub neuron; sorted files let the
     # scan skip row groups when edges are looked up by neuron id.
-    clustered = edges.repartitionByRange(first, second, "neuropil")
-    clustered.sortWithinPartitions(first, second).write.mode("overwrite").parquet(path)
-
-
-def _write_tables(spark: SparkSession, edges: DataFrame, path: str, mirror: bool) -> None:
-    _write_edges(edges, f"{path}/edges", "src", "dst")
-    stored = spark.read.schema(EDGES).parquet(f"{path}/edges")
+    order, split = [first, second, "neuropil"], []
+    if directories:
+        edges, name = split_by(edges, first, directories)
+        order, split = [name, *order], [name]
+    clustered = edges.repartitionByRange(*order).sortWithinPartitions(*order)
+    writer = clustered.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.partitionBy(*split).parquet(path)
+
+
+def _write_tables(
+    spark: SparkSession, edges: DataFrame, path: str, mirror: bool, directories: int | None
+) -> None:
+    _write_edges(edges, f"{path}/edges", "src", "dst", directories)
+    stored = spark.read.schema(EDGES).parquet(f"{path}/edges").select(EDGES.names)
     if mirror:
-        _write_edges(stored, f"{path}/edges_by_dst", "dst", "src")
+        _write_edges(stored, f"{path}/edges_by_dst", "dst", "src", directories)
     neurons(stored).write.mode("overwrite").parquet(f"{path}/neurons")
 
 
-def write_graph(connections: DataFrame, path: str, mirror: bool = False) -> Graph:
+def write_graph(
+    connections: DataFrame, path: str, mirror: bool = False, directories: int | None = None
+) -> Graph:
     """Build the graph from connections and replace the tables at `path`.
 
     `mirror` adds a copy of the edges clustered by receiving neuron, for upstream
-    queries by id. Rows without a complete edge key are kept in `rejects`.
+    queries by id. `directories` splits the edge tables by neuron id (see
+    `operators.lookup`): for tables of very many files, so that a query about a few
+    neurons opens few of them. Rows without a complete edge key are kept in `rejects`.
     """
     spark = connections.sparkSession
-    _write_tables(spark, latest_edges(connections), path, mirror)
+    _write_tables(spark, latest_edges(connections), path, mirror, directories)
     rejected_connections(connections).write.mode("overwrite").parquet(f"{path}/rejects")
     return read_graph(spark, path, mirror)
 
 
 def upsert_graph(
-    graph: Graph, connections: DataFrame, path: str, mirror: bool = False
+    graph: Graph,
+    connections: DataFrame,
+    path: str,
+    mirror: bool = False,
+    directories: int | None = None,
 ) -> Graph:
     """Apply further connections to a graph and write the result to a new `path`.
 
@@ -63,7 +81,7 @@ def upsert_graph(
     if path.rstrip("/") == graph.path.rstrip("/"):
         raise ValueError("an upsert reads the old tables, so it needs a new path")
     spark = connections.sparkSession
-    _write_tables(spark, upsert_edges(graph.edges, connections), path, mirror)
+    _write_tables(spark, upsert_edges(graph.edges, connections), path, mirror, directories)
     rejects = graph.rejects.unionByName(rejected_connections(connections))
     rejects.write.mode("overwrite").parquet(f"{path}/rejects")
     return read_graph(spark, path, mirror)

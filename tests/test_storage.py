@@ -1,6 +1,7 @@
 """Stored datasets, the Arrow source, graph tables, incremental ingest."""
 
 import os
+import re
 
 import pyarrow as pa
 import pyarrow.ipc as ipc
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 
 from edgelytics.functions.filters import EdgeFilter
 from edgelytics.functions.transmitters import with_dominant
-from edgelytics.operators import partners
+from edgelytics.operators import hops, partners
 from edgelytics.operators.edges import latest_edges
 from edgelytics.operators.histogram import connection_cube
+from edgelytics.plans.neuron_report import neuron_report_counts
 from edgelytics.schema import CONNECTIONS, GOLD, NT_COLUMNS
 from edgelytics.session import materialize, scratch_dir, scratch_path
 from edgelytics.sources import arrow_ipc
@@ -152,6 +154,31 @@ def test_graph_tables(spark, tiny):
         upsert_graph(grown, later, target)
 
 
+def test_split_tables_open_few_directories(spark, tiny, tiny_edges):
+    graph = write_graph(tiny, scratch_path(spark, "graph"), mirror=True, directories=4)
+    folders = {f for f in os.listdir(f"{graph.path}/edges") if f.startswith("src_mod_4=")}
+    assert folders == {f"src_mod_4={i}" for i in range(4)}
+    assert rows(graph.edges.select(tiny_edges.columns)) == rows(tiny_edges)
+    lookup = partners.presynaptic(graph.edges_by_dst, [3, 7])
+    assert re.search(r"PartitionFilters: \[[^]]*\(dst_mod_4#\d+ = 3\)", plan(lookup))
+    assert rows(lookup) == rows(partners.presynaptic(tiny_edges, [3, 7]))
+    roots = spark.createDataFrame([(1,), (4,), (99,)], "root_id bigint")
+    down = hops.k_hop_downstream(graph.edges, roots, k=3)
+    assert rows(down) == rows(hops.k_hop_downstream(tiny_edges, roots, k=3))
+    first = hops.trails(graph.edges, roots, 1)[0]
+    assert re.search(r"PartitionFilters: \[[^]]*src_mod_4#\d+ IN \(0,1,3\)", plan(first))
+    up = hops.k_hop_upstream(graph.edges_by_dst, roots, k=2)
+    assert rows(up) == rows(hops.k_hop_upstream(tiny_edges, roots, k=2))
+    for ids in ([1, 4], roots, None):
+        found = hops.circuit(graph.edges, ids, 2, edges_by_dst=graph.edges_by_dst)
+        assert rows(found) == rows(hops.circuit(tiny_edges, ids, 2))
+    report = neuron_report_counts(graph.edges, roots, 2, edges_by_dst=graph.edges_by_dst)
+    assert rows(report) == rows(neuron_report_counts(tiny_edges, roots, 2))
+    later = spark.createDataFrame([(1, 9, 1, "EB", 3, *[0.5] * 6)], CONNECTIONS)
+    grown = upsert_graph(graph, later, scratch_path(spark, "graph"), directories=2)
+    assert "src_mod_2" in grown.edges.columns and grown.edges.count() == 8
+
+
 def test_materialize(spark, tiny):
     stored = materialize(tiny, "tiny")
     assert stored.rows == 9 and rows(stored.df) == rows(tiny)
