@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -32,28 +33,41 @@ def neuron_report_counts(
     """How many rows each section of the report of each root has, as (root_id, section, rows).
 
     Partners, two-hop chains and k-hop paths of one direction are the same trails cut
-    at different lengths, so one expansion per direction serves three sections.
+    at different lengths, so one expansion per direction serves three sections. The
+    expansions and the circuit do not depend on each other and run side by side.
     """
     check_hops(k)
     mirror = edges if edges_by_dst is None else edges_by_dst
     wanted = store_roots(roots)
-    none = wanted.df.select(
-        "root_id",
-        F.explode(F.array(*map(F.lit, SECTIONS))).alias("section"),
-        F.lit(0).cast("bigint").alias("rows"),
-    )
-    counted = [none, _counted(circuit(edges, wanted, k, flt, edges_by_dst=mirror), "circuit")]
-    for table, direction, partners, way in (
-        (mirror, UPSTREAM, "presynaptic", "upstream"),
-        (edges, DOWNSTREAM, "postsynaptic", "downstream"),
-    ):
+
+    def trail_counts(
+        table: DataFrame, direction: tuple[str, str], partners: str, way: str
+    ) -> list[DataFrame]:
         by_length = trails(table, wanted, max(k, 2), flt, direction, ["neuropil"])
+        counted = []
         for hops, found in enumerate(by_length, start=1):
-            sections = [partners] if hops == 1 else [f"two_hop_{way}"] if hops == 2 else []
+            sections = {1: [partners], 2: [f"two_hop_{way}"]}.get(hops, [])
             if hops <= k:
                 sections.append(f"k_hop_{way}")
             counted.append(_counted(found, *sections))
-    total = reduce(DataFrame.union, counted).groupBy("root_id", "section")
+        return counted
+
+    def circuit_counts() -> list[DataFrame]:
+        return [_counted(circuit(edges, wanted, k, flt, edges_by_dst=mirror), "circuit")]
+
+    with ThreadPoolExecutor() as pool:
+        parts = [
+            pool.submit(trail_counts, mirror, UPSTREAM, "presynaptic", "upstream"),
+            pool.submit(trail_counts, edges, DOWNSTREAM, "postsynaptic", "downstream"),
+            pool.submit(circuit_counts),
+        ]
+        counted = [df for part in parts for df in part.result()]
+    none = wanted.df.select(
+        "root_id",
+        F.explode(F.array(*map(F.lit, SECTIONS))).alias("section"),
+        F.lit(0).cast("bigint").alias("rows"),
+    )
+    total = reduce(DataFrame.union, counted, none).groupBy("root_id", "section")
     return total.agg(F.sum("rows").alias("rows"))
 
 

@@ -21,7 +21,6 @@ from edgelytics.functions.filters import EdgeFilter
 from edgelytics.operators import edges as eg
 from edgelytics.operators import histogram as hg
 from edgelytics.operators import hops, partners, reports, tails, whatif
-from edgelytics.operators.edges import latest_edges
 from edgelytics.operators.histogram import connection_cube
 from edgelytics.plans import neuron_report, summary
 from edgelytics.schema import CONNECTIONS, CUBE, GOLD, NT_COLUMNS, NT_LABELS
@@ -62,7 +61,7 @@ def stored_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_edges(connections(spark, sf_dir))
+    return graph(spark, sf_dir).edges
 
 
 # Sources and sinks
@@ -323,7 +322,7 @@ def presynaptic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def top_neuron_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = graph(spark, sf_dir).edges
+    stored = edges(spark, sf_dir)
     target = partners.store_roots(eg.top_out_degree(stored, 1))
     sent = partners.postsynaptic(stored, target).withColumn("side", F.lit("post"))
     received = partners.presynaptic(stored, target).withColumn("side", F.lit("pre"))
@@ -332,19 +331,19 @@ def top_neuron_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def top_neuron_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = graph(spark, sf_dir).edges
+    stored = edges(spark, sf_dir)
     return partners.preview(partners.postsynaptic(stored, eg.top_out_degree(stored, 1)), 5)
 
 
 @query
 def two_hop_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = graph(spark, sf_dir).edges
+    stored = edges(spark, sf_dir)
     return hops.two_hop_upstream(stored, flt=EdgeFilter(threshold=25, neurotransmitter="a"))
 
 
 @query
 def two_hop_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hops.two_hop_downstream(graph(spark, sf_dir).edges, flt=EdgeFilter(threshold=25))
+    return hops.two_hop_downstream(edges(spark, sf_dir), flt=EdgeFilter(threshold=25))
 
 
 def _path_text(paths: DataFrame) -> DataFrame:
@@ -358,43 +357,43 @@ def _path_text(paths: DataFrame) -> DataFrame:
 
 @query
 def k_hop_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = graph(spark, sf_dir).edges
+    stored = edges(spark, sf_dir)
     return _path_text(hops.k_hop_downstream(stored, k=3, flt=EdgeFilter(threshold=44)))
 
 
 @query
 def k_hop_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = graph(spark, sf_dir).edges
+    stored = edges(spark, sf_dir)
     flt = EdgeFilter(threshold=30, neurotransmitter="dopa")
     return _path_text(hops.k_hop_upstream(stored, k=3, flt=flt))
 
 
 @query
 def k_hop_from_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = graph(spark, sf_dir).edges
+    stored = edges(spark, sf_dir)
     target = eg.top_out_degree(stored, 3)
     return _path_text(hops.k_hop_downstream(stored, target, k=3, flt=EdgeFilter(threshold=25)))
 
 
 @query
 def path_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = graph(spark, sf_dir).edges
+    stored = edges(spark, sf_dir)
     return hops.path_preview(hops.k_hop_upstream(stored, k=2, flt=EdgeFilter(threshold=40)))
 
 
 @query
 def k_hop_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hops.k_hop_nodes(graph(spark, sf_dir).edges, k=2, flt=EdgeFilter(threshold=40))
+    return hops.k_hop_nodes(edges(spark, sf_dir), k=2, flt=EdgeFilter(threshold=40))
 
 
 @query
 def circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hops.circuit(graph(spark, sf_dir).edges, k=3, flt=EdgeFilter(threshold=48))
+    return hops.circuit(edges(spark, sf_dir), k=3, flt=EdgeFilter(threshold=48))
 
 
 @query
 def circuit_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = graph(spark, sf_dir).edges
+    stored = edges(spark, sf_dir)
     found = hops.circuit(stored, k=1, flt=EdgeFilter(threshold=40, neuropil="a_f"))
     nested = hops.circuit_documents(found)
     return nested.select("root_id", F.to_json(F.struct("circuits")).alias("document"))
@@ -412,7 +411,7 @@ def dataset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def neuron_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = graph(spark, sf_dir).edges
+    stored = edges(spark, sf_dir)
     target = eg.top_out_degree(stored, 1)
     return neuron_report.neuron_report_counts(stored, target, k=3, flt=EdgeFilter(threshold=25))
 
@@ -429,7 +428,7 @@ def top_out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eg.graph_counts(graph(spark, sf_dir).edges)
+    return eg.graph_counts(edges(spark, sf_dir))
 
 
 # Histograms and reports
