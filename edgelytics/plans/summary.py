@@ -80,23 +80,24 @@ def summary_document(
         F.struct("pre_pt_root_id", "post_pt_root_id", "neuron_ids_union", "neuropil").alias("unique")
     )
     asked = sorted({0.5, *(quantiles or [])})
-    found = syn_quantiles(cube, asked).agg(
-        F.map_from_entries(
-            F.sort_array(F.collect_list(F.struct(F.col("quantile").cast("string"), "syn_count")))
-        ).alias("found")
-    )
+    entries = F.collect_list(F.struct("quantile", "syn_count"))
+    found = syn_quantiles(cube, asked).agg(F.map_from_entries(entries).alias("found"))
     parts = [row_count(cube), syn_stats(cube), found, hist_global(cube).agg(_bars())]
     parts += [counts, by_neuropil, by_nt]
     # Each part is one row with columns of its own.
     rows = reduce(partial(DataFrame.unionByName, allowMissingColumns=True), parts)
     row = rows.agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns])
-    no_value = F.lit(None).cast("int")
-    wanted = F.array(*[F.lit(str(q)) for q in quantiles or []]).cast("array<string>")
+    listed = [
+        (F.lit(str(q)), F.try_element_at("found", F.lit(q))) for q in dict.fromkeys(quantiles or [])
+    ]
+    by_quantile = F.create_map(*[part for pair in listed for part in pair])
+    by_quantile = F.map_filter(by_quantile.cast("map<string,int>"), lambda _, v: v.isNotNull())
+    median = F.try_element_at("found", F.lit(0.5)) if quantiles else F.lit(None).cast("int")
     syn = F.struct(
         F.col("syn_min").alias("min"),
         F.col("syn_max").alias("max"),
-        (F.try_element_at("found", F.lit("0.5")) if quantiles else no_value).alias("median"),
-        F.map_filter("found", lambda q, _: F.array_contains(wanted, q)).alias("quantiles"),
+        median.alias("median"),
+        by_quantile.alias("quantiles"),
         "histogram",
     )
     document = F.struct(

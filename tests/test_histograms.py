@@ -150,6 +150,9 @@ def test_summary_document(cube, tiny):
         "histogram": [{"syn_count": 7, "count": 1}],
     }
     assert list(doc["by_neurotransmitter"]) == ["Acetylcholine", "Dopamine", "GABA", "Glutamate"]
+    few = summary_document(cube, hg.unique_counts(tiny), "tiny", quantiles=[1.0, 1e-05, 1.0])
+    syn = json.loads(few.first()[0])["syn_count"]
+    assert syn["median"] == 5 and syn["quantiles"] == {"1.0": 9, "1e-05": 1}
     stored = json.loads(
         summary_document(
             cube, hg.unique_counts(tiny), "tiny", quantiles=None, include_unassigned=True
