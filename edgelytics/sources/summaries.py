@@ -25,7 +25,7 @@ _NUMBERS = {
 
 def write_summary_json(document: DataFrame, path: str) -> str:
     """Write a one-column, one-row summary document as JSON text, replacing `path`."""
-    document.select("summary_json").coalesce(1).write.mode("overwrite").text(path)
+    document.select("summary_json").write.mode("overwrite").text(path)
     return path
 
 

@@ -3,7 +3,8 @@
 Every micro-batch writes one directory per table, named by its batch id. A batch
 that is retried after a failure replaces its own directory, so nothing is counted
 twice, and earlier batches are never rewritten. Readers combine the batches:
-histogram counts add up over raw rows, edges keep the latest row per key.
+histogram counts add up over raw rows, edges keep the latest row per key. Rows that
+cannot become an edge are kept aside.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import DataStreamWriter
 
 from edgelytics.functions.transmitters import with_dominant
-from edgelytics.operators.edges import latest_edges
+from edgelytics.operators.edges import latest_edges, rejected_connections
 from edgelytics.operators.histogram import connection_cube, merge_cubes
 from edgelytics.schema import CONNECTIONS, CUBE, EDGES, require_columns
 
@@ -38,6 +39,8 @@ def ingest(connections: DataFrame, path: str) -> DataStreamWriter:
         cube = connection_cube(with_dominant(batch))
         cube.write.mode("overwrite").parquet(f"{path}/cube/batch={batch_id}")
         latest_edges(batch).write.mode("overwrite").parquet(f"{path}/edges/batch={batch_id}")
+        rejects = rejected_connections(batch)
+        rejects.write.mode("overwrite").parquet(f"{path}/rejects/batch={batch_id}")
 
     return connections.writeStream.foreachBatch(store).option(
         "checkpointLocation", f"{path}/checkpoint"
@@ -54,3 +57,8 @@ def current_edges(spark: SparkSession, path: str) -> DataFrame:
     batches = spark.read.schema(EDGES).parquet(f"{path}/edges")
     renamed = batches.withColumnsRenamed({"src": "pre_pt_root_id", "dst": "post_pt_root_id"})
     return latest_edges(renamed.select(CONNECTIONS.names))
+
+
+def current_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Rows ingested so far that miss a part of the edge key."""
+    return spark.read.schema(CONNECTIONS).parquet(f"{path}/rejects").select(CONNECTIONS.names)

@@ -204,6 +204,7 @@ def test_incremental(spark, tiny):
     whole = rows(connection_cube(with_dominant(tiny)))
     assert rows(incremental.current_cube(spark, target), *columns) == whole
     assert rows(incremental.current_edges(spark, target)) == rows(latest_edges(tiny))
+    assert rows(incremental.current_rejects(spark, target)) == [TINY[-1]]
     # A batch that runs again after a failure replaces what it had stored.
     commits = f"{target}/checkpoint/commits"
     last = max(int(n) for n in os.listdir(commits) if n.isdigit())
