@@ -16,6 +16,8 @@ from edgelytics.sources.graph import Graph, read_graph, write_graph
 
 _PROBABILITY = "case when l_orderkey % 97 = 0 then null else cast(({0}) % 5 as double) / 4 end as {1}"
 
+# `ord` orders the rows of one sending neuron. It leaves the part key out, which would
+# overflow a bigint at large scale; edges are identified by their key, not by `ord`.
 CONNECTION_COLUMNS = [
     "(l_orderkey * 10 + l_linenumber) * 1000 + l_suppkey % 1000 as ord",
     "case when l_orderkey % 1009 = 0 then null else l_partkey end as pre_pt_root_id",
