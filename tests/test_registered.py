@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as spark_entry
+from edgelytics.workload.oracle import ORACLE
+from edgelytics.workload.queries import QUERIES
 from tools.check import TABLES, normalised
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = spark_entry.queries(), spark_entry.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
 
@@ -24,6 +25,8 @@ def duck():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(spark_entry.queries())
+    assert set(ORACLE) <= set(spark_entry.oracle_sql()) <= set(spark_entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
