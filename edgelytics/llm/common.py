@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             yield batch
             continue
         start = size = 0
-        for row, length in enumerate(pa.compute.binary_length(data).to_pylist()):
+        for row, length in enumerate(pc.binary_length(data).to_pylist()):
             size += length or 0
             if size >= most:
                 yield batch.slice(start, row + 1 - start)
