@@ -20,3 +20,23 @@ select doc_id, count(*) as n_lines, count(f.key) as n_dropped,
 from keyed k left join frequent f on k.key = f.key
 group by doc_id
 """
+
+ORACLE["op9_substring"] = rf"""
+with docs as (
+  select doc_id, {_WORDS} as w from documents
+), windows as (
+  select doc_id, s, array_to_string(w[s : s + 34], ' ') as body
+  from (select doc_id, w, unnest(range(1, len(w) - 33)) as s from docs where len(w) >= 35)
+), repeated as (
+  select doc_id, s from windows where body in (select body from windows group by body having count(*) > 1)
+), covered as (
+  select distinct doc_id, unnest(range(s, s + 35)) as place from repeated
+), words as (
+  select doc_id, unnest(w) as word, generate_subscripts(w, 1) as place from docs
+), kept as (
+  select doc_id, count(*) as n, string_agg(word, ' ' order by place) as body
+  from words anti join covered using (doc_id, place) group by doc_id
+)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(body, '')) as kept_sha256
+from docs left join kept using (doc_id)
+"""

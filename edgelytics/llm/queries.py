@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelytics.llm import line_dedup, quality, sharding, simhash
+from edgelytics.llm import line_dedup, quality, sharding, simhash, substring
 from edgelytics.llm.common import table
 from edgelytics.session import scratch_path
 
@@ -39,6 +39,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16, scratch_path(spark, "slot-map"))
 
 
+@query
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substring.drop_repeated_passages(docs, keep=["doc_id"], with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.clean_lines(table(spark, sf_dir, "documents"))
