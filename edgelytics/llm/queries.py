@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelytics.llm import line_dedup, quality, sharding, simhash, substring
+from edgelytics.llm import ann, line_dedup, mixing, packing, quality, sharding, simhash, substring, toxicity, url_filter
 from edgelytics.llm.common import table
 from edgelytics.session import scratch_path
 
+#: Name of the vocabulary file of the packing queries; the folder is the installed package's.
+VOCABULARY = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -19,6 +22,32 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op1_robust_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(url_filter.RULES, "host string, path string, action string")
+    found = url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
+    return found.select("page_id", "host", "path", "rule", "verdict", "passed_on")
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~toxicity.held_out())
+    found = toxicity.score_texts(docs, toxicity.learn_lexicon(docs, labels))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "hits")
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -26,6 +55,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix_sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return found.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 @query
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -39,6 +74,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16, scratch_path(spark, "slot-map"))
 
 
+@query
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = packing.pack_documents(docs, vocabulary_path(), 2048)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 @query
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
