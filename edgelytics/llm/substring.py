@@ -142,6 +142,7 @@ def _split(values: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
+_PLACE_KINDS = ["<i8", "<i4"]  # text, place
 _PROBE_KINDS = ["<u8", "<u4", "<i8", "<i4", "?"]  # hash, second hash, text, place, decided already
 
 
@@ -209,8 +210,8 @@ def _batch_sequences(batch: pa.RecordBatch, length: int, window: int, has_runs:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else None
 
 
-def _repeated(packed: DataFrame) -> DataFrame:
-    """(key, places): the sequences that occur more than once, one row per text and partition."""
+def _repeated(packed: DataFrame, parts: int) -> DataFrame:
+    """(part, data): the sequences that occur more than once, packed anew by their text's partition."""
 
     def run(group: pa.Table) -> pa.Table:
         probes, known = [], []
@@ -218,7 +219,7 @@ def _repeated(packed: DataFrame) -> DataFrame:
             (known if kind == _KNOWN else probes).append(data)
         keys, places = [np.empty(0, "<i8")], [np.empty(0, "<i4")]
         for data in known:
-            k, p = _split(data, ["<i8", "<i4"])
+            k, p = _split(data, _PLACE_KINDS)
             keys.append(k)
             places.append(p)
         if probes:
@@ -229,54 +230,39 @@ def _repeated(packed: DataFrame) -> DataFrame:
             often = (np.bincount(group_of)[group_of] > 1) & ~done[order]  # decided ones are among the known
             keys.append(k[order[often]])
             places.append(p[order[often]])
-        key, place = np.concatenate(keys), np.concatenate(places)
-        return pa.Table.from_batches([_by_text(key, place)])
+        key, place = _distinct(np.concatenate(keys), np.concatenate(places))
+        part = key % parts
+        order = np.argsort(part, kind="stable")
+        starts = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]) if len(key) else []
+        rows = []
+        for start, end in zip(starts, [*starts[1:], len(key)], strict=True):
+            at = order[start:end]
+            rows.append({"part": int(part[at[0]]), "data": _pack(key[at], place[at])})
+        return pa.Table.from_pylist(rows, pa.schema([("part", pa.int32()), ("data", pa.binary())]))
 
-    return packed.groupBy("part").applyInArrow(run, "key long, places binary")
+    return packed.groupBy("part").applyInArrow(run, "part int, data binary")
 
 
-def _by_text(key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+def _distinct(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs once each, sorted."""
     order = np.lexsort((place, key))
-    key, place = key[order], place[order].astype(np.int64)
-    if len(key):
-        new = np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1])]
-        key, place = key[new], place[new]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-    data = [_pack_runs(place[a:b]) for a, b in zip(starts, [*starts[1:], len(key)], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(key[starts], pa.int64()), pa.array(data, pa.binary())], ["key", "places"])
-
+    key, place = key[order], place[order]
+    new = np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1])] if len(key) else np.empty(0, bool)
+    return key[new], place[new]
 
-def _gathered(rows: DataFrame) -> DataFrame:
-    """One row per text, its places merged. Rows of a text follow each other in one sorted
-    partition and are merged as they come, so memory holds one text's places."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: int | None = None
-        parts: list[np.ndarray] = []
-
-        def row() -> tuple[int | None, bytes]:
-            return own, _pack_runs(np.unique(np.concatenate(parts)))
-
-        for batch in batches:
-            out = []
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if parts and key != own:
-                    out.append(row())
-                    parts = []
-                own = key
-                parts.append(_places(data))
-                if len(parts) >= 64:
-                    parts = [np.unique(np.concatenate(parts))]
-            if out:
-                yield pa.RecordBatch.from_pylist([{"key": k, "places": d} for k, d in out], _GATHERED)
-        if parts:
-            k, d = row()
-            yield pa.RecordBatch.from_pylist([{"key": k, "places": d}], _GATHERED)
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, places binary")
+def _by_text(packed: DataFrame) -> DataFrame:
+    """(key, places): one row per text, its places as runs. Each text has its places once
+    from each partition, so what meets here is bounded by the texts, not by their copies."""
 
+    def run(group: pa.Table) -> pa.Table:
+        found = [_split(data, _PLACE_KINDS) for data in group["data"].to_pylist()]
+        key, place = _distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        data = [_pack_runs(place[a:b].astype(np.int64)) for a, b in zip(starts, [*starts[1:], len(key)], strict=True)]
+        return pa.table({"key": pa.array(key[starts], pa.int64()), "places": pa.array(data, pa.binary())})
 
-_GATHERED = pa.schema([("key", pa.int64()), ("places", pa.binary())])
+    return packed.groupBy("part").applyInArrow(run, "key long, places binary")
 
 
 def _windows(survivors: DataFrame, texts: DataFrame, length: int, window: int) -> DataFrame:
@@ -306,7 +292,7 @@ def repeated_windows(texts: DataFrame, window: int, first: int) -> DataFrame:
     for level, length in enumerate(lengths := level_lengths(window, first)):
         source = texts if survivors is None else _windows(survivors, texts, lengths[level - 1], window)
         packed = _candidates(source, length, window, parts, survivors is not None)
-        survivors = stored(_gathered(_repeated(packed)), f"repeats-{length}")
+        survivors = stored(_by_text(_repeated(packed, parts)), f"repeats-{length}")
         if survivors.isEmpty():
             break
     return survivors
