@@ -1,6 +1,9 @@
 """SQL counterparts, for the operators that SQL over whole tables can express."""
 
+from edgelytics.llm.quality import LineRules
+
 ORACLE: dict[str, str] = {}
+_RULES = LineRules()
 
 # The words of a text, between runs of the six ASCII blanks.
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -40,3 +43,48 @@ with docs as (
 select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(body, '')) as kept_sha256
 from docs left join kept using (doc_id)
 """
+
+_BOILERPLATE = "|".join(f"(?:{p})" for p in _RULES.boilerplate)
+ORACLE["op10_quality"] = rf"""
+with docs as (
+  select doc_id, coalesce(text, '') as text, {_WORDS} as w from documents
+), triples as (
+  select doc_id, s, count(*) over (partition by doc_id, w[s : s + 2]) as n
+  from (select doc_id, w, unnest(range(1, len(w) - 1)) as s from docs where len(w) >= 3)
+), repeats as (
+  select doc_id, count(distinct place) as n
+  from (select doc_id, unnest(range(s, s + 3)) as place from triples where n > 1) group by doc_id
+), lines as (
+  select doc_id, at, text as line, {_WORDS} as w
+  from (select doc_id, generate_subscripts(l, 1) as at, unnest(l) as text
+    from (select doc_id, string_split(text, chr(10)) as l from docs))
+), placed as (
+  select doc_id, at, unnest(w) as word, generate_subscripts(w, 1) as place from lines where len(w) >= {_RULES.run}
+), runs as (
+  select distinct doc_id, at from (
+    select doc_id, at, word, place - row_number() over (partition by doc_id, at, word order by place) as run from placed)
+  group by doc_id, at, word, run having count(*) >= {_RULES.run}
+), judged as (
+  select lines.doc_id, line, len(w) as n, len(w) > 0 and (
+    length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > {_RULES.symbol_share} * strlen(array_to_string(w, ''))
+    or (len(list_filter(w, lambda x: x in ('|', '>', '»', '·'))) >= {_RULES.separators}
+      and len(list_filter(w, lambda x: x in ('|', '>', '»', '·'))) >= {_RULES.separator_share} * len(w))
+    or (strlen(line) <= 400 and regexp_matches(
+      regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), '{_BOILERPLATE}', 'i'))
+    or runs.at is not null
+  ) as failed from lines left join runs on lines.doc_id = runs.doc_id and lines.at = runs.at
+), per_doc as (
+  select doc_id, count(*) as n_lines, count(*) filter (failed) as n_failed_lines,
+    coalesce(sum(n) filter (failed), 0) as n_failed_words,
+    count(*) filter (n > 0) - count(distinct line) filter (n > 0) as n_dup_lines
+  from judged group by doc_id
+), measured as (
+  select doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, n_dup_lines,
+    coalesce(r.n, 0) as n_repeat_words, n_lines, n_failed_lines, cast(n_failed_words as bigint) as n_failed_words
+  from docs join per_doc using (doc_id) left join repeats r using (doc_id)
+), based as (
+  select *, n_words < {_RULES.least_words} or 100 * n_repeat_words > {_RULES.most_repeated} * n_words as base_failed from measured
+)
+select *, not base_failed and n_failed_words <= {_RULES.most_lost} * n_words as kept from based
+"""

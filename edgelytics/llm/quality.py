@@ -33,7 +33,7 @@ class LineRules:
     run: int = 8  # one word this many times in a row
     boilerplate: tuple[str, ...] = (
         r"^(licensed|released) under the .{0,80}\blicen[cs]e\b.{0,40}$",
-        r"^(all rights reserved|copyright (\(c\)|©|\d{4})).{0,120}$",
+        r"^(all rights reserved|copyright (\(c\)|©|[0-9]{4})).{0,120}$",
         r"^(home|menu|login|log in|sign in|sign up|share|tweet|print|next|previous|back|top|search|subscribe)$",
         r"^(click here|read more|cookie policy|privacy policy|terms of (use|service)|accept (all )?cookies).{0,40}$",
     )
@@ -79,11 +79,11 @@ def _repeated(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
-def _compiled(rules: LineRules) -> re.Pattern[bytes]:
-    return re.compile("|".join(f"(?:{p})" for p in rules.boilerplate).encode(), re.IGNORECASE)
+def _compiled(rules: LineRules) -> re.Pattern[str]:
+    return re.compile("|".join(f"(?:{p})" for p in rules.boilerplate), re.IGNORECASE | re.ASCII)
 
 
-def line_fails(line: bytes, words: list[bytes], rules: LineRules, boilerplate: re.Pattern[bytes]) -> bool:
+def line_fails(line: bytes, words: list[bytes], rules: LineRules, boilerplate: re.Pattern[str]) -> bool:
     """Whether a line with words is punctuation noise, navigation, boilerplate or a run of one word."""
     chars = sum(map(len, words))
     if _symbols(line) > rules.symbol_share * chars:
@@ -91,7 +91,7 @@ def line_fails(line: bytes, words: list[bytes], rules: LineRules, boilerplate: r
     marks = sum(w in (b"|", b">", b"\xc2\xbb", b"\xc2\xb7") for w in words)
     if marks >= rules.separators and marks >= rules.separator_share * len(words):
         return True
-    if len(line) <= 400 and boilerplate.match(line.strip(_BLANK_BYTES)):
+    if len(line) <= 400 and boilerplate.match(line.strip(_BLANK_BYTES).decode()):
         return True
     if len(words) >= rules.run and len(set(words)) < len(words):
         run = 1
@@ -102,7 +102,7 @@ def line_fails(line: bytes, words: list[bytes], rules: LineRules, boilerplate: r
     return False
 
 
-def judge(text: bytes | None, rules: LineRules, boilerplate: re.Pattern[bytes]) -> tuple:
+def judge(text: bytes | None, rules: LineRules, boilerplate: re.Pattern[str]) -> tuple:
     """The values of SCHEMA for one text."""
     text = text or b""
     words = text.split()
