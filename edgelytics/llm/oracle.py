@@ -55,15 +55,15 @@ with docs as (
   select doc_id, count(distinct place) as n
   from (select doc_id, unnest(range(s, s + 3)) as place from triples where n > 1) group by doc_id
 ), lines as (
-  select doc_id, at, text as line, {_WORDS} as w
-  from (select doc_id, generate_subscripts(l, 1) as at, unnest(l) as text
+  select doc_id, line_no, text as line, {_WORDS} as w
+  from (select doc_id, generate_subscripts(l, 1) as line_no, unnest(l) as text
     from (select doc_id, string_split(text, chr(10)) as l from docs))
 ), placed as (
-  select doc_id, at, unnest(w) as word, generate_subscripts(w, 1) as place from lines where len(w) >= {_RULES.run}
+  select doc_id, line_no, unnest(w) as word, generate_subscripts(w, 1) as place from lines where len(w) >= {_RULES.run}
 ), runs as (
-  select distinct doc_id, at from (
-    select doc_id, at, word, place - row_number() over (partition by doc_id, at, word order by place) as run from placed)
-  group by doc_id, at, word, run having count(*) >= {_RULES.run}
+  select distinct doc_id, line_no from (
+    select doc_id, line_no, word, place - row_number() over (partition by doc_id, line_no, word order by place) as run from placed)
+  group by doc_id, line_no, word, run having count(*) >= {_RULES.run}
 ), judged as (
   select lines.doc_id, line, len(w) as n, len(w) > 0 and (
     length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > {_RULES.symbol_share} * strlen(array_to_string(w, ''))
@@ -71,8 +71,8 @@ with docs as (
       and len(list_filter(w, lambda x: x in ('|', '>', '»', '·'))) >= {_RULES.separator_share} * len(w))
     or (strlen(line) <= 400 and regexp_matches(
       regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), '{_BOILERPLATE}', 'i'))
-    or runs.at is not null
-  ) as failed from lines left join runs on lines.doc_id = runs.doc_id and lines.at = runs.at
+    or runs.line_no is not null
+  ) as failed from lines left join runs on lines.doc_id = runs.doc_id and lines.line_no = runs.line_no
 ), per_doc as (
   select doc_id, count(*) as n_lines, count(*) filter (failed) as n_failed_lines,
     coalesce(sum(n) filter (failed), 0) as n_failed_words,
