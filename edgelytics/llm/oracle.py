@@ -27,15 +27,17 @@ group by doc_id
 ORACLE["op9_substring"] = rf"""
 with docs as (
   select doc_id, {_WORDS} as w from documents
+), words as (
+  select doc_id, unnest(w) as word, generate_subscripts(w, 1) as place from docs
 ), windows as (
-  select doc_id, s, array_to_string(w[s : s + 34], ' ') as body
-  from (select doc_id, w, unnest(range(1, len(w) - 33)) as s from docs where len(w) >= 35)
+  select doc_id, place as s, array_to_string(body, ' ') as body from (
+    select doc_id, place, list(word) over (partition by doc_id order by place rows between current row and 34 following) as body
+    from words)
+  where len(body) = 35
 ), repeated as (
   select doc_id, s from windows where body in (select body from windows group by body having count(*) > 1)
 ), covered as (
   select distinct doc_id, unnest(range(s, s + 35)) as place from repeated
-), words as (
-  select doc_id, unnest(w) as word, generate_subscripts(w, 1) as place from docs
 ), kept as (
   select doc_id, count(*) as n, string_agg(word, ' ' order by place) as body
   from words anti join covered using (doc_id, place) group by doc_id
@@ -48,9 +50,13 @@ _BOILERPLATE = "|".join(f"(?:{p})" for p in _RULES.boilerplate)
 ORACLE["op10_quality"] = rf"""
 with docs as (
   select doc_id, coalesce(text, '') as text, {_WORDS} as w from documents
+), words as (
+  select doc_id, unnest(w) as a, generate_subscripts(w, 1) as s from docs
+), followed as (
+  select *, lead(a, 1) over after as b, lead(a, 2) over after as c
+  from words window after as (partition by doc_id order by s)
 ), triples as (
-  select doc_id, s, count(*) over (partition by doc_id, w[s : s + 2]) as n
-  from (select doc_id, w, unnest(range(1, len(w) - 1)) as s from docs where len(w) >= 3)
+  select doc_id, s, count(*) over (partition by doc_id, a, b, c) as n from followed where c is not null
 ), repeats as (
   select doc_id, count(distinct place) as n
   from (select doc_id, unnest(range(s, s + 3)) as place from triples where n > 1) group by doc_id

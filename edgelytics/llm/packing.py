@@ -69,9 +69,6 @@ class WordTokens:
                 start = cut
 
     def _learn(self, new: list[str]) -> None:
-        if len(self.words) > self.most:
-            self.words.clear()
-            self.pieces.clear()
         plain = [w for w in new if _PLAIN.fullmatch(w) and "<|" not in w]
         # the vocabulary's own normalising; blanks stay between the words
         normal = self.tokenizer.normalizer.normalize_str(" ".join(plain)).split(" ") if plain else []
@@ -91,6 +88,9 @@ class WordTokens:
         cut = [None if _ODD_BLANKS.search(t) else t.split() for t in texts]
         at = 0
         while at < len(cut):  # a block of texts at a time, so that the store can start anew between
+            if len(self.words) > self.most:
+                self.words.clear()
+                self.pieces.clear()
             block, size = at, 0
             new: dict[str, None] = {}
             while at < len(cut) and size < 200_000:
@@ -99,10 +99,7 @@ class WordTokens:
                         new[word] = None
                 size += len(cut[at] or ())
                 at += 1
-            before = len(self.words)
             self._learn(list(new))
-            if before > len(self.words):  # it started anew: what the block knows must be learnt again
-                self._learn(list({w: None for words in cut[block:at] for w in words or () if w not in self.words}))
             for row in range(block, at):
                 if cut[row] is None:
                     yield self._encoded(texts[row]).tobytes()

@@ -173,12 +173,11 @@ def _candidates(texts: DataFrame, length: int, window: int, parts: int, has_runs
             part = (hashes % np.uint64(parts)).astype(np.int64)
             pick = np.flatnonzero(sent)
             pick = pick[np.argsort(part[pick], kind="stable")]
-            bounds = np.flatnonzero(np.r_[True, part[pick][1:] != part[pick][:-1]]) if len(pick) else []
-            for start, end in zip(bounds, [*bounds[1:], len(pick)], strict=True):
+            for start, end in _equal(part[pick]):
                 at = pick[start:end]
                 data = _pack(hashes[at], second[at], keys[at], places[at].astype("<i4"), known[at])
                 out.append((int(part[at[0]]), _PROBE, data))
-            columns = list(zip(*out, strict=True))
+            columns = list(zip(*out, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays(
                 [pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())],
                 ["part", "kind", "data"],
@@ -233,9 +232,8 @@ def _repeated(packed: DataFrame, parts: int) -> DataFrame:
         key, place = _distinct(np.concatenate(keys), np.concatenate(places))
         part = key % parts
         order = np.argsort(part, kind="stable")
-        starts = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]]) if len(key) else []
         rows = []
-        for start, end in zip(starts, [*starts[1:], len(key)], strict=True):
+        for start, end in _equal(part[order]):
             at = order[start:end]
             rows.append({"part": int(part[at[0]]), "data": _pack(key[at], place[at])})
         return pa.Table.from_pylist(rows, pa.schema([("part", pa.int32()), ("data", pa.binary())]))
@@ -243,6 +241,14 @@ def _repeated(packed: DataFrame, parts: int) -> DataFrame:
     return packed.groupBy("part").applyInArrow(run, "part int, data binary")
 
 
+def _equal(values: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of equal values."""
+    if not len(values):
+        return []
+    starts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]).tolist()
+    return list(zip(starts, [*starts[1:], len(values)], strict=True))
+
+
 def _distinct(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs once each, sorted."""
     order = np.lexsort((place, key))
@@ -258,9 +264,9 @@ def _by_text(packed: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         found = [_split(data, _PLACE_KINDS) for data in group["data"].to_pylist()]
         key, place = _distinct(*(np.concatenate(x) for x in zip(*found, strict=True)))
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        data = [_pack_runs(place[a:b].astype(np.int64)) for a, b in zip(starts, [*starts[1:], len(key)], strict=True)]
-        return pa.table({"key": pa.array(key[starts], pa.int64()), "places": pa.array(data, pa.binary())})
+        texts = _equal(key)
+        data = [_pack_runs(place[a:b].astype(np.int64)) for a, b in texts]
+        return pa.table({"key": pa.array([key[a] for a, _ in texts], pa.int64()), "places": pa.array(data, pa.binary())})
 
     return packed.groupBy("part").applyInArrow(run, "key long, places binary")
 

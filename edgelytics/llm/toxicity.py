@@ -6,8 +6,8 @@ everything else to blanks. One Aho-Corasick automaton finds all lexicon entries
 exception phrases in a single pass; a hit inside an exception phrase does not count.
 Weights are summed and set against the text's length; a logistic curve gives the score.
 
-The lexicon and the curve are learned from labelled rows: a bounded sample, of which one
-half gives the entries and their weights and the other half the curve.
+The lexicon and the curve are learned from labelled rows, a bounded sample of them. The
+curve is fitted to each half of the sample as a lexicon of the other half sees it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from functools import cached_property
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgelytics.llm.common import as_bytes, slices, text_column
@@ -57,7 +57,7 @@ _FOLDING = _Folding()
 
 
 def fold(text: str) -> str:
-    """The folded text: words of letters, with blanks between and around them."""
+    """The folded text: words of letters, with one blank between and around them."""
     if not text.isascii():
         if _UNUSUAL.search(text):
             text = unicodedata.normalize("NFKC", text)
@@ -65,7 +65,7 @@ def fold(text: str) -> str:
     text = text.lower()
     if "@" in text or "$" in text or "!" in text or "|" in text:
         text = _SIGNS.sub(lambda m: _SIGN[m[0]], text)
-    return f" {text.translate(_FOLDING)} "
+    return f" {' '.join(text.translate(_FOLDING).split())} "
 
 
 # Phrases in which a word of the lexicon is meant otherwise.
@@ -80,6 +80,10 @@ class Lexicon:
     exceptions: tuple[str, ...] = EXCEPTIONS
     curve: tuple[float, float, float] = (-5.0, 1.0, 1.0)
 
+    def __getstate__(self) -> dict:
+        """Without the automaton, which each task builds for itself."""
+        return {k: v for k, v in self.__dict__.items() if k != "automaton"}
+
     @cached_property
     def automaton(self) -> ahocorasick.Automaton:
         found = ahocorasick.Automaton()
@@ -109,7 +113,7 @@ class Lexicon:
         folded = fold(text)
         weights = self.hits(folded)
         total = max(0.0, sum(weights))
-        words = folded.count(" ") if weights else 1
+        words = folded.count(" ") - 1 if weights else 1
         return math.log1p(total), math.log1p(100 * total / max(1, words)), len(weights)
 
     def score(self, text: str) -> tuple[float, int]:
@@ -133,36 +137,36 @@ def _texts(batch: pa.RecordBatch, at: int) -> list[str]:
     return [(t or b"").decode() for t in as_bytes(batch.column(at))]
 
 
+_COUNTS = ("clean0", "toxic0", "clean1", "toxic1")  # documents by label, in either half
+
+
 def stem_counts(labelled: DataFrame, shortest: int, longest: int) -> DataFrame:
-    """(stem, toxic, clean): documents of either label with a word that begins so, added up
-    per task before the shuffle."""
+    """(stem, clean0, toxic0, clean1, toxic1): documents of either half and label with a
+    word that begins so, added up per task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = Counter(), Counter()
+        seen = [Counter() for _ in _COUNTS]
 
         def rows() -> pa.RecordBatch:
-            stems = list(seen[0].keys() | seen[1].keys())
-            batch = pa.RecordBatch.from_arrays(
-                [
-                    pa.array(stems, pa.string()),
-                    pa.array([seen[1][s] for s in stems], pa.int64()),
-                    pa.array([seen[0][s] for s in stems], pa.int64()),
-                ],
-                ["stem", "toxic", "clean"],
-            )
-            seen[0].clear()
-            seen[1].clear()
-            return batch
+            stems = list(set().union(*seen))
+            counts = [pa.array([own[s] for s in stems], pa.int64()) for own in seen]
+            for own in seen:
+                own.clear()
+            return pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *counts], ["stem", *_COUNTS])
 
         for batch in slices(batches, "_text"):
-            for label, text in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
-                seen[label].update(_beginnings(text, shortest, longest))
-            if len(seen[0]) + len(seen[1]) > 400_000:
+            for half, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch, 2), strict=True):
+                seen[2 * half + label].update(_beginnings(text, shortest, longest))
+            if sum(map(len, seen)) > 400_000:
                 yield rows()
         yield rows()
 
-    mapped = labelled.select("toxic", "_text").mapInArrow(run, "stem string, toxic long, clean long")
-    return mapped.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    mapped = labelled.select("half", "toxic", "_text").mapInArrow(run, "stem string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return mapped.groupBy("stem").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def _odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    return F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((clean + 0.5) / (n_clean + 1))
 
 
 def choose_stems(rows: list[tuple[str, int, int]], toxic: int, clean: int, margin: float = 0.7) -> dict[str, float]:
@@ -212,36 +216,50 @@ def learn_lexicon(
     is empty and every text scores low alike.
 
     The driver gets at most `most_stems` stems, the heaviest, and three numbers per row of
-    the curve's half.
+    the sample.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     known = known.groupBy(F.col(key).alias("_key")).agg(F.max(F.col(label).cast("int")).alias("toxic"))
     mix = F.xxhash64(F.lit("sample"), F.col("_key"))
-    sample = known.orderBy(mix, "_key").limit(sample_rows).withColumn("half", F.pmod(F.xxhash64(F.col("_key")), F.lit(2)))
+    half = F.pmod(F.xxhash64(F.col("_key")), F.lit(2)).cast("int")
+    sample = known.orderBy(mix, "_key").limit(sample_rows).withColumn("half", half)
     read = docs.select(F.col(key).alias("_key"), text_column(text).alias("_text")).filter("_text is not null")
-    rows = read.join(F.broadcast(sample), "_key")  # at most sample_rows rows of two numbers
-    first, second = rows.filter("half = 0"), rows.filter("half = 1")
-    stems = stem_counts(first, shortest, longest)
-    totals = {r["toxic"]: r["n"] for r in first.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    toxic, clean = totals.get(1, 0), totals.get(0, 0)
-    if not toxic or not clean:
+    rows = read.join(F.broadcast(sample), "_key").select("half", "toxic", "_text")  # at most sample_rows rows of numbers
+    totals = Counter({(r["half"], r["toxic"]): r["n"] for r in rows.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()})
+    # rows that choose the stems: either half, or both
+    parts = [((0,), totals[0, 1], totals[0, 0]), ((1,), totals[1, 1], totals[1, 0])]
+    parts.append(((0, 1), totals[0, 1] + totals[1, 1], totals[0, 0] + totals[1, 0]))
+    if not parts[2][1] or not parts[2][2]:
         return Lexicon({}, exceptions)
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    heavy = stems.filter((F.col("toxic") >= least_documents) & (odds >= least_odds)).orderBy(odds.desc(), "stem").limit(most_stems)
-    lexicon = Lexicon(choose_stems([tuple(r) for r in heavy.select("stem", "toxic", "clean").collect()], toxic, clean), exceptions)
+    stems = stem_counts(rows, shortest, longest)
+    odds, fits = [], []
+    for halves, toxic, clean in parts:
+        seen = [sum((F.col(f"{kind}{h}") for h in halves), F.lit(0)) for kind in ("toxic", "clean")]
+        odds.append(_odds(*seen, toxic, clean))
+        fits.append((seen[0] >= least_documents) & (odds[-1] >= least_odds))
+    heavy = stems.filter(fits[0] | fits[1] | fits[2]).orderBy(F.greatest(*odds).desc(), "stem").limit(most_stems)
+    found = heavy.select("stem", *_COUNTS, F.array(*fits).alias("fits")).collect()
+
+    def lexicon(part: int) -> Lexicon:
+        halves, toxic, clean = parts[part]
+        own = [(r["stem"], sum(r[f"toxic{h}"] for h in halves), sum(r[f"clean{h}"] for h in halves)) for r in found if r["fits"][part]]
+        return Lexicon(choose_stems(own, toxic, clean), exceptions)
+
+    # the curve is fitted to rows that had no part in the stems they are seen through
+    others = [lexicon(1), lexicon(0)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            values = [lexicon.features(t)[:2] for t in _texts(batch, 1)]
+            values = [others[half].features(t)[:2] for half, t in zip(batch.column(0).to_pylist(), _texts(batch, 2), strict=True)]
             columns = list(zip(*values, strict=True)) or [(), ()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.float64()) for c in columns)], ["toxic", "total", "density"]
+                [batch.column(1), *(pa.array(c, pa.float64()) for c in columns)], ["toxic", "total", "density"]
             )
 
-    seen = second.select("toxic", "_text").mapInArrow(run, "toxic int, total double, density double").toPandas()
-    if seen["toxic"].nunique() == 2:
-        lexicon.curve = fit_curve(seen[["total", "density"]].to_numpy(), seen["toxic"].to_numpy())
-    return lexicon
+    seen = rows.mapInArrow(run, "toxic int, total double, density double").toPandas()
+    whole = lexicon(2)
+    whole.curve = fit_curve(seen[["total", "density"]].to_numpy(), seen["toxic"].to_numpy())
+    return whole
 
 
 # Scoring
@@ -255,12 +273,10 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: st
     """
     columns = [c for c in ([key] if keep is None else keep) if c not in ("score", "predicted", "hits")]
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
-    plain = Lexicon(lexicon.weights, lexicon.exceptions, lexicon.curve)  # without the automaton, which each task builds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Lexicon(plain.weights, plain.exceptions, plain.curve)
         for batch in slices(batches, "_text"):
-            values = [own.score(t) for t in _texts(batch, len(columns))]
+            values = [lexicon.score(t) for t in _texts(batch, len(columns))]
             scores = np.array([v[0] for v in values], np.float64)
             arrays = batch.columns[: len(columns)]
             arrays += [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array([v[1] for v in values], pa.int64())]
@@ -270,6 +286,6 @@ def score_texts(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: st
     return read.mapInArrow(run, ", ".join([*kinds, "score double, predicted int, hits long"]))
 
 
-def held_out(key: str = "doc_id"):  # noqa: ANN201
+def held_out(key: str = "doc_id") -> Column:
     """Whether a row is kept from learning: crc32 of the key as text, modulo 5, is 0."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
