@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from edgelytics.functions.transmitters import with_dominant
 from edgelytics.schema import CONNECTIONS, EDGE_KEY, EDGES, NT_COLUMNS, require_columns
-from edgelytics.session import broadcast_if_small, materialize
+from edgelytics.session import materialize
 
 
 def _has_key() -> Column:
@@ -45,13 +45,11 @@ def latest_edges(connections: DataFrame) -> DataFrame:
 def upsert_edges(existing: DataFrame, connections: DataFrame) -> DataFrame:
     """Existing edges with the incoming connections applied: equal keys are overwritten.
 
-    Existing edges take part in an anti-join only, so they stay unshuffled when the
-    incoming keys are few enough to broadcast.
+    Existing edges take part in an anti-join only, so they stay unshuffled where Spark
+    finds the written incoming edges small enough to broadcast their keys.
     """
-    stored = materialize(latest_edges(connections), "incoming-edges")
-    incoming = stored.df
-    keys = broadcast_if_small(incoming.select(EDGE_KEY), stored.rows)
-    untouched = existing.join(keys, EDGE_KEY, "left_anti")
+    incoming = materialize(latest_edges(connections), "incoming-edges").df
+    untouched = existing.join(incoming.select(EDGE_KEY), EDGE_KEY, "left_anti")
     return untouched.select(EDGES.names).unionByName(incoming)
 
 

@@ -3,10 +3,9 @@
 A trail may visit a neuron again but never uses the same edge twice. Filters hold
 for every edge of a trail, so edges are filtered before any join.
 
-Every hop is one equi-join on a neuron id. A frontier is written to shared storage
-before it is used again: each hop is then computed once, its row count is known,
-and it is broadcast only when that count is small. Otherwise both sides are
-shuffled, and AQE splits the partitions of hub neurons on either side.
+Every hop is one equi-join on a neuron id, whose hubs `hub_join` deals to many tasks.
+A frontier is written to shared storage before it is used again: each hop is then
+computed once, and Spark knows its size when it chooses how to join.
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgelytics.functions.filters import ALL_EDGES, EdgeFilter
+from edgelytics.operators.hub_join import hub_join
 from edgelytics.operators.lookup import near_table, split_columns
 from edgelytics.operators.partners import Roots, edges_of, store_roots
 from edgelytics.schema import PATH_EDGE
@@ -47,15 +47,15 @@ def _step(edges: DataFrame, far: str, hop: int) -> list[Column]:
 def _extend(trails: DataFrame, edges: DataFrame, hop: int, near: str, far: str) -> DataFrame:
     """Join the edges that continue each trail at its last node, minus those it has used."""
     step = edges.select(F.col(near).alias("near"), *_step(edges, far, hop))
-    joined = F.col(_node(hop - 1)) == F.col("near")
+    fresh = F.lit(True)
     for used in range(1, hop):
         same_edge = (
             (F.col(_node(used - 1)) == F.col("near"))
             & (F.col(_node(used)) == F.col(_node(hop)))
             & F.col(f"neuropil_{used}").eqNullSafe(F.col(f"neuropil_{hop}"))
         )
-        joined &= ~same_edge
-    return trails.join(step, joined).drop("near")
+        fresh &= ~same_edge
+    return hub_join(trails, _node(hop - 1), step, "near").where(fresh).drop("near")
 
 
 def trails(
@@ -85,7 +85,7 @@ def trails(
             lengths[-1] = stored.df
             if stored.rows == 0:
                 break
-            frontier = stored.join_side
+            frontier = stored.df
             nearby = near_table(usable, near, stored, _node(hop - 1))
         current = _extend(frontier, nearby, hop, near, far)
         lengths.append(current)
@@ -193,9 +193,8 @@ def two_hop_downstream(
 
 def _neighbours(usable: dict[str, DataFrame], frontier: Stored) -> DataFrame:
     """(root_id, node_id) of all neighbours, in either direction, of a frontier's nodes."""
-    side = frontier.join_side
     ways = [
-        side.join(near_table(table, near, frontier, "node_id"), F.col("node_id") == F.col(near))
+        hub_join(frontier.df, "node_id", near_table(table, near, frontier, "node_id"), near)
         .select("root_id", F.col("dst" if near == "src" else "src").alias("node_id"))
         for near, table in usable.items()
     ]
@@ -254,10 +253,14 @@ def circuit(
     """Passing edges with both ends within k undirected hops of a root, per root."""
     nodes = k_hop_nodes(edges, roots, k, flt, max_hops, edges_by_dst)
     members = materialize(nodes, "circuit-nodes")
-    inside = members.join_side
+    inside = members.df
     usable = near_table(edges, "src", members, "node_id").where(flt.condition)
     usable = usable.select("src", "dst", "neuropil", "syn_count", "dominant_nt")
-    leaving = usable.join(inside, F.col("src") == F.col("node_id")).drop("node_id")
+    # only edges with both ends among the members of any root can lie in a circuit
+    anywhere = materialize(inside.select("node_id").distinct(), "circuit-members").df
+    for end in ("src", "dst"):
+        usable = usable.join(anywhere, F.col(end) == F.col("node_id"), "left_semi")
+    leaving = hub_join(usable, "src", inside, "node_id").drop("node_id")
     targets = inside.select("root_id", F.col("node_id").alias("dst"))
     return leaving.join(targets, ["root_id", "dst"], "left_semi").select(
         "root_id",
@@ -269,21 +272,18 @@ def circuit(
     )
 
 
-def circuit_documents(connections: DataFrame, piece_rows: int = 10_000) -> DataFrame:
+def circuit_documents(connections: DataFrame, pieces: int) -> DataFrame:
     """Circuit rows nested as documents, as (root_id, piece, circuits[0].connections[]).
 
-    A circuit of up to `piece_rows` connections is one document. A larger one is
-    spread by hash over pieces of about that size, so no task gathers a whole hub.
+    Every root's connections are dealt to `pieces` documents, 0 to pieces - 1, by the sum
+    of their two neuron ids, whatever the circuit's size; pieces without a connection have
+    no row. Choose as many as keep a piece of the largest circuit small enough for a task.
     """
     columns = [c for c in connections.columns if c != "root_id"]
-    stored = materialize(connections, "circuit").df
-    sizes = stored.groupBy("root_id").agg(
-        F.ceil(F.count("*") / F.lit(piece_rows)).alias("pieces")
-    )
-    piece = F.pmod(F.xxhash64(*columns), F.col("pieces")).cast("int").alias("piece")
-    spread = stored.join(sizes, "root_id").select("root_id", piece, F.struct(*columns).alias("row"))
-    # The join has put each root into one partition; its pieces go to different ones.
-    nested = spread.repartition("root_id", "piece").groupBy("root_id", "piece").agg(
+    ends = F.col("source_root_id") + F.col("target_root_id")
+    piece = F.pmod(ends, F.lit(pieces)).cast("int").alias("piece")
+    spread = connections.select("root_id", piece, F.struct(*columns).alias("row"))
+    nested = spread.groupBy("root_id", "piece").agg(
         F.sort_array(F.collect_list("row")).alias("connections")
     )
     return nested.select("root_id", "piece", F.array(F.struct("connections")).alias("circuits"))

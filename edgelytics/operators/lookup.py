@@ -14,7 +14,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgelytics import session
 from edgelytics.session import Stored
 
 
@@ -45,12 +44,13 @@ def near_ids(edges: DataFrame, end: str, ids: Iterable[int]) -> DataFrame:
 
 
 def near_table(edges: DataFrame, end: str, neurons: Stored, column: str) -> DataFrame:
-    """The same for the ids in a stored table, if it is small. What reaches the driver
-    is at most one number per directory."""
+    """The same for the ids in a stored table. The parts that occur are joined by the split
+    column, so Spark prunes directories while it runs; nothing passes through the driver."""
     split = _split(edges, end)
-    if split is None or neurons.rows > session.BROADCAST_ROWS:
+    if split is None:
         return edges
     name, parts = split
-    part = F.pmod(column, F.lit(parts)).cast("int").alias("part")
-    wanted = neurons.df.select(part).distinct().collect()
-    return edges.where(F.col(name).isin(sorted(r.part for r in wanted if r.part is not None)))
+    part = F.pmod(column, F.lit(parts)).cast("int").alias("_part")
+    # the condition, always true, tells Spark that looking up the parts first pays
+    wanted = neurons.df.select(part).distinct().where(F.col("_part") >= 0)
+    return edges.join(F.broadcast(wanted), F.col(name) == F.col("_part"), "left_semi")  # a number per directory

@@ -22,10 +22,14 @@ def _reweighted(edges: DataFrame, factor: Column) -> DataFrame:
 def reweight(edges: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Outgoing edges of each scenario neuron, their synapse count times its factor.
 
-    `scenarios` has (root_id, factor); a null synapse count weighs nothing.
+    `scenarios` has (root_id, factor), each neuron once; a null or repeated root_id is an
+    error, as it would lose or multiply edges. A null synapse count weighs nothing.
     """
-    wanted = materialize(scenarios.select("root_id", "factor"), "scenarios")
-    joined = edges.join(wanted.join_side, F.col("src") == F.col("root_id"))
+    wanted = materialize(scenarios.select("root_id", "factor"), "scenarios").df
+    unclear = wanted.groupBy("root_id").agg(F.count("*").alias("times")).where("root_id is null or times > 1")
+    if not unclear.isEmpty():
+        raise ValueError("every scenario needs a root_id of its own")
+    joined = edges.join(wanted, F.col("src") == F.col("root_id"))
     return _reweighted(joined, F.col("factor"))
 
 

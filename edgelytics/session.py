@@ -8,12 +8,6 @@ from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Largest table this package broadcasts: rows are a handful of ids, counts and
-# short labels, so this is some tens of megabytes at most. Anything that has not
-# been counted, or that counts more, is joined by shuffle.
-BROADCAST_ROWS = 100_000
 
 _local_scratch: dict[str, str] = {}
 
@@ -29,10 +23,6 @@ class Stored:
         """The exact row count, taken from the file footers."""
         return self.df.count()
 
-    @property
-    def join_side(self) -> DataFrame:
-        return broadcast_if_small(self.df, self.rows)
-
 
 def get_session(app_name: str = "edgelytics", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators count on.
@@ -95,11 +85,3 @@ def release_scratch(spark: SparkSession) -> None:
 def path_exists(spark: SparkSession, path: str) -> bool:
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
-
-
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """Mark `df` for broadcast if its counted rows stay within BROADCAST_ROWS.
-
-    A larger table is left to a shuffle join, whose skewed keys AQE splits.
-    """
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from edgelytics.functions.filters import EdgeFilter
 from edgelytics.operators import edges as eg
-from edgelytics.operators import hops, partners, whatif
+from edgelytics.operators import hops, hub_join, partners, whatif
 from edgelytics.plans.neuron_report import SECTIONS, neuron_report_counts
 from edgelytics.schema import CONNECTIONS, EDGES
-from edgelytics import session
 
 
 def test_edges(tiny, tiny_edges):
@@ -82,7 +81,6 @@ def test_roots_as_ids_table_or_all(spark, tiny_edges, operator, monkeypatch):
     assert rows(operator(tiny_edges, ids)) == everyone
     assert rows(operator(tiny_edges, roots_of(spark, *ids, *ids))) == everyone
     monkeypatch.setattr(partners, "LITERAL_IDS", 2)
-    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
     assert rows(operator(tiny_edges, ids)) == everyone
 
 
@@ -93,9 +91,9 @@ def test_pairs(tiny_edges):
         (2, 3, 7, "GABA,Acetylcholine", "AL_L"),
         (4, 5, 6, "", "FB"),
     ]
-    for limit in (0, 1001):
-        with pytest.raises(ValueError):
-            partners.dataset_pairs(tiny_edges, limit=limit)
+    assert partners.dataset_pairs(tiny_edges, limit=5000).count() == 6
+    with pytest.raises(ValueError):
+        partners.dataset_pairs(tiny_edges, limit=0)
 
 
 def test_what_if(spark, tiny_edges):
@@ -113,6 +111,9 @@ def test_what_if(spark, tiny_edges):
     found = rows(whatif.reweight(tiny_edges, scenarios), "source_id", "effective_syn_count")
     assert found == [(1, 0.0), (1, 0.0), (3, 1.0), (3, 2.0)]
     assert rows(partners.outgoing_edges(tiny_edges, [2])) == [(2, 3, 7, "AL_L"), (2, 4, None, "FB")]
+    for unclear in ([(1, 2.0), (1, 3.0)], [(None, 1.0)]):
+        with pytest.raises(ValueError, match="root_id"):
+            whatif.reweight(tiny_edges, spark.createDataFrame(unclear, "root_id bigint, factor double"))
 
 
 def test_two_hop(tiny_edges):
@@ -171,11 +172,12 @@ def test_circuits(tiny_edges):
 
 def test_circuit_documents(spark, tiny_edges):
     found = hops.circuit(tiny_edges, k=2)
-    whole = hops.circuit_documents(found).collect()
+    whole = hops.circuit_documents(found, pieces=1).collect()
     assert {r.piece for r in whole} == {0}
     by_root = {r.root_id: r.circuits[0].connections for r in whole}
     assert [tuple(c) for c in by_root[4]] == [(4, 5, "FB", 6, "")]
-    pieces = hops.circuit_documents(found, piece_rows=2).collect()
+    pieces = hops.circuit_documents(found, pieces=3).collect()
+    assert {r.piece for r in pieces} == {0, 1, 2}
     spread = [(r.root_id, *c) for r in pieces for c in r.circuits[0].connections]
     assert len(pieces) > len(whole) and sorted(spread) == rows(found)
 
@@ -221,10 +223,11 @@ def brute_nodes(edges, root, k):
     return reached
 
 
-@pytest.mark.parametrize(("seed", "rows_to_broadcast"), [(1, 100_000), (2, 0)])
-def test_against_brute_force(spark, monkeypatch, seed, rows_to_broadcast):
-    monkeypatch.setattr(session, "BROADCAST_ROWS", rows_to_broadcast)
-    if rows_to_broadcast == 0:
+@pytest.mark.parametrize(("seed", "cell_rows"), [(1, 1_000_000), (2, 20)])
+def test_against_brute_force(spark, monkeypatch, seed, cell_rows):
+    # small cells: nearly every neuron is cut as a hub would be
+    monkeypatch.setattr(hub_join, "CELL_ROWS", cell_rows)
+    if cell_rows == 20:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         everything = random_edges(seed)

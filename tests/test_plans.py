@@ -3,11 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from edgelytics import session
 from edgelytics.functions.transmitters import with_dominant
 from edgelytics.operators import edges as eg
 from edgelytics.operators import histogram as hg
-from edgelytics.operators import hops
+from edgelytics.operators import hops, hub_join
 from edgelytics.schema import EDGES
 
 
@@ -60,33 +59,26 @@ def hub_edges(spark, count=60_000):
     return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in rest])
 
 
-def test_hub_is_split_in_hop_joins(spark, settings, monkeypatch):
-    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
-    settings(
-        {
-            "spark.sql.autoBroadcastJoinThreshold": "-1",
-            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50k",
-            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
-        }
-    )
-    edges = hub_edges(spark)
-    counted = hops.two_hop_downstream(edges).agg(F.count("*"))
-    found = counted.collect()[0][0]
-    assert "skew=true" in plan(counted)
-    into = edges.groupBy("dst").count().collect()
-    out = dict(edges.groupBy("src").count().collect())
-    loops = edges.where("src = dst").count()
-    assert found == sum(r["count"] * out.get(r["dst"], 0) for r in into) - loops
-
-
-def test_small_frontier_is_broadcast_and_large_is_not(spark, settings, monkeypatch):
-    settings({"spark.sql.autoBroadcastJoinThreshold": "-1"})
+def test_hub_output_is_spread_under_default_settings(spark, settings, monkeypatch):
+    """A hub of thousands of edges in and out, and what each task makes of it."""
+    monkeypatch.setattr(hub_join, "CELL_ROWS", 50_000)
+    settings({"spark.sql.shuffle.partitions": "64"})
+    ends = spark.range(3_000).select((F.col("id") + 10).alias("far"))
+    into = ends.select(F.col("far").alias("src"), F.lit(1).cast("bigint").alias("dst"))
+    out = ends.select(F.lit(1).cast("bigint").alias("src"), (F.col("far") + 5_000).alias("dst"))
+    df = into.union(out).select("src", "dst", F.lit("R").alias("neuropil"), F.lit(3).alias("syn_count"))
+    rest = [f for f in EDGES.fields if f.name not in df.columns]
+    edges = df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in rest])
+    found = hops.two_hop_downstream(edges).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in found) == 9_000_000
+    assert max(r["count"] for r in found) <= 10 * 50_000
+    ids = hops.two_hop_downstream(edges).select("post2_id", "root_id").distinct().count()
+    assert ids == 9_000_000
+
+
+def test_ordinary_neurons_are_not_cut(spark):
     edges = hub_edges(spark, 3_000)
-    roots = edges.select(F.col("src").alias("root_id")).distinct()
-    assert "BroadcastHashJoin" in plan(hops.trails(edges, roots, 2)[1])
-    monkeypatch.setattr(session, "BROADCAST_ROWS", 100)
-    assert "BroadcastHashJoin" not in plan(hops.trails(edges, roots, 2)[1])
+    assert "Generate" not in plan(hops.two_hop_downstream(edges))
 
 
 def test_trails_are_written_once_per_hop(spark):
