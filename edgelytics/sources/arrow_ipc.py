@@ -3,9 +3,11 @@
     register(spark)
     spark.read.format("arrow_ipc").load("/data/connections.feather")
 
-Options: `path` (a file, or a folder with *.feather / *.arrow / *.ipc files) and
-`columns` (comma-separated; only these are decoded). The `ord` column is made from
-the position of a row: file, record batch, row.
+Options: `path` (a file, or a folder with *.feather / *.arrow / *.ipc files),
+`columns` (comma-separated; only these are decoded) and `first_file`. The `ord` column is
+made from the position of a row: file, record batch, row. Files are numbered in the order
+of their paths from `first_file` on; give each later load the number of files read before
+it, so that its rows come after theirs.
 """
 
 from __future__ import annotations
@@ -34,6 +36,25 @@ _WHOLE_FILE_BYTES = 128 * 1024 * 1024
 _FOOTER_THREADS = 32
 # Bits of `ord` for the batch within its file and the row within its batch.
 _BATCH_BITS, _ROW_BITS = 18, 25
+# What is left of a bigint for the file.
+_FILE_BITS = 63 - _BATCH_BITS - _ROW_BITS
+
+
+# Spark's names for a file system that Arrow knows by another.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path, and the path within it."""
+    scheme, sep, rest = path.partition("://")
+    uri = f"{_SCHEMES.get(scheme, scheme)}{sep}{rest}"
+    try:
+        return pafs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid as unknown:
+        raise ValueError(
+            f"Arrow IPC files are read through Arrow's own file systems, which do not know {path!r}: "
+            "use a local, hdfs, s3, gs or abfs path"
+        ) from unknown
 
 
 @dataclass
@@ -45,12 +66,13 @@ class _Batches(InputPartition):
 
 
 class _IpcReader(DataSourceReader):
-    def __init__(self, schema: StructType, path: str) -> None:
+    def __init__(self, schema: StructType, path: str, first_file: int = 0) -> None:
         self.schema = schema
         self.path = path
+        self.first_file = first_file
 
     def partitions(self) -> list[_Batches]:
-        fs, root = pafs.FileSystem.from_uri(self.path)
+        fs, root = file_system(self.path)
         found = fs.get_file_info(root)
         if found.type == pafs.FileType.NotFound:
             raise FileNotFoundError(self.path)
@@ -61,6 +83,7 @@ class _IpcReader(DataSourceReader):
             files = [found]
 
         def split(index: int, file: pafs.FileInfo) -> list[_Batches]:
+            index += self.first_file
             if file.size <= _WHOLE_FILE_BYTES:
                 return [_Batches(file.path, index, 0, None)]
             with fs.open_input_file(file.path) as handle:
@@ -73,7 +96,7 @@ class _IpcReader(DataSourceReader):
             return [part for parts in pool.map(split, *zip(*enumerate(files))) for part in parts]
 
     def read(self, partition: _Batches) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(self.path)
+        fs, _ = file_system(self.path)
         target = to_arrow_schema(self.schema)
         with fs.open_input_file(partition.path) as handle:
             names = ipc.open_file(handle).schema.names
@@ -93,8 +116,9 @@ class _IpcReader(DataSourceReader):
 def _conform(
     batch: pa.RecordBatch, target: pa.Schema, file_index: int, number: int
 ) -> pa.RecordBatch:
-    if batch.num_rows >= 1 << _ROW_BITS or number >= 1 << _BATCH_BITS:
-        raise ValueError("too many rows in a record batch, or batches in a file, to number them")
+    fits = batch.num_rows < 1 << _ROW_BITS and number < 1 << _BATCH_BITS and file_index < 1 << _FILE_BITS
+    if not fits:
+        raise ValueError("too many rows in a record batch, batches in a file or files to number them")
     start = ((file_index << _BATCH_BITS) | number) << _ROW_BITS
     columns = []
     for field in target:
@@ -118,7 +142,7 @@ class ArrowIpcSource(DataSource):
         return StructType([CONNECTIONS[c] for c in asked or CONNECTIONS.names])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _IpcReader(schema, self.options["path"])
+        return _IpcReader(schema, self.options["path"], int(self.options.get("first_file", 0)))
 
 
 def register(spark: SparkSession) -> None:
@@ -128,10 +152,13 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArrowIpcSource)
 
 
-def read_ipc(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Connections of an Arrow IPC file or folder; `columns` limits what is decoded."""
+def read_ipc(
+    spark: SparkSession, path: str, columns: list[str] | None = None, first_file: int = 0
+) -> DataFrame:
+    """Connections of an Arrow IPC file or folder; `columns` limits what is decoded, and
+    `first_file` is the number of the first file, for loads after the first."""
     register(spark)
-    reader = spark.read.format("arrow_ipc")
+    reader = spark.read.format("arrow_ipc").option("first_file", first_file)
     if columns:
         reader = reader.option("columns", ",".join(columns))
     return reader.load(path)

@@ -7,14 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from edgelytics.functions.transmitters import drop_probabilities, with_dominant
-from edgelytics.operators.reports import first_n_rows
 from edgelytics.schema import GOLD, GOLD_NARROW
 
 
 def write_gold(
     connections: DataFrame,
     path: str,
-    max_rows: int | None = None,
     keep_probabilities: bool = True,
 ) -> str:
     """Enrich connections and replace the dataset at `path`, one directory per region.
@@ -23,8 +21,6 @@ def write_gold(
     files and packs small ones together. Files are ordered by synapse count, so that
     a threshold skips row groups. Rows without a region go to the null directory.
     """
-    if max_rows is not None:
-        connections = first_n_rows(connections, max_rows)
     gold = with_dominant(connections)
     if not keep_probabilities:
         gold = drop_probabilities(gold)

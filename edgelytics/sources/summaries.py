@@ -60,9 +60,12 @@ def summary_histograms(document: DataFrame) -> DataFrame:
 
 
 def _safe_int(path: str) -> Column:
-    text = F.get_json_object("summary_json", path)
-    whole = text.try_cast("bigint")
-    return F.coalesce(whole, text.try_cast("double").try_cast("bigint"))
+    """The number at a path, its fraction cut off; text, true and false are not numbers."""
+    value = F.try_variant_get(F.try_parse_json("summary_json"), path, "variant")
+    number = F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|DECIMAL.*|FLOAT)$")
+    found = F.try_variant_get(F.try_parse_json("summary_json"), path, "double")
+    whole = F.try_variant_get(F.try_parse_json("summary_json"), path, "bigint")
+    return F.when(number, F.coalesce(whole, found.try_cast("bigint")))
 
 
 def summary_record(document: DataFrame, dataset_id: str) -> DataFrame:

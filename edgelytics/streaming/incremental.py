@@ -1,21 +1,25 @@
 """Incremental ingest: each arriving batch of connections updates cube and edges.
 
-Every micro-batch writes one directory per table, named by its batch id. A batch
-that is retried after a failure replaces its own directory, so nothing is counted
-twice, and earlier batches are never rewritten. Readers combine the batches:
-histogram counts add up over raw rows, edges keep the latest row per key. Rows that
-cannot become an edge are kept aside.
+Every micro-batch writes one directory per table, named by its batch id, and last of all
+a commit. Readers combine the committed batches only, so no table shows a batch that
+another one lacks. A batch that is retried after a failure replaces its own directories,
+so nothing is counted twice, and earlier batches are never rewritten. Histogram counts
+add up over raw rows; of edges with equal keys the one of the latest batch holds, and
+within a batch the one with the largest `ord`. Rows that cannot become an edge are kept
+aside.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import LongType, StructField, StructType
 
 from edgelytics.functions.transmitters import with_dominant
 from edgelytics.operators.edges import latest_edges, rejected_connections
 from edgelytics.operators.histogram import connection_cube, merge_cubes
-from edgelytics.schema import CONNECTIONS, CUBE, EDGES, require_columns
+from edgelytics.schema import CONNECTIONS, CUBE, EDGE_KEY, EDGES, NT_COLUMNS, require_columns
 
 
 def read_connection_stream(
@@ -36,29 +40,47 @@ def ingest(connections: DataFrame, path: str) -> DataStreamWriter:
     require_columns(connections, CONNECTIONS.names)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        cube = connection_cube(with_dominant(batch))
-        cube.write.mode("overwrite").parquet(f"{path}/cube/batch={batch_id}")
-        latest_edges(batch).write.mode("overwrite").parquet(f"{path}/edges/batch={batch_id}")
-        rejects = rejected_connections(batch)
-        rejects.write.mode("overwrite").parquet(f"{path}/rejects/batch={batch_id}")
+        def write(table: str, rows: DataFrame) -> None:
+            rows.write.mode("overwrite").parquet(f"{path}/{table}/batch={batch_id}")
+
+        batch.persist()  # read once for the three tables
+        try:
+            write("cube", connection_cube(with_dominant(batch)))
+            write("edges", latest_edges(batch))
+            write("rejects", rejected_connections(batch))
+        finally:
+            batch.unpersist()
+        write("commits", batch.sparkSession.range(1).selectExpr("id as committed"))
 
     return connections.writeStream.foreachBatch(store).option(
         "checkpointLocation", f"{path}/checkpoint"
     )
 
 
+def _committed(spark: SparkSession, path: str, table: str, schema: StructType) -> DataFrame:
+    """The rows of a table's committed batches, with their `batch`."""
+    numbered = StructType([*schema.fields, StructField("batch", LongType())])
+    commits = spark.read.schema("committed long, batch long").parquet(f"{path}/commits")
+    stored = spark.read.schema(numbered).parquet(f"{path}/{table}")
+    return stored.join(commits.select("batch"), "batch", "left_semi")
+
+
 def current_cube(spark: SparkSession, path: str) -> DataFrame:
     """The cube of everything ingested so far."""
-    return merge_cubes(spark.read.schema(CUBE).parquet(f"{path}/cube"))
+    return merge_cubes(_committed(spark, path, "cube", CUBE).select(CUBE.names))
 
 
 def current_edges(spark: SparkSession, path: str) -> DataFrame:
-    """The latest edge per key of everything ingested so far."""
-    batches = spark.read.schema(EDGES).parquet(f"{path}/edges")
-    renamed = batches.withColumnsRenamed({"src": "pre_pt_root_id", "dst": "post_pt_root_id"})
-    return latest_edges(renamed.select(CONNECTIONS.names))
+    """The edge of the latest batch per key, of everything ingested so far.
+
+    A batch has a key once, so its number decides; `ord` need not grow from batch to batch.
+    """
+    values = ["syn_count", *NT_COLUMNS, "ord"]
+    batches = _committed(spark, path, "edges", EDGES)
+    latest = batches.groupBy(EDGE_KEY).agg(*[F.max_by(c, "batch").alias(c) for c in values])
+    return with_dominant(latest).select(EDGES.names)
 
 
 def current_rejects(spark: SparkSession, path: str) -> DataFrame:
     """Rows ingested so far that miss a part of the edge key."""
-    return spark.read.schema(CONNECTIONS).parquet(f"{path}/rejects").select(CONNECTIONS.names)
+    return _committed(spark, path, "rejects", CONNECTIONS).select(CONNECTIONS.names)

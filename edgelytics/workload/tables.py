@@ -16,10 +16,10 @@ from edgelytics.sources.graph import Graph, read_graph, write_graph
 
 _PROBABILITY = "case when l_orderkey % 97 = 0 then null else cast(({0}) % 5 as double) / 4 end as {1}"
 
-# `ord` orders the rows of one sending neuron. It leaves the part key out, which would
-# overflow a bigint at large scale; edges are identified by their key, not by `ord`.
+# `ord` orders the rows of one edge key, which holds the part and the customer: order line
+# and supplier then tell rows apart, up to ten million suppliers and 9 * 10^10 orders.
 CONNECTION_COLUMNS = [
-    "(l_orderkey * 10 + l_linenumber) * 1000 + l_suppkey % 1000 as ord",
+    "(l_orderkey * 10 + l_linenumber) * 10000000 + l_suppkey % 10000000 as ord",
     "case when l_orderkey % 1009 = 0 then null else l_partkey end as pre_pt_root_id",
     "o_custkey as post_pt_root_id",
     "case when l_orderkey % 103 = 0 then null else concat(l_returnflag, '_', l_linestatus) end as neuropil",
