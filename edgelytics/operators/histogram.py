@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from edgelytics.functions.transmitters import explode_nt
 from edgelytics.schema import CUBE, require_columns
 
-DEFAULT_QUANTILES = (0.25, 0.5, 0.75)
-
 
 def connection_cube(gold: DataFrame) -> DataFrame:
     """Row counts by (neuropil, dominant_nt, syn_count); null keys are kept."""
@@ -116,15 +114,6 @@ def syn_cdf(cube: DataFrame) -> DataFrame:
     return hist_global(cube).withColumn("running", running)
 
 
-def parse_quantiles(text: str) -> list[float]:
-    """Comma-separated quantiles; blanks are skipped, an empty list means the quartiles."""
-    values = [float(part) for part in text.split(",") if part.strip()]
-    for q in values:
-        if not 0.0 <= q <= 1.0:
-            raise ValueError(f"Invalid quantile {q}; must be in [0,1]")
-    return values or list(DEFAULT_QUANTILES)
-
-
 def _at_quantile(q: float, total: Column) -> Column:
     # Index round-half-even(q * (total - 1)) in the sorted values, else the largest value.
     index = F.rint(F.lit(q) * (total - 1))

@@ -38,7 +38,7 @@ def edges_of(edges: DataFrame, roots: Roots, end: str) -> DataFrame:
         roots = edges.sparkSession.createDataFrame([(r,) for r in ids], NEURONS)
     wanted = roots if isinstance(roots, Stored) else store_roots(roots)
     nearby = near_table(edges, end, wanted, "root_id")
-    return nearby.join(wanted.join_side, F.col(end) == F.col("root_id"))
+    return nearby.join(wanted.df, F.col(end) == F.col("root_id"))
 
 
 def store_roots(roots: DataFrame) -> Stored:
@@ -88,11 +88,11 @@ def outgoing_edges(edges: DataFrame, roots: Roots = None) -> DataFrame:
 
 
 def dataset_pairs(
-    edges: DataFrame, flt: EdgeFilter = EdgeFilter(threshold=1), limit: int = 200
+    edges: DataFrame, limit: int, flt: EdgeFilter = EdgeFilter(threshold=1)
 ) -> DataFrame:
     """The `limit` strongest connections under a filter, as (pre, post, region) rows."""
-    if not 1 <= limit <= 1000:
-        raise ValueError("limit must be between 1 and 1000")
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     listed = edges.where(flt.condition).select(
         F.col("src").alias("pre_id"),
         F.col("dst").alias("post_id"),
@@ -105,7 +105,7 @@ def dataset_pairs(
 
 
 def gold_pairs(
-    gold: DataFrame, flt: EdgeFilter = EdgeFilter(threshold=1), limit: int = 200
+    gold: DataFrame, limit: int, flt: EdgeFilter = EdgeFilter(threshold=1)
 ) -> DataFrame:
     """`dataset_pairs` straight from the region-partitioned dataset, where only the
     directory of the requested region is read. Rows with a null id are skipped."""
@@ -113,4 +113,4 @@ def gold_pairs(
     as_edges = gold.where(ends).withColumnsRenamed(
         {"pre_pt_root_id": "src", "post_pt_root_id": "dst"}
     )
-    return dataset_pairs(as_edges, flt, limit)
+    return dataset_pairs(as_edges, limit, flt)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from edgelytics.schema import NT_LABELS
-
-# A range of at most this many rows may be sorted in one task to apply a row cap.
-SORTED_ROWS = 100_000
-_SLICES = 4_096
+from edgelytics.session import materialize
 
 
 def connections_per_neuropil(gold: DataFrame) -> DataFrame:
@@ -31,13 +30,20 @@ def avg_dominant_score(gold: DataFrame) -> DataFrame:
     return averaged.orderBy(F.desc("avg_score"), "dominant_nt")
 
 
-def neuropil_nt_matrix(gold: DataFrame, texts: list[str] | None = None) -> DataFrame:
+def label_texts() -> list[str]:
+    """Every dominant-NT text there can be: each subset of the labels in vocabulary order,
+    the empty one for rows without a label."""
+    sizes = range(len(NT_LABELS) + 1)
+    return [",".join(labels) for size in sizes for labels in combinations(NT_LABELS, size)]
+
+
+def neuropil_nt_matrix(gold: DataFrame) -> DataFrame:
     """Rows per region (down) and dominant-NT text (across), zero where there are none.
 
-    Give `texts` for a fixed set of columns. Without it Spark looks them up first;
-    there are at most 64: one per subset of the labels.
+    There is a column for each of `label_texts`, so every row is in exactly one cell and
+    no job has to look the texts up.
     """
-    return gold.groupBy("neuropil").pivot("dominant_nt", texts).count().fillna(0)
+    return gold.groupBy("neuropil").pivot("dominant_nt", label_texts()).count().fillna(0)
 
 
 def neuropil_nt_counts(gold: DataFrame) -> DataFrame:
@@ -45,11 +51,6 @@ def neuropil_nt_counts(gold: DataFrame) -> DataFrame:
     return gold.groupBy("neuropil", "dominant_nt").agg(F.count("*").alias("connections"))
 
 
-def label_matrix(gold: DataFrame) -> DataFrame:
-    """The matrix with one column per single label."""
-    return neuropil_nt_matrix(gold, NT_LABELS)
-
-
 def schema_report(df: DataFrame) -> DataFrame:
     """Each column's name and type, in order, beside the table's row count."""
     columns = F.array(
@@ -69,26 +70,19 @@ def schema_report(df: DataFrame) -> DataFrame:
 def first_n_rows(df: DataFrame, n: int, ord_column: str = "ord") -> DataFrame:
     """The n rows that come first by `ord_column` (not null), ties by the other columns.
 
-    Counting narrows the range in which the n-th row lies until it holds few rows. Rows
-    before the range are taken as they are; only the range itself is sorted in one
-    task, so the cap may be as large as the table. Only counts reach the driver.
+    The rows are sorted once, by ranges, and written. Ranges before the one in which the
+    cap falls are kept whole, and only that one is cut, so the cap may be as large as the
+    table. One row count per range is summed up; the number of the cut range and the rows
+    left for it reach the driver.
     """
-    position = F.col(ord_column)
-    low, high, rows = df.agg(F.min(position), F.max(position), F.count(position)).first()
-    before = 0
-    if rows <= n:
-        return df
-    while rows > SORTED_ROWS and low < high:
-        width = -(-(high - low + 1) // _SLICES)
-        sliced = df.where(position.between(low, high)).groupBy(
-            F.expr(f"({ord_column} - {low}) div {width}").alias("slice")
-        )
-        running = F.sum("rows").over(W.orderBy("slice"))
-        counted = sliced.agg(F.count("*").alias("rows")).withColumn("running", running)
-        hit = counted.where(F.col("running") >= n - before).orderBy("slice").first()
-        before += hit["running"] - hit["rows"]
-        rows = hit["rows"]
-        low, high = low + hit["slice"] * width, min(high, low + (hit["slice"] + 1) * width - 1)
     order = [ord_column, *[c for c in df.columns if c != ord_column]]
-    rest = df.where(position.between(low, high)).orderBy(*order).limit(n - before)
-    return df.where(position < low).union(rest) if before else rest
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranked = materialize(ranges.withColumn("_range", F.spark_partition_id()), "ranges").df
+    counted = ranked.groupBy("_range").agg(F.count("*").alias("rows"))
+    counted = counted.withColumn("running", F.sum("rows").over(W.orderBy("_range")))
+    cut = counted.where(F.col("running") >= n).orderBy("_range").first()
+    if cut is None:
+        return ranked.drop("_range")
+    within = ranked.where(F.col("_range") == cut["_range"]).orderBy(*order)
+    left = n - (cut["running"] - cut["rows"])
+    return ranked.where(F.col("_range") < cut["_range"]).union(within.limit(left)).drop("_range")

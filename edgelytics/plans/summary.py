@@ -20,7 +20,6 @@ from edgelytics.operators.histogram import (
     syn_stats,
     unique_counts,
 )
-from edgelytics.operators.reports import first_n_rows
 from edgelytics.schema import NT_LABELS
 from edgelytics.session import materialize
 
@@ -120,9 +119,10 @@ def summarize(
     max_rows: int | None = None,
     quantiles: Sequence[float] | None = SUMMARY_QUANTILES,
 ) -> DataFrame:
-    """The summary document of raw connections; rows without a label count for no label."""
-    if max_rows is not None:
-        connections = first_n_rows(connections, max_rows)
+    """The summary document of raw connections; rows without a label count for no label.
+
+    `max_rows` only labels the document: say so if `connections` were capped before.
+    """
     cube = materialize(connection_cube(with_dominant(connections)), "cube").df
     ids = unique_counts(connections, cube)
     return summary_document(cube, ids, input_name, max_rows, quantiles)
@@ -131,10 +131,9 @@ def summarize(
 def summarize_gold(gold: DataFrame, input_name: str, max_rows: int | None = None) -> DataFrame:
     """The summary document of the enriched dataset, from its dominant-NT texts.
 
-    It has no quantiles, and counts rows without a label under the label "".
+    It has no quantiles, and counts rows without a label under the label "". `max_rows`
+    only labels the document.
     """
-    if max_rows is not None:
-        gold = first_n_rows(gold, max_rows)
     cube = materialize(connection_cube(gold), "cube").df
     ids = unique_counts(gold, cube)
     return summary_document(cube, ids, input_name, max_rows, None, include_unassigned=True)

@@ -18,17 +18,6 @@ NEUROTRANSMITTERS = (
     ("Dopamine", "da_avg"),
 )
 
-# Brain regions that occur in the published connection table. Not
-# enforced anywhere; free-text regions are accepted.
-NEUROPILS = (
-    "AL_L AL_R AME_L AME_R AMMC_L AMMC_R AOTU_L AOTU_R ATL_L ATL_R AVLP_L AVLP_R "
-    "BU_L BU_R CAN_L CAN_R CRE_L CRE_R EB EPA_L EPA_R FB FLA_L FLA_R GA_L GA_R GNG "
-    "GOR_L GOR_R IB_L IB_R ICL_L ICL_R IPS_L IPS_R LAL_L LAL_R LA_L LA_R LH_L LH_R "
-    "LOP_L LOP_R LO_L LO_R MB_CA_L MB_CA_R MB_ML_L MB_ML_R MB_PED_L MB_PED_R MB_VL_L "
-    "MB_VL_R ME_L ME_R NO OCG PB PLP_L PLP_R PRW PVLP_L PVLP_R SAD SCL_L SCL_R SIP_L "
-    "SIP_R SLP_L SLP_R SMP_L SMP_R SPS_L SPS_R UNASGD VES_L VES_R WED_L WED_R"
-).split()
-
 NT_LABELS = [label for label, _ in NEUROTRANSMITTERS]
 NT_COLUMNS = [column for _, column in NEUROTRANSMITTERS]
 EDGE_KEY = ["src", "dst", "neuropil"]

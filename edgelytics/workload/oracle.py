@@ -125,16 +125,19 @@ def _trails(k: int, where: str, downstream: bool, roots: str = "true") -> str:
 
 
 def _nearby(k: int, where: str, roots: str = "true") -> str:
-    """Nodes within k undirected hops, root included."""
+    """Nodes within k undirected hops, root included, one materialised level after another."""
+    levels = [f"level_1 as materialized (select distinct a as root_id, b as node_id from both_ways where {roots})"]
+    for hop in range(2, k + 1):
+        levels.append(
+            f"""level_{hop} as materialized (select distinct w.root_id, e.b as node_id
+            from level_{hop - 1} w join both_ways e on e.a = w.node_id)"""
+        )
+    parts = " union ".join(f"select root_id, node_id from level_{hop}" for hop in range(1, k + 1))
     return f"""
-      usable as (select * from edges where {where}),
-      both_ways as (select src as a, dst as b from usable union select dst, src from usable),
-      walks as (
-        select a as root_id, b as node_id, 1 as hops from both_ways where {roots}
-        union
-        select w.root_id, e.b, w.hops + 1 from walks w join both_ways e on e.a = w.node_id
-        where w.hops < {k}),
-      nearby as (select root_id, node_id from walks union select root_id, root_id from walks)"""
+      usable as materialized (select * from edges where {where}),
+      both_ways as materialized (select src as a, dst as b from usable union select dst, src from usable),
+      {", ".join(levels)},
+      nearby as materialized ({parts} union select root_id, root_id from level_1)"""
 
 
 _CIRCUIT = """select n.root_id, u.src as source_root_id, u.dst as target_root_id, u.neuropil,
@@ -259,13 +262,20 @@ def _report(k: int, where: str) -> str:
 
 
 def _matrix() -> str:
-    texts = [("", "none"), *[(name, name) for name, _ in NEUROTRANSMITTERS]]
+    names = [name for name, _ in NEUROTRANSMITTERS]
+    subsets = [[n for i, n in enumerate(names) if mask >> i & 1] for mask in range(2 ** len(names))]
     cells = ", ".join(
-        f"count(*) filter (where dominant_nt = '{text}') as \"{column}\"" for text, column in texts
+        f"count(*) filter (where dominant_nt = '{','.join(s)}') as \"{'_'.join(s) or 'none'}\""
+        for s in subsets
     )
     return f"select neuropil, {cells} from gold group by neuropil"
 
 
+_LATER_LOAD_WINS = f"""with loads as (
+      select *, 0 as load from ({_connections(FIRST_LOAD)})
+      union all select *, 1 from ({_connections(SECOND_LOAD)})),
+    gold as ({_gold('loads')}) {_edges('gold', '(load, ord)')}"""
+
 ORACLE: dict[str, str] = {
     "scan_ipc": _with("connections", f"select {_RAW.removeprefix('ord, ')} from connections"),
     "gold_roundtrip": _with("gold", f"select {_RAW}, dominant_score, dominant_nt from gold"),
@@ -300,10 +310,7 @@ ORACLE: dict[str, str] = {
         """select * from connections
         where pre_pt_root_id is null or post_pt_root_id is null or neuropil is null""",
     ),
-    "edges_upsert": f"""with loads as (
-          select *, 0 as load from ({_connections(FIRST_LOAD)})
-          union all select *, 1 from ({_connections(SECOND_LOAD)})),
-        gold as ({_gold('loads')}) {_edges('gold', '(load, ord)')}""",
+    "edges_upsert": _LATER_LOAD_WINS,
     "summary_document": _RAW_DOCUMENT,
     "summary_document_gold": _with(
         "hist hist_np hist_np_nt_all ranked unique_ids", _document("hist_np_nt_all", [])
@@ -460,11 +467,12 @@ ORACLE: dict[str, str] = {
     "circuit": _with("edges", _CIRCUIT, _nearby(3, "syn_count >= 48"), recursive=True),
     "circuit_document": _with(
         "edges",
-        f"""select root_id, to_json({{'circuits': [{{'connections': list({{
+        f"""select root_id, ((source_root_id + target_root_id) % 4)::integer as piece,
+            to_json({{'circuits': [{{'connections': list({{
             'source_root_id': source_root_id, 'target_root_id': target_root_id, 'neuropil': neuropil,
             'syn_count': syn_count, 'dominant_nt': dominant_nt}}
             order by source_root_id, target_root_id, neuropil)}}]}})::varchar as document
-        from ({_CIRCUIT}) group by root_id""",
+        from ({_CIRCUIT}) group by all""",
         _nearby(1, "syn_count >= 40 and neuropil = 'A_F'"),
         recursive=True,
     ),
@@ -560,5 +568,5 @@ ORACLE: dict[str, str] = {
     "incremental_histogram": _with(
         "gold", "select neuropil, dominant_nt, syn_count, count(*) as count from gold group by all"
     ),
-    "incremental_edges": _with("edges", "select * from edges"),
+    "incremental_edges": _LATER_LOAD_WINS,
 }

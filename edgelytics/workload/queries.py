@@ -23,7 +23,7 @@ from edgelytics.operators import histogram as hg
 from edgelytics.operators import hops, partners, reports, tails, whatif
 from edgelytics.operators.histogram import connection_cube
 from edgelytics.plans import neuron_report, summary
-from edgelytics.schema import CONNECTIONS, CUBE, GOLD, NT_COLUMNS, NT_LABELS
+from edgelytics.schema import CONNECTIONS, CUBE, GOLD, NT_COLUMNS
 from edgelytics.session import materialize, scratch_path
 from edgelytics.sources import summaries
 from edgelytics.sources.arrow_ipc import read_ipc
@@ -39,6 +39,13 @@ from edgelytics.streaming import incremental
 from edgelytics.workload.tables import FIRST_LOAD, SECOND_LOAD, connections, gold, graph, load_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
+
+
+def column_name(text: str) -> str:
+    """A dominant-NT text as a column name."""
+    return text.replace(",", "_") or "none"
+
+
 QUERIES: dict[str, Query] = {}
 
 QUANTILES = [0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]
@@ -109,7 +116,7 @@ def scan_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairs_by_neuropil(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_gold(connections(spark, sf_dir), scratch_path(spark, "gold"))
     flt = EdgeFilter(threshold=10, neurotransmitter="gaba", neuropil="N_O")
-    return partners.gold_pairs(read_gold(spark, path), flt, limit=1000)
+    return partners.gold_pairs(read_gold(spark, path), 1000, flt)
 
 
 @query
@@ -395,8 +402,8 @@ def circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def circuit_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = edges(spark, sf_dir)
     found = hops.circuit(stored, k=1, flt=EdgeFilter(threshold=40, neuropil="a_f"))
-    nested = hops.circuit_documents(found)
-    return nested.select("root_id", F.to_json(F.struct("circuits")).alias("document"))
+    nested = hops.circuit_documents(found, pieces=4)
+    return nested.select("root_id", "piece", F.to_json(F.struct("circuits")).alias("document"))
 
 
 @query
@@ -406,7 +413,7 @@ def outgoing_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dataset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partners.dataset_pairs(edges(spark, sf_dir), EdgeFilter(1, "serotonin"), limit=1000)
+    return partners.dataset_pairs(edges(spark, sf_dir), 1000, EdgeFilter(1, "serotonin"))
 
 
 @query
@@ -503,8 +510,8 @@ def avg_dominant_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def neuropil_nt_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = reports.neuropil_nt_matrix(gold(spark, sf_dir), ["", *NT_LABELS])
-    return matrix.withColumnRenamed("", "none")
+    matrix = reports.neuropil_nt_matrix(gold(spark, sf_dir))
+    return matrix.toDF(*[column_name(c) for c in matrix.columns])
 
 
 @query
@@ -556,11 +563,12 @@ def region_bubbles_nt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ingested(spark: SparkSession, sf_dir: str) -> str:
+    """Two loads, one batch each, as they arrive."""
     arriving, target = scratch_path(spark, "arriving"), scratch_path(spark, "ingested")
     for load in (FIRST_LOAD, SECOND_LOAD):
         connections(spark, sf_dir, load).select(CONNECTIONS.names).write.mode("append").parquet(arriving)
-    stream = incremental.read_connection_stream(spark, arriving, files_per_batch=8)
-    incremental.ingest(stream, target).trigger(availableNow=True).start().awaitTermination()
+        stream = incremental.read_connection_stream(spark, arriving)
+        incremental.ingest(stream, target).trigger(availableNow=True).start().awaitTermination()
     return target
 
 

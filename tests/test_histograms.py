@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from edgelytics.functions.transmitters import with_dominant
 from edgelytics.operators import histogram as hg
+from edgelytics.operators.reports import first_n_rows
 from edgelytics.operators import tails
 from edgelytics.plans.summary import summarize, summarize_gold, summary_document
 from edgelytics.schema import CONNECTIONS, SUMMARY_RECORD
@@ -118,13 +119,6 @@ def test_no_synapse_counts(spark):
     assert doc["by_neuropil"] == {}
 
 
-def test_quantile_list():
-    assert hg.parse_quantiles(" 0.1, ,0.9 ") == [0.1, 0.9]
-    assert hg.parse_quantiles(" , ") == [0.25, 0.5, 0.75]
-    with pytest.raises(ValueError):
-        hg.parse_quantiles("1.5")
-
-
 def test_cubes_add_up(tiny):
     gold = with_dominant(tiny)
     early, late = gold.where("ord <= 4"), gold.where("ord > 4")
@@ -163,7 +157,7 @@ def test_summary_document(cube, tiny):
 
 
 def test_summaries_of_raw_rows_and_dataset(tiny):
-    raw = json.loads(summarize(tiny, "raw", max_rows=4).first()[0])
+    raw = json.loads(summarize(first_n_rows(tiny, 4), "raw", max_rows=4).first()[0])
     assert (raw["total_rows"], raw["max_rows"], raw["unique"]["neuropil"]) == (4, 4, 2)
     gold = json.loads(summarize_gold(with_dominant(tiny), "gold").first()[0])
     assert gold["syn_count"]["quantiles"] == {} and "" in gold["by_neurotransmitter"]
@@ -187,7 +181,7 @@ def test_summary_records(spark, tmp_path):
     summaries.push_summary(document, table, "a")
     summaries.push_summary(document, table, "b")
     changed = spark.createDataFrame(
-        [('{"input": "new", "total_rows": 7, "syn_count": {"min": 2.0, "max": "x"}}',)],
+        [('{"input": "new", "total_rows": 7, "max_rows": true, "unique": {"neuropil": "3.7"}, "syn_count": {"min": 2.0, "max": "5", "median": 3.7}}',)],
         "summary_json string",
     )
     summaries.push_summary(changed, table, "a")
@@ -195,7 +189,8 @@ def test_summary_records(spark, tmp_path):
     assert json.loads(record.summary_json) == minimal
     assert (record.total_rows, record.max_rows, record.syn_min) == (1, 1, None)
     again = summaries.fetch_summary(spark, table, "a").collect()
-    assert [(r.input, r.total_rows, r.syn_min, r.syn_max) for r in again] == [("new", 7, 2, None)]
+    assert [(r.input, r.total_rows, r.syn_min, r.syn_median) for r in again] == [("new", 7, 2, 3)]
+    assert [(r.max_rows, r.neuropil, r.syn_max) for r in again] == [(None, None, None)]  # not numbers
     assert again[0].updated_at is not None
     assert summaries.fetch_summary(spark, table, "none").collect() == []
     assert summaries.fetch_summary(spark, table, "a").schema.names == SUMMARY_RECORD.names
