@@ -168,12 +168,17 @@ def _two_hop(
     by_length = trails(edges, roots, 2, flt, direction, attributes)
     if len(by_length) == 1:  # no first hop, so this has the right columns and no rows
         by_length.append(_extend(by_length[0], edges.select("src", "dst", *attributes), 2, *direction))
+    return as_chains(by_length[1], names)
+
+
+def as_chains(trails_of_two: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Flat trails of two edges as (root_id, the two nodes by name, attributes of both edges)."""
     first, second = names
-    return by_length[1].select(
+    return trails_of_two.select(
         "root_id",
         F.col("node_1").alias(first),
         F.col("node_2").alias(second),
-        *[f"{c}_{hop}" for c in attributes for hop in (1, 2)],
+        *[f"{c}_{hop}" for c in ("syn_count", "neuropil") for hop in (1, 2)],
     )
 
 

@@ -9,8 +9,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgelytics.functions.filters import ALL_EDGES, EdgeFilter
-from edgelytics.operators.hops import DOWNSTREAM, UPSTREAM, check_hops, circuit, trails
+from edgelytics.operators.hops import (
+    DOWNSTREAM,
+    PATH_ATTRIBUTES,
+    UPSTREAM,
+    as_chains,
+    as_paths,
+    check_hops,
+    circuit,
+    trails,
+)
 from edgelytics.operators.partners import store_roots
+from edgelytics.session import materialize
 
 SECTIONS = (
     "presynaptic",
@@ -23,45 +33,66 @@ SECTIONS = (
 )
 
 
-def neuron_report_counts(
+def neuron_report(
     edges: DataFrame,
     roots: DataFrame,
     k: int = 3,
     flt: EdgeFilter = ALL_EDGES,
     edges_by_dst: DataFrame | None = None,
-) -> DataFrame:
-    """How many rows each section of the report of each root has, as (root_id, section, rows).
+) -> dict[str, DataFrame]:
+    """The rows of the seven sections of the report of each root, by section name.
 
-    Partners, two-hop chains and k-hop paths of one direction are the same trails cut
-    at different lengths, so one expansion per direction serves three sections. The
-    expansions and the circuit do not depend on each other and run side by side.
+    Partners, two-hop chains and k-hop paths of one direction are the same trails cut at
+    different lengths, so one expansion per direction serves three sections; each length
+    is written once. The expansions and the circuit do not depend on each other and run
+    side by side. Columns are those of the section's own operator; partners have the
+    attributes of paths.
     """
     check_hops(k)
     mirror = edges if edges_by_dst is None else edges_by_dst
     wanted = store_roots(roots)
 
-    def trail_counts(
-        table: DataFrame, direction: tuple[str, str], partners: str, way: str
-    ) -> list[DataFrame]:
-        by_length = trails(table, wanted, max(k, 2), flt, direction, ["neuropil"])
-        counted = []
-        for hops, found in enumerate(by_length, start=1):
-            sections = {1: [partners], 2: [f"two_hop_{way}"]}.get(hops, [])
-            if hops <= k:
-                sections.append(f"k_hop_{way}")
-            counted.append(_counted(found, *sections))
-        return counted
+    def listed(table: DataFrame, direction: tuple[str, str], partners: str, way: str, names: list[str]) -> dict[str, DataFrame]:
+        by_length = trails(table, wanted, max(k, 2), flt, direction)
+        by_length[-1] = materialize(by_length[-1], "trails-last").df
+        first = by_length[0]
+        second = by_length[1] if len(by_length) > 1 else None
+        attributes = [F.col(f"{c}_1").alias(c) for c in PATH_ATTRIBUTES]
+        if second is None:  # no first hop: the columns, and no rows
+            missing = [F.lit(None).cast(first.schema[f"{c}_1"].dataType).alias(f"{c}_2") for c in PATH_ATTRIBUTES]
+            second = first.select("*", F.col("node_1").alias("node_2"), *missing).limit(0)
+        paths = [as_paths(t, hops, direction) for hops, t in enumerate(by_length[:k], start=1)]
+        return {
+            partners: first.select("root_id", F.col("node_1").alias("partner_id"), *attributes),
+            f"two_hop_{way}": as_chains(second, names),
+            f"k_hop_{way}": reduce(DataFrame.unionByName, paths),
+        }
 
-    def circuit_counts() -> list[DataFrame]:
-        return [_counted(circuit(edges, wanted, k, flt, edges_by_dst=mirror), "circuit")]
+    def circuits() -> dict[str, DataFrame]:
+        found = circuit(edges, wanted, k, flt, edges_by_dst=mirror)
+        return {"circuit": materialize(found, "circuit").df}
 
     with ThreadPoolExecutor() as pool:
         parts = [
-            pool.submit(trail_counts, mirror, UPSTREAM, "presynaptic", "upstream"),
-            pool.submit(trail_counts, edges, DOWNSTREAM, "postsynaptic", "downstream"),
-            pool.submit(circuit_counts),
+            pool.submit(listed, mirror, UPSTREAM, "presynaptic", "upstream", ["pre1_id", "pre2_id"]),
+            pool.submit(listed, edges, DOWNSTREAM, "postsynaptic", "downstream", ["post1_id", "post2_id"]),
+            pool.submit(circuits),
         ]
-        counted = [df for part in parts for df in part.result()]
+        found = {name: df for part in parts for name, df in part.result().items()}
+    return {name: found[name] for name in SECTIONS}
+
+
+def neuron_report_counts(
+    edges: DataFrame,
+    roots: DataFrame,
+    k: int = 3,
+    flt: EdgeFilter = ALL_EDGES,
+    edges_by_dst: DataFrame | None = None,
+) -> DataFrame:
+    """How many rows each section of `neuron_report` has for each root, as (root_id, section, rows)."""
+    wanted = store_roots(roots)
+    report = neuron_report(edges, wanted.df, k, flt, edges_by_dst)
+    counted = [_counted(rows, section) for section, rows in report.items()]
     none = wanted.df.select(
         "root_id",
         F.explode(F.array(*map(F.lit, SECTIONS))).alias("section"),
@@ -71,7 +102,6 @@ def neuron_report_counts(
     return total.agg(F.sum("rows").alias("rows"))
 
 
-def _counted(rows: DataFrame, *sections: str) -> DataFrame:
-    names = F.array(*map(F.lit, sections))
+def _counted(rows: DataFrame, section: str) -> DataFrame:
     per_root = rows.groupBy("root_id").agg(F.count("*").alias("rows"))
-    return per_root.select("root_id", F.explode(names).alias("section"), "rows")
+    return per_root.select("root_id", F.lit(section).alias("section"), "rows")

@@ -1,30 +1,31 @@
-"""The property graph as Parquet tables: neurons, and edges clustered for lookups."""
+"""The property graph as Parquet tables: neurons, edges clustered for lookups, and later loads."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from edgelytics.operators.edges import (
-    latest_edges,
-    neurons,
-    rejected_connections,
-    upsert_edges,
-)
+from edgelytics.functions.transmitters import with_dominant
+from edgelytics.operators.edges import latest_edges, neurons, rejected_connections
 from edgelytics.operators.lookup import split_by
-from edgelytics.schema import EDGES, GOLD, NEURONS
+from edgelytics.schema import CONNECTIONS, EDGE_KEY, EDGES, GOLD, NEURONS, NT_COLUMNS
+from edgelytics.session import path_exists
 
 
 @dataclass(frozen=True)
 class Graph:
-    """Tables of one written graph. `edges_by_dst` holds the same edges as `edges`."""
+    """Tables of one written graph, all loads applied. `edges_by_dst` holds the same edges
+    as `edges`; `loads` is the number of the last load that was added to the base."""
 
     path: str
     neurons: DataFrame
     edges: DataFrame
     edges_by_dst: DataFrame
     rejects: DataFrame
+    loads: int = 0
 
 
 def _write_edges(
@@ -67,34 +68,69 @@ def write_graph(
     return read_graph(spark, path, mirror)
 
 
-def upsert_graph(
-    graph: Graph,
-    connections: DataFrame,
-    path: str,
-    mirror: bool = False,
-    directories: int | None = None,
-) -> Graph:
-    """Apply further connections to a graph and write the result to a new `path`.
+def upsert_graph(graph: Graph, connections: DataFrame) -> Graph:
+    """Add a load to a graph: its edges replace those with equal keys.
 
-    The old tables are left as they are, so a failed load loses nothing.
+    Only the load is written, as a numbered directory beside the base; the base and earlier
+    loads are not touched. The load's commit comes last, so a failed one is never seen and
+    is replaced by the next. One writer at a time.
     """
+    spark, number = connections.sparkSession, graph.loads + 1
+
+    def write(table: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{graph.path}/loads/{table}/load={number}")
+
+    write("edges", latest_edges(connections))
+    write("rejects", rejected_connections(connections))
+    write("commits", spark.range(1).selectExpr("id as committed"))
+    return read_graph(spark, graph.path, path_exists(spark, f"{graph.path}/edges_by_dst/_SUCCESS"))
+
+
+def compact_graph(
+    graph: Graph, path: str, mirror: bool = False, directories: int | None = None
+) -> Graph:
+    """The graph with all loads merged into a new base at a new `path`."""
     if path.rstrip("/") == graph.path.rstrip("/"):
-        raise ValueError("an upsert reads the old tables, so it needs a new path")
-    spark = connections.sparkSession
-    _write_tables(spark, upsert_edges(graph.edges, connections), path, mirror, directories)
-    rejects = graph.rejects.unionByName(rejected_connections(connections))
-    rejects.write.mode("overwrite").parquet(f"{path}/rejects")
+        raise ValueError("compacting reads the old tables, so it needs a new path")
+    spark = graph.edges.sparkSession
+    _write_tables(spark, graph.edges.select(EDGES.names), path, mirror, directories)
+    graph.rejects.write.mode("overwrite").parquet(f"{path}/rejects")
     return read_graph(spark, path, mirror)
 
 
+def _loaded(spark: SparkSession, path: str, table: str, schema: StructType) -> DataFrame:
+    """The rows of the committed loads, with their `load`."""
+    numbered = StructType([*schema.fields, StructField("load", LongType())])
+    commits = spark.read.schema("committed long, load long").parquet(f"{path}/loads/commits")
+    rows = spark.read.schema(numbered).parquet(f"{path}/loads/{table}")
+    return rows.join(commits.select("load"), "load", "left_semi")
+
+
+def _merged(base: DataFrame, later: DataFrame) -> DataFrame:
+    """The base without the keys that a later edge has, and the later edges."""
+    split = [c for c in base.columns if c not in EDGES.names]
+    for name in split:
+        end, parts = name.rsplit("_mod_", 1)
+        later = later.withColumn(name, F.pmod(end, F.lit(int(parts))).cast("int"))
+    return base.join(later.select(EDGE_KEY), EDGE_KEY, "left_anti").select(base.columns).unionByName(later)
+
+
 def read_graph(spark: SparkSession, path: str, mirror: bool = False) -> Graph:
+    """The graph as it stands: the base with the committed loads applied while reading."""
     edges = spark.read.schema(EDGES).parquet(f"{path}/edges")
     by_dst = spark.read.schema(EDGES).parquet(f"{path}/edges_by_dst") if mirror else edges
     rejects = spark.read.schema(GOLD).parquet(f"{path}/rejects")
-    return Graph(
-        path=path,
-        neurons=spark.read.schema(NEURONS).parquet(f"{path}/neurons"),
-        edges=edges,
-        edges_by_dst=by_dst,
-        rejects=rejects.select([c for c in GOLD.names if not c.startswith("dominant_")]),
-    )
+    rejects = rejects.select([c for c in GOLD.names if not c.startswith("dominant_")])
+    nodes, loads = spark.read.schema(NEURONS).parquet(f"{path}/neurons"), 0
+    if path_exists(spark, f"{path}/loads/commits"):
+        commits = spark.read.schema("committed long, load long").parquet(f"{path}/loads/commits")
+        loads = commits.agg(F.max("load")).first()[0] or 0
+        found = _loaded(spark, path, "edges", EDGES)
+        # a load has a key once, so its number decides
+        values = ["syn_count", *NT_COLUMNS, "ord"]
+        later = found.groupBy(EDGE_KEY).agg(*[F.max_by(c, "load").alias(c) for c in values])
+        later = with_dominant(later).select(EDGES.names)
+        edges, by_dst = _merged(edges, later), _merged(by_dst, later)
+        nodes = nodes.union(neurons(found)).distinct()
+        rejects = rejects.unionByName(_loaded(spark, path, "rejects", CONNECTIONS).select(rejects.columns))
+    return Graph(path, nodes, edges, by_dst, rejects, loads)

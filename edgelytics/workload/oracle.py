@@ -261,6 +261,33 @@ def _report(k: int, where: str) -> str:
     return _with("edges", rows, f"{down}, {up}, {near}", recursive=True)
 
 
+def _report_rows(k: int, where: str) -> str:
+    root = _TOP.format(1)
+    down, up = _trails(k, where, True, f"src = {root}"), _trails(k, where, False, f"dst = {root}")
+    up = up.replace("usable as", "usable_up as").replace("trails", "trails_up")
+    up = up.replace("from usable ", "from usable_up ").replace("join usable ", "join usable_up ")
+    near = _nearby(k, where, f"a = {root}").replace("usable", "usable_c")
+    partner = "concat_ws(':', {0}, syn_count, neuropil, dominant_nt) as line from usable_c where {1} = " + root
+    chain = f"""concat_ws(':', {{0}}, {{1}}, one.syn_count, two.syn_count, one.neuropil, two.neuropil) as line
+        from usable_c one join usable_c two on {{2}} where {{3}} = {root}
+        and not (one.src = two.src and one.dst = two.dst and one.neuropil = two.neuropil)"""
+    found = {
+        "presynaptic": partner.format("src", "dst"),
+        "postsynaptic": partner.format("dst", "src"),
+        "two_hop_upstream": chain.format("one.src", "two.src", "two.dst = one.src", "one.dst"),
+        "two_hop_downstream": chain.format("one.dst", "two.dst", "two.src = one.dst", "one.src"),
+        "k_hop_upstream": "nodes as line from trails_up",
+        "k_hop_downstream": "nodes as line from trails",
+        "circuit": f"""concat_ws(':', source_root_id, target_root_id, neuropil, syn_count, dominant_nt) as line
+            from ({_CIRCUIT.replace('usable', 'usable_c')})""",
+    }
+    rows = " union all ".join(
+        f"select {root} as root_id, '{name}' as section, line from (select {line})"
+        for name, line in found.items()
+    )
+    return _with("edges", rows, f"{down}, {up}, {near}", recursive=True)
+
+
 def _matrix() -> str:
     names = [name for name, _ in NEUROTRANSMITTERS]
     subsets = [[n for i, n in enumerate(names) if mask >> i & 1] for mask in range(2 ** len(names))]
@@ -486,6 +513,7 @@ ORACLE: dict[str, str] = {
         order by syn_count desc, src, dst, neuropil limit 1000""",
     ),
     "neuron_report_counts": _report(3, "syn_count >= 25"),
+    "neuron_report_rows": _report_rows(3, "syn_count >= 40"),
     "out_degree": _with("edges", "select src as root_id, count(*) as out_deg from edges group by src"),
     "top_out_degree": _with(
         "edges",

@@ -7,6 +7,7 @@ Thresholds and hop counts are query parameters of the operators.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -23,7 +24,7 @@ from edgelytics.operators import histogram as hg
 from edgelytics.operators import hops, partners, reports, tails, whatif
 from edgelytics.operators.histogram import connection_cube
 from edgelytics.plans import neuron_report, summary
-from edgelytics.schema import CONNECTIONS, CUBE, GOLD, NT_COLUMNS
+from edgelytics.schema import CONNECTIONS, CUBE, EDGES, GOLD, NT_COLUMNS
 from edgelytics.session import materialize, scratch_path
 from edgelytics.sources import summaries
 from edgelytics.sources.arrow_ipc import read_ipc
@@ -136,7 +137,7 @@ def schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def edges_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_graph(spark, sf_dir).edges
+    return load_graph(spark, sf_dir).edges.select(EDGES.names)
 
 
 @query
@@ -152,8 +153,7 @@ def rejected_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def edges_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = write_graph(connections(spark, sf_dir, FIRST_LOAD), scratch_path(spark, "graph"))
-    later = connections(spark, sf_dir, SECOND_LOAD)
-    return upsert_graph(first, later, scratch_path(spark, "graph")).edges
+    return upsert_graph(first, connections(spark, sf_dir, SECOND_LOAD)).edges
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +324,8 @@ def postsynaptic(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def presynaptic(spark: SparkSession, sf_dir: str) -> DataFrame:
     flt = EdgeFilter(threshold=5, neurotransmitter="Glutamate", neuropil="n_o")
-    return partners.strongest_first(partners.presynaptic(edges(spark, sf_dir), flt=flt))
+    incoming = graph(spark, sf_dir).edges_by_dst
+    return partners.strongest_first(partners.presynaptic(incoming, flt=flt))
 
 
 @query
@@ -332,7 +333,7 @@ def top_neuron_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = edges(spark, sf_dir)
     target = partners.store_roots(eg.top_out_degree(stored, 1))
     sent = partners.postsynaptic(stored, target).withColumn("side", F.lit("post"))
-    received = partners.presynaptic(stored, target).withColumn("side", F.lit("pre"))
+    received = partners.presynaptic(graph(spark, sf_dir).edges_by_dst, target).withColumn("side", F.lit("pre"))
     return sent.union(received)
 
 
@@ -344,7 +345,7 @@ def top_neuron_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def two_hop_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = edges(spark, sf_dir)
+    stored = graph(spark, sf_dir).edges_by_dst
     return hops.two_hop_upstream(stored, flt=EdgeFilter(threshold=25, neurotransmitter="a"))
 
 
@@ -370,7 +371,7 @@ def k_hop_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def k_hop_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = edges(spark, sf_dir)
+    stored = graph(spark, sf_dir).edges_by_dst
     flt = EdgeFilter(threshold=30, neurotransmitter="dopa")
     return _path_text(hops.k_hop_upstream(stored, k=3, flt=flt))
 
@@ -390,12 +391,14 @@ def path_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def k_hop_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hops.k_hop_nodes(edges(spark, sf_dir), k=2, flt=EdgeFilter(threshold=40))
+    loaded, flt = graph(spark, sf_dir), EdgeFilter(threshold=40)
+    return hops.k_hop_nodes(loaded.edges, k=2, flt=flt, edges_by_dst=loaded.edges_by_dst)
 
 
 @query
 def circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hops.circuit(edges(spark, sf_dir), k=3, flt=EdgeFilter(threshold=48))
+    loaded, flt = graph(spark, sf_dir), EdgeFilter(threshold=48)
+    return hops.circuit(loaded.edges, k=3, flt=flt, edges_by_dst=loaded.edges_by_dst)
 
 
 @query
@@ -418,9 +421,26 @@ def dataset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def neuron_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = edges(spark, sf_dir)
-    target = eg.top_out_degree(stored, 1)
-    return neuron_report.neuron_report_counts(stored, target, k=3, flt=EdgeFilter(threshold=25))
+    loaded = graph(spark, sf_dir)
+    target, flt = eg.top_out_degree(loaded.edges, 1), EdgeFilter(threshold=25)
+    return neuron_report.neuron_report_counts(loaded.edges, target, 3, flt, loaded.edges_by_dst)
+
+
+@query
+def neuron_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of the report, each as one line of text."""
+    loaded = graph(spark, sf_dir)
+    target, flt = eg.top_out_degree(loaded.edges, 1), EdgeFilter(threshold=40)
+    report = neuron_report.neuron_report(loaded.edges, target, 3, flt, loaded.edges_by_dst)
+    found = []
+    for section, listed in report.items():
+        if section.startswith("k_hop"):
+            listed = _path_text(listed).select("root_id", "nodes")
+        elif section.endswith("synaptic"):
+            listed = listed.drop("dominant_score")
+        values = [F.col(c).cast("string") for c in listed.columns if c != "root_id"]
+        found.append(listed.select("root_id", F.lit(section).alias("section"), F.concat_ws(":", *values).alias("line")))
+    return reduce(DataFrame.union, found)
 
 
 @query

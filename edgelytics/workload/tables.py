@@ -48,6 +48,9 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_dominant(connections(spark, sf_dir))
 
 
+# Directories of each edge table; a table of very many files takes more.
+DIRECTORIES = 4
+
 _loaded: dict[tuple[str, str], str] = {}
 
 
@@ -62,8 +65,10 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     if path is None or not path_exists(spark, f"{path}/rejects/_SUCCESS"):
         path = load_graph(spark, sf_dir).path
         _loaded[key] = path
-    return read_graph(spark, path)
+    return read_graph(spark, path, mirror=True)
 
 
 def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return write_graph(connections(spark, sf_dir), scratch_path(spark, "graph"))
+    """With a copy by receiving neuron, and both split into directories by neuron id."""
+    target = scratch_path(spark, "graph")
+    return write_graph(connections(spark, sf_dir), target, mirror=True, directories=DIRECTORIES)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from edgelytics.functions.filters import EdgeFilter
 from edgelytics.operators import edges as eg
 from edgelytics.operators import hops, hub_join, partners, whatif
-from edgelytics.plans.neuron_report import SECTIONS, neuron_report_counts
+from edgelytics.plans.neuron_report import SECTIONS, neuron_report, neuron_report_counts
 from edgelytics.schema import CONNECTIONS, EDGES
 
 
@@ -266,6 +266,12 @@ def test_against_brute_force(spark, monkeypatch, seed, cell_rows):
         assert two == sorted(
             ((t[0][0], t[0][1], t[1][1]) for t in trails if len(t) == 2), key=repr
         )
+        listed = neuron_report(df, roots_of(spark, 0), k=3, flt=flt)
+        assert rows(listed["two_hop_downstream"]) == rows(hops.two_hop_downstream(df, [0], flt))
+        assert rows(listed["k_hop_upstream"]) == rows(hops.k_hop_upstream(df, [0], 3, flt))
+        assert rows(listed["circuit"]) == rows(hops.circuit(df, [0], 3, flt))
+        partner = ["root_id", "partner_id", *hops.PATH_ATTRIBUTES]
+        assert rows(listed["presynaptic"]) == rows(partners.presynaptic(df, [0], flt), *partner)
         report = neuron_report_counts(df, roots_of(spark, 0, 77), k=3, flt=flt)
         counts = {(r.root_id, r.section): r.rows for r in report.collect()}
         assert len(counts) == 2 * len(SECTIONS) and counts[77, "circuit"] == 0

@@ -17,11 +17,11 @@ from edgelytics.operators.edges import latest_edges
 from edgelytics.operators.histogram import connection_cube
 from edgelytics.operators.reports import first_n_rows
 from edgelytics.plans.neuron_report import neuron_report_counts
-from edgelytics.schema import CONNECTIONS, GOLD, NT_COLUMNS
+from edgelytics.schema import CONNECTIONS, EDGES, GOLD, NT_COLUMNS
 from edgelytics.session import materialize, scratch_dir, scratch_path
 from edgelytics.sources import arrow_ipc
 from edgelytics.sources.gold import read_gold, write_gold
-from edgelytics.sources.graph import read_graph, upsert_graph, write_graph
+from edgelytics.sources.graph import compact_graph, read_graph, upsert_graph, write_graph
 from edgelytics.streaming import incremental
 
 # Column types that differ from the target schema on purpose.
@@ -147,13 +147,37 @@ def test_graph_tables(spark, tiny):
     assert graph.neurons.count() == 5 and rows(graph.rejects) == [TINY[-1]]
     lookup = partners.postsynaptic(graph.edges, [1, 2])
     assert "In(src, [1,2])" in plan(lookup) and "Exchange" not in plan(lookup)
-    later = spark.createDataFrame([(1, 9, 1, "EB", 3, *[0.5] * 6), (2, None, 1, "EB", 3, *[0.5] * 6)], CONNECTIONS)
-    target = scratch_path(spark, "graph")
-    grown = upsert_graph(graph, later, target)
-    assert grown.edges.count() == 8 and grown.neurons.count() == 6 and grown.rejects.count() == 2
-    assert read_graph(spark, target).edges.count() == 8 and graph.edges.count() == 7
+
+
+def files_of(path):
+    return {f"{d}/{f}": os.stat(f"{d}/{f}").st_mtime_ns for d, _, names in os.walk(path) for f in names}
+
+
+@pytest.mark.parametrize("directories", [None, 3])
+def test_an_upsert_writes_only_its_load(spark, tiny, directories):
+    graph = write_graph(tiny, scratch_path(spark, "graph"), mirror=True, directories=directories)
+    before = files_of(graph.path)
+    first = spark.createDataFrame([(1, 9, 1, "EB", 3, *[0.5] * 6), (2, None, 1, "EB", 3, *[0.5] * 6)], CONNECTIONS)
+    # a later load with a smaller ord replaces the edge of the base and of the first load
+    second = spark.createDataFrame([(0, 9, 1, "EB", 4, *[0.5] * 6), (0, 1, 2, "AL_L", 1, *[0.5] * 6)], CONNECTIONS)
+    grown = upsert_graph(upsert_graph(graph, first), second)
+    after = files_of(graph.path)
+    assert {f: after[f] for f in before} == before and all("/loads/" in f for f in after.keys() - before.keys())
+    assert grown.loads == 2 and read_graph(spark, graph.path).loads == 2
+    for table in (grown.edges, grown.edges_by_dst):
+        found = {r[:3]: r[3] for r in rows(table, "src", "dst", "neuropil", "syn_count")}
+        assert len(found) == table.count() == 8
+        assert (found[9, 1, "EB"], found[1, 2, "AL_L"], found[1, 2, "AL_R"]) == (4, 1, 3)
+    assert grown.neurons.count() == 6 and grown.rejects.count() == 2
+    assert rows(partners.presynaptic(grown.edges_by_dst, [2])) == rows(partners.presynaptic(grown.edges, [2]))
+    # a load without its commit is not seen, and the next one replaces it
+    grown.edges.select(EDGES.names).limit(1).write.parquet(f"{graph.path}/loads/edges/load=3")
+    assert rows(read_graph(spark, graph.path).edges) == rows(grown.edges)
+    merged = compact_graph(grown, scratch_path(spark, "graph"), mirror=True)
+    assert rows(merged.edges) == rows(merged.edges_by_dst) == rows(grown.edges.select(EDGES.names))
+    assert (merged.loads, merged.neurons.count(), merged.rejects.count()) == (0, 6, 2)
     with pytest.raises(ValueError, match="new path"):
-        upsert_graph(grown, later, target)
+        compact_graph(merged, merged.path)
 
 
 def test_split_tables_open_few_directories(spark, tiny, tiny_edges):
@@ -178,9 +202,7 @@ def test_split_tables_open_few_directories(spark, tiny, tiny_edges):
         assert rows(found) == rows(hops.circuit(tiny_edges, ids, 2))
     report = neuron_report_counts(graph.edges, roots, 2, edges_by_dst=graph.edges_by_dst)
     assert rows(report) == rows(neuron_report_counts(tiny_edges, roots, 2))
-    later = spark.createDataFrame([(1, 9, 1, "EB", 3, *[0.5] * 6)], CONNECTIONS)
-    grown = upsert_graph(graph, later, scratch_path(spark, "graph"), directories=2)
-    assert "src_mod_2" in grown.edges.columns and grown.edges.count() == 8
+    assert "src_mod_2" in compact_graph(graph, scratch_path(spark, "graph"), directories=2).edges.columns
 
 
 def test_materialize(spark, tiny):
