@@ -157,7 +157,9 @@ def edges_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary.summarize(connections(spark, sf_dir), INPUT_NAME)
+    # the cube and the distinct ids read the derived rows, which are joined once
+    derived = materialize(connections(spark, sf_dir), "connections").df
+    return summary.summarize(derived, INPUT_NAME)
 
 
 def _stored_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from edgelytics.functions.transmitters import with_dominant
-from edgelytics.session import path_exists, scratch_path
+from edgelytics.session import materialize, path_exists, scratch_path
 from edgelytics.sources.graph import Graph, read_graph, write_graph
 
 _PROBABILITY = "case when l_orderkey % 97 = 0 then null else cast(({0}) % 5 as double) / 4 end as {1}"
@@ -71,4 +71,5 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
 def load_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """With a copy by receiving neuron, and both split into directories by neuron id."""
     target = scratch_path(spark, "graph")
-    return write_graph(connections(spark, sf_dir), target, mirror=True, directories=DIRECTORIES)
+    derived = materialize(connections(spark, sf_dir), "connections").df  # edges and rejects read it
+    return write_graph(derived, target, mirror=True, directories=DIRECTORIES)
