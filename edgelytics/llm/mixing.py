@@ -225,7 +225,7 @@ def taken_pieces(
     block_words: int = 64,
     shards: int = 64,
     seed: int = 5,
-    bucket_rows: int = 50_000,
+    bucket_rows: int = 5_000,
 ) -> DataFrame:
     """block_pieces with `times`, how often the mix takes the piece.
 
@@ -236,7 +236,8 @@ def taken_pieces(
     slots = draw_slots(sources, block_words, shards, seed)
     counts = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
     pieces = block_pieces(lay_out(sizes, sources, key, bucket_rows), block_words)
-    joined = pieces.join(counts, ["source_no", "block"], "left")
+    # the slots come out of a few short rows, from which Spark would take them for few too
+    joined = pieces.join(counts.hint("merge"), ["source_no", "block"], "left")
     return joined.withColumn("times", F.coalesce("times", F.lit(0)).cast("long"))
 
 
