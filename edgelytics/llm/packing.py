@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from edgelytics.llm.common import as_bytes, slices, stored, text_column
+from edgelytics.llm.common import slices, stored, text_column
 
 END = b"\0\0\0\0"  # id 0 ends each document
 
@@ -29,15 +30,15 @@ END = b"\0\0\0\0"  # id 0 ends each document
 
 # What the vocabulary's own splitting does inside a word, for words of plain Latin letters.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_PLAIN = regex.compile(r"[!-~¡-ɏ]+")
-_ODD_BLANKS = regex.compile(r"[\x1c-\x1f\x85]")  # str.split() cuts here, the tokenizer may not
+_LATIN = regex.compile(r"[!-~¡-ɏ]+")
+_ODD_BLANKS = "\x1c\x1d\x1e\x1f\x85"  # str.split() cuts here, the tokenizer may not
 
 
 class WordTokens:
     """Ids of texts by a vocabulary that drops white space and never joins two words.
 
-    Words repeat, so each is encoded once and kept, up to `most` words, after which the
-    store starts anew. New words go to the tokenizer together: their pieces are joined by
+    Words repeat, so each is encoded once and kept. A store of over `most` words becomes the
+    old one, which words in use are taken over from, and a new one begins. New words go to the tokenizer together: their pieces are joined by
     spaces, and the ids are cut again after each token that ends a word.
     """
 
@@ -50,9 +51,10 @@ class WordTokens:
         self.most = most
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def _encoded(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _learn_pieces(self, new: list[str]) -> None:
         for at in range(0, len(new), 1000):
@@ -69,37 +71,46 @@ class WordTokens:
                 start = cut
 
     def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if _PLAIN.fullmatch(w) and "<|" not in w]
         # the vocabulary's own normalising; blanks stay between the words
-        normal = self.tokenizer.normalizer.normalize_str(" ".join(plain)).split(" ") if plain else []
-        if len(normal) != len(plain):
-            plain = normal = []
-        cut = [[n] if n.isalpha() else _PIECES.findall(n) for n in normal]
-        unknown = dict.fromkeys(p for pieces in cut for p in pieces if p not in self.pieces)
-        self._learn_pieces(list(unknown))
-        for word, pieces in zip(plain, cut, strict=True):
-            self.words[word] = self.pieces[pieces[0]] if len(pieces) == 1 else b"".join(map(self.pieces.__getitem__, pieces))
-        for word in new:
-            if word not in self.words:
-                self.words[word] = self._encoded(word).tobytes()
+        simple = [w for w in new if w.isascii() and w.isprintable() and "<|" not in w]
+        normal = " ".join(simple).lower().split(" ") if simple else []
+        latin = [w for w in new if not w.isascii() and _LATIN.fullmatch(w) and "<|" not in w]
+        if latin:
+            folded = self.tokenizer.normalizer.normalize_str(" ".join(latin)).split(" ")
+            if len(folded) == len(latin):
+                simple += latin
+                normal += folded
+        # a word of letters, or one with a sign behind it, needs no pattern
+        cut = [
+            [n] if n.isalpha() else [n[:-1], n[-1]] if n[-1] in ".,!?;:" and n[:-1].isalpha() else _PIECES.findall(n)
+            for n in normal
+        ]
+        pieces, words = self.pieces, self.words
+        self._learn_pieces([p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in pieces])
+        for word, own in zip(simple, cut, strict=True):
+            words[word] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
+        if len(simple) < len(new):
+            for word in new:
+                if word not in words:
+                    words[word] = self._encoded(word).tobytes()
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, 32 bits each, little-endian."""
-        cut = [None if _ODD_BLANKS.search(t) else t.split() for t in texts]
+        cut = [None if any(c in t for c in _ODD_BLANKS) else t.split() for t in texts]
         at = 0
         while at < len(cut):  # a block of texts at a time, so that the store can start anew between
             if len(self.words) > self.most:
-                self.words.clear()
-                self.pieces.clear()
+                self.old_words, self.words, self.pieces = self.words, {}, {}
             block, size = at, 0
-            new: dict[str, None] = {}
+            seen: set[str] = set()
             while at < len(cut) and size < 200_000:
-                for word in cut[at] or ():
-                    if word not in self.words:
-                        new[word] = None
+                seen.update(cut[at] or ())
                 size += len(cut[at] or ())
                 at += 1
-            self._learn(list(new))
+            fresh = {w for w in seen if w not in self.words}
+            kept = fresh & self.old_words.keys()
+            self.words.update((w, self.old_words[w]) for w in kept)
+            self._learn(list(fresh - kept))
             for row in range(block, at):
                 if cut[row] is None:
                     yield self._encoded(texts[row]).tobytes()
@@ -126,7 +137,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, key: str = "do
         tokens = _tokens(vocabulary)
         for batch in slices(batches, "_text", 4 << 20):
             rows: list[tuple[int, int, int, int, int, bytes | None]] = []
-            texts = [(t or b"").decode() for t in as_bytes(batch.column(1))]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             for row, ids in enumerate(tokens.ids(texts)):
                 ids += END
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
