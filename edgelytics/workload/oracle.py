@@ -304,7 +304,11 @@ _LATER_LOAD_WINS = f"""with loads as (
     gold as ({_gold('loads')}) {_edges('gold', '(load, ord)')}"""
 
 ORACLE: dict[str, str] = {
-    "scan_ipc": _with("connections", f"select {_RAW.removeprefix('ord, ')} from connections"),
+    "scan_ipc": _with(
+        "connections",
+        f"""select {_RAW.removeprefix('ord, ')}, (row_number() over (partition by pre_pt_root_id,
+            post_pt_root_id, neuropil order by ord))::integer as place from connections""",
+    ),
     "gold_roundtrip": _with("gold", f"select {_RAW}, dominant_score, dominant_nt from gold"),
     "scan_gold": _with(
         "gold", "select pre_pt_root_id, post_pt_root_id, neuropil, syn_count, dominant_nt from gold"

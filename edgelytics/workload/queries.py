@@ -14,6 +14,7 @@ import pyarrow.fs as pafs
 import pyarrow.ipc as ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -78,7 +79,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def scan_ipc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "ipc")
-    raw = connections(spark, sf_dir).drop("ord")
+    # written in order, so that the positions of the rows in the files give it back
+    ordered = connections(spark, sf_dir).repartitionByRange("ord").sortWithinPartitions("ord")
+    raw = ordered.drop("ord")
 
     def export(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -95,7 +98,8 @@ def scan_ipc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     schema = to_arrow_schema(raw.schema)
     raw.mapInArrow(export, raw.schema).write.format("noop").mode("overwrite").save()
-    return read_ipc(spark, folder, raw.columns)
+    same_edge = W.partitionBy("pre_pt_root_id", "post_pt_root_id", "neuropil").orderBy("ord")
+    return read_ipc(spark, folder).withColumn("place", F.row_number().over(same_edge)).drop("ord")
 
 
 @query
