@@ -89,7 +89,8 @@ def judge_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
         (F.col("action") == "allow").alias("c"), F.concat("rule_host", "rule_path").alias("rule"), "rule_path", "action",
     )
     by_host = hosts.join(named, "rule_host").groupBy("host").agg(F.sort_array(F.collect_set(weight), asc=False).alias("fits"))
-    joined = split.join(by_host, "host", "left")
+    # stored, so that the join's shuffle reads files on both sides and a hot host can be split
+    joined = split.join(stored(by_host, "host-rules"), "host", "left")
     best = F.try_element_at(F.filter("fits", lambda r: F.startswith(F.col("path"), r["rule_path"])), F.lit(1))
     return joined.select("url", "host", "path", best["rule"].alias("rule"), best["action"].alias("action"))
 
