@@ -42,7 +42,7 @@ class WordTokens:
     spaces, and the ids are cut again after each token that ends a word.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 120_000):
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -103,7 +103,7 @@ class WordTokens:
                 self.old_words, self.words, self.pieces = self.words, {}, {}
             block, size = at, 0
             seen: set[str] = set()
-            while at < len(cut) and size < 200_000:
+            while at < len(cut) and size < 100_000:
                 seen.update(cut[at] or ())
                 size += len(cut[at] or ())
                 at += 1

@@ -157,7 +157,7 @@ def stem_counts(labelled: DataFrame, shortest: int, longest: int) -> DataFrame:
         for batch in slices(batches, "_text"):
             for half, label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch, 2), strict=True):
                 seen[2 * half + label].update(_beginnings(text, shortest, longest))
-            if sum(map(len, seen)) > 400_000:
+            if sum(map(len, seen)) > 150_000:
                 yield rows()
         yield rows()
 
