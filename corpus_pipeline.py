@@ -60,7 +60,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's pieces in sequences of 2048 tokens."""
-    packed = packing.pack_documents(docs, vocabulary_path(), 2048)
+    # a small store: the workers keep it while other stages run
+    packed = packing.pack_documents(docs, vocabulary_path(), 2048, store_words=120_000)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -24,6 +24,8 @@ from tokenizers import Tokenizer
 
 from edgelytics.llm.common import slices, stored, text_column
 
+#: Words that a worker keeps the ids of, twice over while it takes words from the store before.
+STORE_WORDS = 400_000
 END = b"\0\0\0\0"  # id 0 ends each document
 
 # Tokens
@@ -42,7 +44,7 @@ class WordTokens:
     spaces, and the ids are cut again after each token that ends a word.
     """
 
-    def __init__(self, path: str, most: int = 120_000):
+    def __init__(self, path: str, most: int = STORE_WORDS):
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -118,23 +120,23 @@ class WordTokens:
                     yield b"".join(map(self.words.__getitem__, cut[row]))
 
 
-_LOADED: dict[str, WordTokens] = {}  # one store per Python worker, kept between tasks
+_LOADED: dict[tuple[str, int], WordTokens] = {}  # one store per Python worker, kept between tasks
 
 
-def _tokens(path: str) -> WordTokens:
-    if path not in _LOADED:
-        _LOADED[path] = WordTokens(path)
-    return _LOADED[path]
+def _tokens(path: str, most: int = STORE_WORDS) -> WordTokens:
+    if (path, most) not in _LOADED:
+        _LOADED[path, most] = WordTokens(path, most)
+    return _LOADED[path, most]
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, key: str = "doc_id", text: str = "text", with_ids: bool = False, store_words: int = STORE_WORDS) -> DataFrame:
     """(key, piece, start, length, ids_crc32, ids): each document's ids and the closing id
     0, cut every `capacity` ids. A null text is an empty one, which still has its id 0.
     Without `with_ids` ids is null."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(vocabulary)
+        tokens = _tokens(vocabulary, store_words)
         for batch in slices(batches, "_text", 4 << 20):
             rows: list[tuple[int, int, int, int, int, bytes | None]] = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
@@ -329,14 +331,16 @@ def pack_documents(
     text: str = "text",
     with_ids: bool = False,
     group_rows: int = 20_000,
+    store_words: int = STORE_WORDS,
 ) -> DataFrame:
     """key, piece, start, length, ids_crc32, ids, sequence_id, offset: one row per piece.
 
     Only documents of over `capacity` ids are cut. A null or empty text is one id. Repeated
     rows are packed as often as they occur; a null key stays null; other columns are not
-    read. An empty table gives no rows. Sequence numbers are unique, not dense.
+    read. An empty table gives no rows. Sequence numbers are unique, not dense. Fewer
+    `store_words` take less memory of a worker and more time; ids are the same.
     """
-    return pack(token_pieces(docs, vocabulary, capacity, key, text, with_ids), capacity, group_rows)
+    return pack(token_pieces(docs, vocabulary, capacity, key, text, with_ids, store_words), capacity, group_rows)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
