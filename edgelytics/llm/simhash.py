@@ -308,8 +308,9 @@ def forest(
 ) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what links within `bits` connect, between x and y (or inside x).
 
-    x and y are the fingerprints, the names to return for them and, if there is a third
-    column, a second word: both words together may then differ in `check_bits` bits.
+    x and y are the fingerprints, the names to return for them and, if there are further
+    columns, the words of whole signatures: these may then differ in `check_bits` bits. What
+    fails that never merges labels, so it cannot stand in for a link that passes.
     """
     tree_x = _Tree(x[0])
     tree_y = tree_x if y is None else _Tree(y[0])
@@ -321,10 +322,11 @@ def forest(
         a, b = a.astype(np.int64), b.astype(np.int64) + shift
         apart = label[a] != label[b]
         a, b = a[apart], b[apart]
-        if check:
-            differ = np.bitwise_count(value[a] ^ value[b]) + np.bitwise_count(check[0][a] ^ check[0][b])
+        differ = np.zeros(len(a), np.int64)
+        for word in check:
+            differ += np.bitwise_count(word[a] ^ word[b])
             near = differ <= check_bits
-            a, b = a[near], b[near]
+            a, b, differ = a[near], b[near], differ[near]
         label, used_a, used_b = _joined(label, a, b)
         found_a.append(name[used_a])
         found_b.append(name[used_b])
@@ -334,7 +336,7 @@ def forest(
 def index_links(entries: DataFrame, bits: int, group_rows: int, check_bits: int | None = None) -> DataFrame:
     """(a, b): links of a spanning forest per pair of groups; their components are those of
     all links between entries whose `fp` differ in at most `bits` bits (and, with further
-    columns name and check, pass forest's second test)."""
+    columns, a name and the words of a signature, pass forest's second test)."""
     width = len(entries.columns)
     raw = stored(gray_groups(entries, group_rows), "gray-groups")
     # dense numbers in Gray order; one narrow row per group passes here
@@ -416,8 +418,9 @@ def near_copies(
 
     One 64-bit fingerprint within three bits only finds copies that differ in a few
     shingles in a hundred. Here a text has a signature of `words` such words. The Gray
-    index holds several views of it, `view_bits` bits each; what links in any view is held
-    against the whole signature, whose share of differing bits measures the similarity:
+    index holds several views of it, `view_bits` bits each, with the whole signature beside
+    each view; what meets in any view links by the whole signature alone, whose share of
+    differing bits measures the similarity:
     shingle sets alike by s differ in acos(2s / (1 + s)) / pi of all bits. A pair at 0.8
     meets in one of 12 views of 40 bits in four of five cases, a pair at 0.9 nearly always.
     Null keys, null texts and repeated rows as in near_duplicates.
@@ -426,15 +429,10 @@ def near_copies(
     classes = marked.groupBy("sig").agg(F.min(key).alias("least"))
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "signature-classes")
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    rough = view_bits + BITS
-    check_bits = math.ceil(share * rough + 2.5 * math.sqrt(rough * share * (1 - share)))
-    named = F.array(*[F.struct(view_of(k, view_bits).alias("fp"), F.col("sig")[(k * view_bits // BITS + words // 2) % words].alias("c")) for k in range(views)])
-    entries = nodes.select("node", F.explode(named).alias("v")).select("v.fp", "node", F.col("v.c").alias("check"))
-    found = stored(index_links(entries, bits, group_rows, check_bits).distinct(), "view-links")
-    sides = [nodes.select(F.col("node").alias(n), F.col("sig").alias(f"sig_{n}")) for n in ("a", "b")]
-    differ = sum((F.bit_count(F.col("sig_a")[k].bitwiseXOR(F.col("sig_b")[k])) for k in range(words)), F.lit(0))
-    links = found.join(sides[0], "a").join(sides[1], "b").filter(differ <= math.ceil(share * words * BITS)).select("a", "b")
-    labels = components(stored(links, "signature-links"), "a", "b").withColumnsRenamed({"component": "label"})
+    whole = [F.col("sig")[k].alias(f"word{k}") for k in range(words)]
+    entries = nodes.select(F.explode(F.array(*[view_of(k, view_bits) for k in range(views)])).alias("fp"), "node", *whole)
+    links = stored(index_links(entries, bits, group_rows, math.ceil(share * words * BITS)).distinct(), "view-links")
+    labels = components(links, "a", "b").withColumnsRenamed({"component": "label"})
     group = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     group = stored(group.select("sig", "least", "label"), "signature-labels")
     least = group.groupBy("label").agg(F.min("least").alias("component"))

@@ -144,3 +144,23 @@ def test_views_never_meet(spark):
     assert [v & (2**40 - 1) for v in values] == [whole >> 40 * k & (2**40 - 1) for k in range(12)]
     codes = [(v & (2**64 - 1)) >> 40 for v in values]
     assert min((a ^ b).bit_count() for a in codes for b in codes if a != b) >= 4 and len(set(codes)) == 12
+
+
+def test_links_that_fail_do_not_stand_in_for_one_that_passes(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    free = np.r_[80:240, 320:480]  # whole views, so that the two alike meet only in views where all do
+    marks = []
+    for _ in range(6):
+        base = rng.integers(0, 2, 512)
+        for member in range(12):  # the first two are 75 bits apart, all others some 130 and more
+            own = base.copy()
+            if member:
+                own[rng.choice(free, 75 if member == 1 else 140, replace=False)] ^= 1
+            marks.append(np.packbits(own.astype(np.uint8), bitorder="little").view("<i8"))
+    unsigned = [m.view(np.uint64) for m in marks]
+    near = [(i, j) for i in range(72) for j in range(i) if np.bitwise_count(unsigned[i] ^ unsigned[j]).sum() <= 78]
+    assert near == [(12 * f + 1, 12 * f) for f in range(6)]
+    given = spark.createDataFrame([(i, m.tolist()) for i, m in enumerate(marks)], "doc_id long, sig array<long>")
+    monkeypatch.setattr(simhash, "signatures", lambda *_: given)
+    got = {r["doc_id"]: r["component"] for r in simhash.near_copies(given).collect()}
+    assert got == {i: i - (i % 12 == 1) for i in range(72)}
