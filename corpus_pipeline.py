@@ -43,10 +43,10 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near-duplicates, by fingerprints
-    of five-word shingles; all rows without a doc_id stay. Of rows that share a doc_id, each
-    one stays whose fingerprint is in the group that the doc_id stands for."""
-    found = simhash.near_duplicates(docs, width=5)
+    """The document with the least doc_id of each group of near copies, alike by 0.8 or more
+    in their five-word shingles; all rows without a doc_id stay, and all rows of a doc_id
+    that stays."""
+    found = simhash.near_copies(docs, width=5, similarity=0.8)
     kept = found.filter("doc_id = component").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi")
     return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)

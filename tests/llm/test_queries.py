@@ -118,3 +118,25 @@ def test_pipeline_stage_by_stage(spark, docs):
 def test_line_hash_of_both_sides_agree():
     hi, lo = line_dedup._hash(b"x")
     assert line_dedup._signed_hash(b"x") == (hi - (hi >> 63 << 64), lo - (lo >> 63 << 64))
+
+
+def test_near_dedup_stage_finds_copies_from_four_fifths_on(spark):
+    from tests.llm.helpers import documents, invented
+
+    rng = np.random.default_rng(12)
+    texts, alike = [], []
+    for pair in range(70):
+        base = invented(rng, 400, 5000).split()
+        copy = list(base)
+        changes = 2 + pair % 7
+        for k in range(changes):
+            copy[5 + k * (390 // changes)] = f"new{pair}x{k}"
+        one, two = (set(simhash.shingles(" ".join(w).encode(), 5)) for w in (base, copy))
+        alike.append(len(one & two) / len(one | two))
+        texts += [" ".join(base), " ".join(copy)]
+    assert 0.8 <= min(alike) < 0.83 and 0.94 < max(alike) <= 0.96
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, documents(spark, texts), SF).collect()}
+    assert kept >= set(range(0, 140, 2))  # no two bases are alike
+    found = [2 * pair + 1 not in kept for pair in range(70)]
+    assert sum(f for f, s in zip(found, alike, strict=True) if s >= 0.9) >= 28  # of 30; an estimate
+    assert sum(found) >= 0.9 * 70
