@@ -5,7 +5,8 @@ are dealt at random into groups of bounded size. A group is packed best-fit, lon
 first; then a local search works on the bins that are not full: documents move, or are
 exchanged one for one or two for one, so that the sum of squared fills grows, which
 drains the emptiest bins until they are gone. Bins that stay open go on to a next round
-with fewer groups, until one group is left, so no task ever sees all pieces.
+with fewer groups of the same size, until one group is left or a round closes little:
+then all bins of its groups are final. So no task sees more than a group.
 """
 
 from __future__ import annotations
@@ -263,7 +264,7 @@ def _exchange(given: list[int], source: int, items: list, lengths: list[int], fi
 _PACKED = "group long, item long, length long, bin long, offset long, closed boolean"
 
 
-def _round(pieces: DataFrame, capacity: int, full: int, last: bool) -> DataFrame:
+def _round(pieces: DataFrame, capacity: int, full: int) -> DataFrame:
     """Each group of (group, item, length) packed; a bin is closed from `full` tokens on."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -275,7 +276,7 @@ def _round(pieces: DataFrame, capacity: int, full: int, last: bool) -> DataFrame
         before = np.cumsum(sizes) - sizes
         first = np.r_[True, number[1:] != number[:-1]]
         offset = before - np.maximum.accumulate(np.where(first, before, 0))
-        closed = np.bincount(number, sizes)[number] >= full if not last else np.ones(len(order), bool)
+        closed = np.bincount(number, sizes)[number] >= full
         return pa.table(
             {
                 "group": group["group"].take(pa.array(order)),
@@ -294,8 +295,12 @@ def pack(pieces: DataFrame, capacity: int, group_rows: int = 20_000, slack: int
     """`pieces` (with `length` at most `capacity`) with sequence_id and offset.
 
     Pieces are numbered and dealt to groups of about `group_rows`. Bins with no more than
-    `slack` free places are final; the rest go to a next round. Rounds end with one group.
+    `slack` free places are final; the rest go to a next round. The last round is that of
+    one group, or one that closes less than a fifth of its pieces: groups are dealt at
+    random and have the same mix, so larger ones would hardly close more.
     """
+    if group_rows > 1 << 22:
+        raise ValueError("group_rows is at most 2^22, so that a group's bins can be numbered")
     numbered = stored(
         pieces.withColumn("item", F.monotonically_increasing_id()).withColumn("_deal", F.rand(20)), "pieces"
     )
@@ -305,18 +310,17 @@ def pack(pieces: DataFrame, capacity: int, group_rows: int = 20_000, slack: int
     while count:
         groups = max(1, round(count / group_rows))
         dealt = left.select("item", "length", F.floor(F.col("_deal") * groups).cast("long").alias("group"))
-        packed = stored(_round(dealt, capacity, capacity - slack, groups == 1), f"packed-{level}")
-        # level, group and bin make the number: a group has fewer than 2^20 bins
-        name = F.lit(level << 56) + F.shiftleft("group", 20) + F.col("bin")
-        closed = packed.filter("closed").select("item", name.alias("sequence_id"), "offset")
-        done = closed if done is None else done.union(closed)
-        if groups == 1:
-            break
+        packed = stored(_round(dealt, capacity, capacity - slack), f"packed-{level}")
         rest = packed.filter("not closed")
-        left = rest.select("item", "length", F.rand(21 + level).alias("_deal"))
         after = rest.count()
-        if after > 0.8 * count and level:  # rounds no longer close much: double the groups' size
-            group_rows *= 2
+        last = groups == 1 or after > 0.8 * count
+        # the number: 7 bits of the level (each leaves four fifths at most), 32 of the group, 24 of the bin
+        name = F.lit(level << 56) + F.shiftleft("group", 24) + F.col("bin")
+        final = (packed if last else packed.filter("closed")).select("item", name.alias("sequence_id"), "offset")
+        done = final if done is None else done.union(final)
+        if last:
+            break
+        left = rest.select("item", "length", F.rand(21 + level).alias("_deal"))
         count, level = after, level + 1
     if done is None:
         done = numbered.select("item", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

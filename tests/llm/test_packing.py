@@ -118,3 +118,32 @@ def test_null_keys_repeats_and_nothing(spark):
     rows = packing.pack_documents(docs, PATH, 64).collect()
     assert sum(r["length"] for r in rows) == sum(len(whole_ids(t)) + 1 for t in ("a", "b c", "b c", "", "w" * 200_000))
     assert packing.pack_documents(docs.limit(0), PATH, 64).count() == 0
+
+
+def test_pieces_that_fill_no_bin_never_meet_in_one_group(spark, monkeypatch):
+    sizes = []
+
+    def spied(pieces, *args):
+        sizes.extend(r["count"] for r in pieces.groupBy("group").count().collect())
+        return own(pieces, *args)
+
+    own = packing._round
+    monkeypatch.setattr(packing, "_round", spied)
+    lengths = [1100] * 1200 + [2048] * 100 + [948] * 20
+    pieces = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "piece long, length long").repartition(4)
+    rows = packing.pack(pieces, 2048, group_rows=100).collect()
+    assert max(sizes) <= 200
+    assert sorted(r["piece"] for r in rows) == list(range(len(lengths)))
+    fill = {}
+    for r in rows:
+        fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in fill.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+        assert sum(n for _, n in parts) <= 2048
+    assert len(fill) == 1300  # the 948s go with an 1100 each
+
+
+def test_bins_of_a_group_have_numbers(spark):
+    with pytest.raises(ValueError, match="group_rows"):
+        packing.pack(spark.createDataFrame([(1, 1)], "piece long, length long"), 2048, group_rows=1 << 23)
