@@ -212,7 +212,7 @@ def learn_lexicon(
 ) -> Lexicon:
     """A lexicon from at most `sample_rows` labelled rows, those first in the order of a hash
     of their key. Labels that are null and rows without a text are not used; of several
-    labels for a key the greater holds. Without labelled rows of both kinds the lexicon
+    labels for a key the greater holds, of several texts the one of the least hash. Without labelled rows of both kinds the lexicon
     is empty and every text scores low alike.
 
     The driver gets at most `most_stems` stems, the heaviest, and three numbers per row of
@@ -224,7 +224,10 @@ def learn_lexicon(
     half = F.pmod(F.xxhash64(F.col("_key")), F.lit(2)).cast("int")
     sample = known.orderBy(mix, "_key").limit(sample_rows).withColumn("half", half)
     read = docs.select(F.col(key).alias("_key"), text_column(text).alias("_text")).filter("_text is not null")
-    rows = read.join(F.broadcast(sample), "_key").select("half", "toxic", "_text")  # at most sample_rows rows of numbers
+    named = read.join(F.broadcast(sample), "_key")  # at most sample_rows rows of numbers
+    # a key is one row, however often it occurs: copies go before the shuffle
+    single = named.groupBy("_key", "half", "toxic").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    rows = single.select("half", "toxic", "_text")
     totals = Counter({(r["half"], r["toxic"]): r["n"] for r in rows.groupBy("half", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()})
     # rows that choose the stems: either half, or both
     parts = [((0,), totals[0, 1], totals[0, 0]), ((1,), totals[1, 1], totals[1, 0])]

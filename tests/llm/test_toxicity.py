@@ -73,3 +73,17 @@ def test_held_out_rows_are_told_apart(spark):
     above = (toxic[:, None] > clean).mean() + 0.5 * (toxic[:, None] == clean).mean()
     assert above >= 0.8
     assert (clean < 0.5).mean() >= 0.97
+
+
+def test_a_repeated_key_is_one_row_of_the_sample(spark, monkeypatch):
+    fitted = []
+    own = toxicity.fit_curve
+    monkeypatch.setattr(toxicity, "fit_curve", lambda features, labels: fitted.append(len(features)) or own(features, labels))
+    texts = ["you idiot fool" if i % 2 else "a calm word" for i in range(60)]
+    docs = documents(spark, texts).select("doc_id", "text")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    copies = spark.createDataFrame([(1, "you idiot fool")] * 150 + [(1, "another text")] * 150, "doc_id long, text string")
+    lexicon = toxicity.learn_lexicon(docs.filter("doc_id != 1").union(copies), labels)
+    assert fitted == [60] and lexicon.weights
+    again = toxicity.learn_lexicon(docs.filter("doc_id != 1").union(copies.distinct()), labels)
+    assert fitted == [60, 60] and again.weights == lexicon.weights
