@@ -209,14 +209,17 @@ def usable(vector: Column) -> Column:
 
 
 def distinct_vectors(vectors: DataFrame, top: int) -> DataFrame:
-    """(vector, ids): each vector once with its least top + 1 ids, ascending.
+    """(vector, ids): each vector once with its least top + 1 distinct ids, ascending, each
+    as often as it occurs, up to `top` times.
 
-    More copies cannot appear in a result of `top` rows without the query's own. The limit
-    is applied before the shuffle too, so a vector of a third of all rows sends few.
+    More cannot appear in a result of `top` rows without the query's own id, which is one of
+    them. Repeated rows are counted and the limit is applied before the shuffle by vector,
+    so a vector of a third of all rows sends few.
     """
+    counted = vectors.groupBy("vector", "id").agg(F.least(F.count(F.lit(1)), F.lit(top)).cast("int").alias("_n"))
     rank = F.row_number().over(W.partitionBy("vector").orderBy("id"))
-    least = vectors.withColumn("_rank", rank).filter(F.col("_rank") <= top + 1)
-    return least.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    least = counted.withColumn("_rank", rank).filter(F.col("_rank") <= top + 1)
+    return least.groupBy("vector").agg(F.sort_array(F.flatten(F.collect_list(F.expr("array_repeat(id, _n)")))).alias("ids"))
 
 
 _INDEX = "dim int, shard int, vectors binary, edges binary, entries binary, ids binary, owners binary"

@@ -78,3 +78,14 @@ def test_pruning_keeps_diverse_neighbours():
     gap = ((points[ids[0]] - points[0]) ** 2).sum(1)[None, :]
     kept = ann.prune(points, np.array([0]), ids, gap, 4, 1.2)[0]
     assert [k for k in kept.tolist() if k < 5] in ([1, 3], [3, 1], [1, 3, 4], [3, 1, 4])
+
+
+def test_a_query_that_repeats_gets_all_its_copies(spark):
+    one, two = [1.0, 0.0, 0.5], [0.5, 0.5, 0.4]
+    rows = [(0, one, "a")] * 25 + [(i, one, "a") for i in range(1, 40)] + [(100 + i, two, "b") for i in range(30)] + [(103, two, "b")] * 3
+    got = ann.nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, top=20).collect()
+    for query in (0, 20, 100, 120):
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == query)
+        asked = np.array(next(v for i, v, _ in rows if i == query))
+        true = sorted((-float(sum(a * b for a, b in zip(v, asked, strict=True))), i) for i, v, _ in rows if i != query)[:20]
+        assert [(r, i) for r, i, _ in own] == [(k + 1, i) for k, (_, i) in enumerate(true)]
