@@ -91,7 +91,7 @@ def line_fails(line: bytes, words: list[bytes], rules: LineRules, boilerplate: r
     marks = sum(w in (b"|", b">", b"\xc2\xbb", b"\xc2\xb7") for w in words)
     if marks >= rules.separators and marks >= rules.separator_share * len(words):
         return True
-    if len(line) <= 400 and boilerplate.match(line.strip(_BLANK_BYTES).decode()):
+    if boilerplate.match(line.strip(_BLANK_BYTES).decode()):
         return True
     if len(words) >= rules.run and len(set(words)) < len(words):
         run = 1

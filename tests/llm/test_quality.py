@@ -76,3 +76,12 @@ def test_rows_of_every_kind(spark):
 def test_triples_of_very_many_words():
     words_ = [b"%d" % k for k in range(1 << 21)] + [b"0", b"1", b"2"]
     assert quality._repeated(words_) == 6
+
+
+@pytest.mark.parametrize(
+    "line",
+    ["Read more" + " " * 500, "\t" * 450 + "Read more", "All rights reserved " + "\U0001f600" * 110],
+)
+def test_boilerplate_however_long_in_bytes(line):
+    rules = quality.LineRules()
+    assert quality.line_fails(line.encode(), line.encode().split(), rules, quality._compiled(rules))
