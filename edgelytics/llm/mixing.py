@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -23,20 +23,30 @@ from edgelytics.llm.common import as_bytes, slices, stored, text_column
 WEIGHTS = (5, 2, 1)
 
 
-def word_counts(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
-    """(key, source, size, row): words of each text, and a hash that tells rows apart."""
+def whole_row(docs: DataFrame) -> Column:
+    """A hash of all columns and of which are null."""
+    columns = [F.col(f"`{f.name}`") for f in docs.schema]
+    # maps have no hash
+    told = [c.cast("string") if "map<" in f.dataType.simpleString() else c for c, f in zip(columns, docs.schema, strict=True)]
+    return F.xxhash64(*told, *[c.isNull() for c in columns])
+
+
+def word_counts(docs: DataFrame, key: str, source: str, text: str, whole: bool = False) -> DataFrame:
+    """(key, source, row, whole, size): words of each text, a hash of key and text, and, if
+    asked for, whole_row (else 0)."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            sizes = [len((t or b"").split()) for t in as_bytes(batch.column(3))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64())], ["_key", "source", "row", "size"])
+            sizes = [len((t or b"").split()) for t in as_bytes(batch.column(4))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sizes, pa.int64())], ["_key", "source", "row", "whole", "size"])
 
     read = docs.select(
         F.col(key).alias("_key"), F.col(source).cast("string").alias("source"),
-        F.xxhash64(F.col(key), text_column(text)).alias("row"), text_column(text).alias("_text"),
+        F.xxhash64(F.col(key), text_column(text)).alias("row"),
+        (whole_row(docs) if whole else F.lit(0).cast("long")).alias("whole"), text_column(text).alias("_text"),
     )
-    return read.mapInArrow(run, f"_key {kind}, source string, row long, size long").withColumnRenamed("_key", key)
+    return read.mapInArrow(run, f"_key {kind}, source string, row long, whole long, size long").withColumnRenamed("_key", key)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
@@ -190,7 +200,7 @@ def lay_out(sizes: DataFrame, sources: DataFrame, key: str, bucket_rows: int) ->
     """
     buckets = max(1, -(-sizes.count() // bucket_rows))
     dealt = _with_source(sizes, sources).withColumn("_bucket", F.pmod("row", F.lit(buckets)).cast("int"))
-    within = W.partitionBy("source_no", "_bucket").orderBy("row", key, "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source_no", "_bucket").orderBy("row", key, "size", "whole").rowsBetween(W.unboundedPreceding, -1)
     totals = dealt.groupBy("source_no", "_bucket").agg(F.sum("size").alias("_sum"))
     before = W.partitionBy("source_no").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     starts = totals.select("source_no", "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
@@ -226,12 +236,13 @@ def taken_pieces(
     shards: int = 64,
     seed: int = 5,
     bucket_rows: int = 5_000,
+    whole: bool = False,
 ) -> DataFrame:
     """block_pieces with `times`, how often the mix takes the piece.
 
     Slots are counted per block before they meet the pieces.
     """
-    sizes = stored(word_counts(docs, key, source, text), "word-counts")
+    sizes = stored(word_counts(docs, key, source, text, whole), "word-counts")
     sources = stored(source_targets(sizes), "sources")
     slots = draw_slots(sources, block_words, shards, seed)
     counts = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
@@ -262,13 +273,15 @@ def mix_sizes(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:  #
 def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:  # noqa: ANN003
     """The mix as rows of `docs`, all columns kept: for each pass over its source a document
     gives one row with the words that this pass takes, in their order and with the blanks
-    between them. A document of which nothing is taken gives none."""
-    pieces = taken_pieces(docs, key, text=text, **options).filter("times > 0")
-    spans = pieces.groupBy("row", "start").agg(F.collect_list(F.struct("from", "upto", "times")).alias("_spans"))
+    between them. A document of which nothing is taken gives none. Rows alike in key and
+    text keep their own source and other columns."""
+    pieces = taken_pieces(docs, key, text=text, whole=True, **options).filter("times > 0")
+    # rows alike in all columns have a place each
+    spans = pieces.groupBy("source_no", F.col("whole").alias("row"), "start").agg(F.collect_list(F.struct("from", "upto", "times")).alias("_spans"))
     columns = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at = columns.index(text)
-    named = docs.withColumn("_row", F.xxhash64(F.col(key), text_column(text))).dropDuplicates(["_row"])
+    named = docs.withColumn("_row", whole_row(docs)).dropDuplicates(["_row"])
     joined = named.join(spans, F.col("_row") == F.col("row"))
     out = joined.select(*[F.col(f"`{c}`") for c in columns], "_spans", text_column(text).alias("_text"))
 

@@ -108,3 +108,19 @@ def test_null_and_repeated_rows(spark):
     assert mixing.mix_sizes(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
     blank = docs.filter("text is null")
     assert [(r["target"], r["taken"]) for r in mixing.mix_sizes(blank).collect()] == [(0.0, 0)]
+
+
+def test_rows_alike_in_key_and_text_keep_their_source_and_columns(spark):
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, text, s, None if s == "a" else "x", f"{s}{k}") for s in ("a", "b", "c") for k in range(4)]
+    rows += [(None, text, None, "a", "n"), (None, text, "a", None, "a0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, url string")
+    options = {"block_words": 8, "shards": 4, "bucket_rows": 3}
+    sizes = mixing.mix_sizes(docs, **options).toPandas().fillna({"source": "none"}).groupby("source").taken.sum()
+    got, told = Counter(), set()
+    for r in mixing.mix_documents(docs, **options).collect():
+        got[r["source"] or "none"] += len(r["text"].split())
+        told.add((r["source"], r["lang"], r["url"]))
+    assert dict(got) == {s: n for s, n in sizes.to_dict().items() if n}
+    assert told <= {(s, lang, url) for _, _, s, lang, url in rows}
+    assert len({url for s, _, url in told if s == "a"}) == 4
