@@ -254,7 +254,8 @@ def drop_shared_lines(
     """
     added = {f.split()[0] for f in SCHEMA.split(", ")}
     kept_columns = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    name = F.xxhash64(F.col(key)).alias("_doc")  # any key type; rows that share it are served together
+    # any key type; rows that share the name have the same lines, and are served together
+    name = F.xxhash64(F.col(key), text_column(text)).alias("_doc")
     lines = stored(_document_lines(docs.select(name, text_column(text).alias("_text")), least_length), "lines")
     counts = lines.groupBy("hi", "lo").agg(F.sum("n").alias("n"))
     shards = max(1, -(-lines.count() // shard_keys))

@@ -59,3 +59,15 @@ def test_perfect_hash(n):
     assert own.size == n
     assert sorted(own.slots(low, high).tolist()) == list(range(n))
     assert sum(map(len, own.levels)) <= max(64, n)  # under 8 bits a key
+
+
+def test_rows_of_one_key_get_the_lines_of_their_own_text(spark, monkeypatch):
+    given = {}
+    own = line_dedup._without
+    monkeypatch.setattr(line_dedup, "_without", lambda joined, *args: given.setdefault("joined", joined) and own(joined, *args))
+    texts = [f"shared {k}\nonly {k} {i}" for k in range(8) for i in range(10)] + ["shared 1\nshared 2"] * 3
+    docs = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = line_dedup.drop_shared_lines(docs).collect()
+    assert sorted(r["kept_text"] for r in rows) == sorted([f"only {k} {i}" for k in range(8) for i in range(10)] + [""] * 3)
+    found = [(r["_text"], len(r["_drop"])) for r in given["joined"].select("_text", "_drop").collect()]
+    assert all(n == sum(x.startswith("shared") for x in t.split("\n")) for t, n in found)
