@@ -75,8 +75,8 @@ with docs as (
     length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > {_RULES.symbol_share} * strlen(array_to_string(w, ''))
     or (len(list_filter(w, lambda x: x in ('|', '>', '»', '·'))) >= {_RULES.separators}
       and len(list_filter(w, lambda x: x in ('|', '>', '»', '·'))) >= {_RULES.separator_share} * len(w))
-    or (strlen(line) <= 400 and regexp_matches(
-      regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), '{_BOILERPLATE}', 'i'))
+    or regexp_matches(
+      regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), '{_BOILERPLATE}', 'i')
     or runs.line_no is not null
   ) as failed from lines left join runs on lines.doc_id = runs.doc_id and lines.line_no = runs.line_no
 ), per_doc as (
@@ -94,3 +94,47 @@ with docs as (
 )
 select *, not base_failed and n_failed_words <= {_RULES.most_lost} * n_words as kept from based
 """
+
+# Each order is applied filter by filter to the failed sets of each part.
+ORACLE["op12_filter_audit"] = rf"""
+with recursive docs as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, {_WORDS} as w from documents
+), marks as (
+  select doc_id, coalesce(max(case when quality = 1 then 1 else 0 end), 0) as good,
+    coalesce(max(case when toxic = 1 then 1 else 0 end), 0) as toxic from labels group by doc_id
+), judged as (
+  select part, coalesce(good, 0) as good, coalesce(m.toxic, 0) as toxic,
+    len(w) < 50 as a, 100 * len(list_distinct(w)) < 65 * len(w) as b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) as c,
+    regexp_matches(text, '[#$%&*|]') as d,
+    coalesce(doc_id > min(doc_id) over (partition by text), false) as e
+  from docs left join marks m using (doc_id)
+), sets as (
+  select part, good, toxic, concat(case when a then 'A' else '' end, case when b then 'B' else '' end,
+    case when c then 'C' else '' end, case when d then 'D' else '' end, case when e then 'E' else '' end) as failed,
+    count(*) as n from judged group by all
+), orders as (
+  select '' as filter_order union all
+  select filter_order || f from orders, (values ('A'), ('B'), ('C'), ('D'), ('E')) as v(f)
+  where not contains(filter_order, f)
+), steps as (
+  select filter_order, step, substr(filter_order, step, 1) as f, substr(filter_order, 1, step - 1) as before
+  from orders, (values (1), (2), (3), (4), (5)) as v(step) where length(filter_order) = 5
+), met as (
+  select part, filter_order, step, f, n, good, toxic, failed = f as alone, contains(failed, f) as mine,
+    length(translate(failed, before, '')) < length(failed) as gone
+  from sets, steps
+), counted as (
+  select part, filter_order, step, f,
+    coalesce(sum(n) filter (not gone and not mine), 0)::bigint as kept,
+    coalesce(sum(n) filter (not gone and mine), 0)::bigint as removed,
+    coalesce(sum(n) filter (gone and mine), 0)::bigint as redundant,
+    coalesce(sum(n) filter (alone), 0)::bigint as unique_fails,
+    coalesce(sum(n) filter (not gone and mine and good = 1), 0)::bigint as good_lost,
+    coalesce(sum(n) filter (not gone and mine and toxic = 1), 0)::bigint as toxic_lost
+  from met group by part, filter_order, step, f
+)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) over (partition by part, f))::bigint as shapley
+from counted
+"""

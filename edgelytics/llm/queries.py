@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgelytics.llm import ann, line_dedup, mixing, packing, quality, sharding, simhash, substring, toxicity, url_filter
+from edgelytics.llm import (
+    ann,
+    filter_audit,
+    line_dedup,
+    mixing,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    substring,
+    toxicity,
+    url_filter,
+)
 from edgelytics.llm.common import table
 from edgelytics.session import scratch_path
 
@@ -95,3 +107,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_lines", "n_failed_lines", "n_failed_words",
     )
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
