@@ -17,6 +17,7 @@ from edgelytics.llm import (
     sharding,
     simhash,
     substring,
+    subword_lm,
     toxicity,
     url_filter,
 )
@@ -25,6 +26,8 @@ from edgelytics.session import scratch_path
 
 #: Name of the vocabulary file of the packing queries; the folder is the installed package's.
 VOCABULARY = "word_bpe_49k.json"
+#: The vocabulary whose pieces the language model weighs.
+PIECES = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -34,10 +37,10 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(VOCABULARY))
+    return str(public_tokenizers.path(name))
 
 
 @query
@@ -112,3 +115,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return subword_lm.score_texts(docs, vocabulary_path(PIECES))
