@@ -138,3 +138,29 @@ select part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
   (sum(removed) over (partition by part, f))::bigint as shapley
 from counted
 """
+
+# All documents scored for all items that share a term with them.
+ORACLE["op11_max_sketch"] = r"""
+with docs as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+') as t from documents
+), items as (
+  select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[0-9a-z\x{80}-\x{10FFFF}]+')) as term from benchmark
+), totals as (
+  select count(*) as n_docs, sum(len(t))::bigint as n_terms from docs where len(t) > 0
+), occurring as (
+  select doc_id, len(t) as n, unnest(t) as term from docs
+), counted as (
+  select doc_id, n, term, count(*) as tf from occurring group by all
+), weighed as (
+  select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from counted, totals group by term, n_docs
+), scored as (
+  select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::bigint as score
+  from items join counted using (term) join weighed using (term), totals group by item_id, doc_id
+), ranked as (
+  select *, (row_number() over (partition by item_id order by score desc, doc_id))::integer as rank from scored where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 20
+"""

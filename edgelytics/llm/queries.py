@@ -11,6 +11,7 @@ from edgelytics.llm import (
     ann,
     filter_audit,
     line_dedup,
+    max_sketch,
     mixing,
     packing,
     quality,
@@ -121,3 +122,8 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return subword_lm.score_texts(docs, vocabulary_path(PIECES))
+
+
+@query
+def op11_max_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -14,7 +14,7 @@ from edgelytics.llm.queries import QUERIES
 from tools.check import normalised
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "pages", "labels")
+TABLES = ("documents", "embeddings", "pages", "labels", "benchmark")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
 
 
