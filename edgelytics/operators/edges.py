@@ -59,6 +59,16 @@ def neurons(edges: DataFrame) -> DataFrame:
     return ends.distinct()
 
 
+def degrees(edges: DataFrame) -> DataFrame:
+    """(root_id, out_deg, in_deg) of every neuron that an edge touches."""
+    ends = F.array(
+        F.struct(F.col("src").alias("root_id"), F.lit(1).alias("out"), F.lit(0).alias("in")),
+        F.struct(F.col("dst").alias("root_id"), F.lit(0).alias("out"), F.lit(1).alias("in")),
+    )
+    counted = edges.select(F.inline(ends)).groupBy("root_id")
+    return counted.agg(F.sum("out").alias("out_deg"), F.sum("in").alias("in_deg"))
+
+
 def out_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("root_id")).agg(F.count("*").alias("out_deg"))
 

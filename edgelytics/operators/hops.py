@@ -5,7 +5,9 @@ for every edge of a trail, so edges are filtered before any join.
 
 Every hop is one equi-join on a neuron id, whose hubs `hub_join` deals to many tasks.
 A frontier is written to shared storage before it is used again: each hop is then
-computed once, and Spark knows its size when it chooses how to join.
+computed once, and Spark knows its size when it chooses how to join. `degrees` (root_id,
+out_deg, in_deg), which a stored graph has, spares counting the edges for it; the numbers
+may be those of more edges than are passed, so they need not fit the filter.
 """
 
 from __future__ import annotations
@@ -44,8 +46,24 @@ def _step(edges: DataFrame, far: str, hop: int) -> list[Column]:
     return [F.col(far).alias(_node(hop)), *[F.col(c).alias(f"{c}_{hop}") for c in attributes]]
 
 
-def _extend(trails: DataFrame, edges: DataFrame, hop: int, near: str, far: str) -> DataFrame:
-    """Join the edges that continue each trail at its last node, minus those it has used."""
+def _known(degrees: DataFrame | None, end: str) -> DataFrame | None:
+    """(neuron, edges that have it at `end`), where it is known."""
+    if degrees is None:
+        return None
+    return degrees.select("root_id", "out_deg" if end == "src" else "in_deg")
+
+
+def _extend(
+    trails: DataFrame,
+    edges: DataFrame,
+    hop: int,
+    near: str,
+    far: str,
+    degrees: DataFrame | None = None,
+    all_edges: bool = False,
+) -> DataFrame:
+    """Join the edges that continue each trail at its last node, minus those it has used.
+    `all_edges`: the trails are the edge table itself."""
     step = edges.select(F.col(near).alias("near"), *_step(edges, far, hop))
     fresh = F.lit(True)
     for used in range(1, hop):
@@ -55,7 +73,9 @@ def _extend(trails: DataFrame, edges: DataFrame, hop: int, near: str, far: str)
             & F.col(f"neuropil_{used}").eqNullSafe(F.col(f"neuropil_{hop}"))
         )
         fresh &= ~same_edge
-    return hub_join(trails, _node(hop - 1), step, "near").where(fresh).drop("near")
+    arriving = _known(degrees, far) if all_edges else None
+    joined = hub_join(trails, _node(hop - 1), step, "near", arriving, _known(degrees, near))
+    return joined.where(fresh).drop("near")
 
 
 def trails(
@@ -65,6 +85,7 @@ def trails(
     flt: EdgeFilter = ALL_EDGES,
     direction: tuple[str, str] = DOWNSTREAM,
     attributes: Sequence[str] = PATH_ATTRIBUTES,
+    degrees: DataFrame | None = None,
 ) -> list[DataFrame]:
     """The trails of each length 1..k away from the roots, one flat table per length.
 
@@ -77,7 +98,8 @@ def trails(
     current = edges_of(usable, roots, near).select("root_id", *_step(usable, far, 1))
     lengths = [current]
     for hop in range(2, k + 1):
-        if hop == 2 and roots is None:
+        whole = hop == 2 and roots is None
+        if whole:
             # The edge table itself: nothing to save by writing it again.
             frontier, nearby = current, usable
         else:
@@ -87,7 +109,7 @@ def trails(
                 break
             frontier = stored.df
             nearby = near_table(usable, near, stored, _node(hop - 1))
-        current = _extend(frontier, nearby, hop, near, far)
+        current = _extend(frontier, nearby, hop, near, far, degrees, whole)
         lengths.append(current)
     return lengths
 
@@ -121,8 +143,9 @@ def _k_hop(
     flt: EdgeFilter,
     direction: tuple[str, str],
     max_hops: int | None,
+    degrees: DataFrame | None,
 ) -> DataFrame:
-    by_length = trails(edges, roots, check_hops(k, max_hops), flt, direction)
+    by_length = trails(edges, roots, check_hops(k, max_hops), flt, direction, degrees=degrees)
     paths = [as_paths(t, hops, direction) for hops, t in enumerate(by_length, start=1)]
     return reduce(DataFrame.unionByName, paths)
 
@@ -133,9 +156,10 @@ def k_hop_downstream(
     k: int = 2,
     flt: EdgeFilter = ALL_EDGES,
     max_hops: int | None = MAX_HOPS,
+    degrees: DataFrame | None = None,
 ) -> DataFrame:
     """Every trail of 1..k edges that leaves a root, as (root_id, hops, nodes, edges)."""
-    return _k_hop(edges, roots, k, flt, DOWNSTREAM, max_hops)
+    return _k_hop(edges, roots, k, flt, DOWNSTREAM, max_hops, degrees)
 
 
 def k_hop_upstream(
@@ -144,9 +168,10 @@ def k_hop_upstream(
     k: int = 2,
     flt: EdgeFilter = ALL_EDGES,
     max_hops: int | None = MAX_HOPS,
+    degrees: DataFrame | None = None,
 ) -> DataFrame:
     """Every trail of 1..k edges that ends in a root; nodes run from the far end to the root."""
-    return _k_hop(edges, roots, k, flt, UPSTREAM, max_hops)
+    return _k_hop(edges, roots, k, flt, UPSTREAM, max_hops, degrees)
 
 
 def path_preview(paths: DataFrame) -> DataFrame:
@@ -162,10 +187,15 @@ def path_preview(paths: DataFrame) -> DataFrame:
 
 
 def _two_hop(
-    edges: DataFrame, roots: Roots, flt: EdgeFilter, direction: tuple[str, str], names: list[str]
+    edges: DataFrame,
+    roots: Roots,
+    flt: EdgeFilter,
+    direction: tuple[str, str],
+    names: list[str],
+    degrees: DataFrame | None,
 ) -> DataFrame:
     attributes = ["syn_count", "neuropil"]
-    by_length = trails(edges, roots, 2, flt, direction, attributes)
+    by_length = trails(edges, roots, 2, flt, direction, attributes, degrees)
     if len(by_length) == 1:  # no first hop, so this has the right columns and no rows
         by_length.append(_extend(by_length[0], edges.select("src", "dst", *attributes), 2, *direction))
     return as_chains(by_length[1], names)
@@ -183,24 +213,31 @@ def as_chains(trails_of_two: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def two_hop_upstream(
-    edges: DataFrame, roots: Roots = None, flt: EdgeFilter = ALL_EDGES
+    edges: DataFrame,
+    roots: Roots = None,
+    flt: EdgeFilter = ALL_EDGES,
+    degrees: DataFrame | None = None,
 ) -> DataFrame:
     """Chains pre2 -> pre1 -> root. Attributes `_1` belong to the edge at the root."""
-    return _two_hop(edges, roots, flt, UPSTREAM, ["pre1_id", "pre2_id"])
+    return _two_hop(edges, roots, flt, UPSTREAM, ["pre1_id", "pre2_id"], degrees)
 
 
 def two_hop_downstream(
-    edges: DataFrame, roots: Roots = None, flt: EdgeFilter = ALL_EDGES
+    edges: DataFrame,
+    roots: Roots = None,
+    flt: EdgeFilter = ALL_EDGES,
+    degrees: DataFrame | None = None,
 ) -> DataFrame:
     """Chains root -> post1 -> post2. Attributes `_1` belong to the edge at the root."""
-    return _two_hop(edges, roots, flt, DOWNSTREAM, ["post1_id", "post2_id"])
+    return _two_hop(edges, roots, flt, DOWNSTREAM, ["post1_id", "post2_id"], degrees)
 
 
-def _neighbours(usable: dict[str, DataFrame], frontier: Stored) -> DataFrame:
+def _neighbours(usable: dict[str, DataFrame], frontier: Stored, degrees: DataFrame | None) -> DataFrame:
     """(root_id, node_id) of all neighbours, in either direction, of a frontier's nodes."""
     ways = [
-        hub_join(frontier.df, "node_id", near_table(table, near, frontier, "node_id"), near)
-        .select("root_id", F.col("dst" if near == "src" else "src").alias("node_id"))
+        hub_join(
+            frontier.df, "node_id", near_table(table, near, frontier, "node_id"), near, None, _known(degrees, near)
+        ).select("root_id", F.col("dst" if near == "src" else "src").alias("node_id"))
         for near, table in usable.items()
     ]
     return ways[0].union(ways[1])
@@ -213,6 +250,7 @@ def k_hop_nodes(
     flt: EdgeFilter = ALL_EDGES,
     max_hops: int | None = MAX_HOPS,
     edges_by_dst: DataFrame | None = None,
+    degrees: DataFrame | None = None,
 ) -> DataFrame:
     """Neurons within k edges of each root, direction ignored, as (root_id, node_id).
 
@@ -241,7 +279,7 @@ def k_hop_nodes(
             levels[-1] = frontier.df
         if frontier.rows == 0:
             break
-        reached = _neighbours(usable, frontier).distinct()
+        reached = _neighbours(usable, frontier, degrees).distinct()
         known = levels[-2].union(levels[-1])
         levels.append(reached.join(known, ["root_id", "node_id"], "left_anti"))
     return reduce(DataFrame.union, levels)
@@ -254,9 +292,10 @@ def circuit(
     flt: EdgeFilter = ALL_EDGES,
     max_hops: int | None = MAX_HOPS,
     edges_by_dst: DataFrame | None = None,
+    degrees: DataFrame | None = None,
 ) -> DataFrame:
     """Passing edges with both ends within k undirected hops of a root, per root."""
-    nodes = k_hop_nodes(edges, roots, k, flt, max_hops, edges_by_dst)
+    nodes = k_hop_nodes(edges, roots, k, flt, max_hops, edges_by_dst, degrees)
     members = materialize(nodes, "circuit-nodes")
     inside = members.df
     usable = near_table(edges, "src", members, "node_id").where(flt.condition)
@@ -265,7 +304,9 @@ def circuit(
     anywhere = materialize(inside.select("node_id").distinct(), "circuit-members").df
     for end in ("src", "dst"):
         usable = usable.join(anywhere, F.col(end) == F.col("node_id"), "left_semi")
-    leaving = hub_join(usable, "src", inside, "node_id").drop("node_id")
+    if degrees is None:  # read to be counted, and again to be joined
+        usable = materialize(usable, "circuit-edges").df
+    leaving = hub_join(usable, "src", inside, "node_id", _known(degrees, "src")).drop("node_id")
     targets = inside.select("root_id", F.col("node_id").alias("dst"))
     return leaving.join(targets, ["root_id", "dst"], "left_semi").select(
         "root_id",

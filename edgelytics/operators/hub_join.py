@@ -20,20 +20,35 @@ from edgelytics.session import materialize
 CELL_ROWS = 1_000_000
 
 
-def hub_join(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
+def hub_join(
+    left: DataFrame,
+    left_key: str,
+    right: DataFrame,
+    right_key: str,
+    left_counts: DataFrame | None = None,
+    right_counts: DataFrame | None = None,
+) -> DataFrame:
     """All columns of both sides for each pair of rows with equal, non-null keys.
 
     Column names of the two sides must differ. Keys are counted first, by combined
-    aggregations; only keys that make over CELL_ROWS rows are cut.
+    aggregations; only keys that make over CELL_ROWS rows are cut. A side whose counts are
+    known, as (key, rows) that may be upper bounds, is not read for it.
     """
     cells = CELL_ROWS
     side = max(1, math.isqrt(cells))
+
+    def counted_side(table: DataFrame, key: str, known: DataFrame | None, name: str) -> DataFrame:
+        if known is None:
+            return table.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias(name))
+        return known.toDF("_key", name)
+
     counts = (
-        left.groupBy(F.col(left_key).alias("_key")).agg(F.count("*").alias("_l"))
-        .join(right.groupBy(F.col(right_key).alias("_key")).agg(F.count("*").alias("_r")), "_key")
+        counted_side(left, left_key, left_counts, "_l")
+        .join(counted_side(right, right_key, right_counts, "_r"), "_key")
         .select("_key", "_l", "_r", (F.col("_l") * F.col("_r")).alias("_rows"))
     )
-    counted = materialize(counts, "key-counts").df
+    # both sides are read to be counted, unless one is known: then counting twice is cheap
+    counted = counts if left_counts is not None or right_counts is not None else materialize(counts, "key-counts").df
     hub = F.col("_rows") > cells
     rows, hubs = counted.agg(F.sum("_rows"), F.count(F.when(hub, 1))).first()
     joined = F.col(left_key) == F.col(right_key)

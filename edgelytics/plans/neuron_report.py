@@ -20,6 +20,7 @@ from edgelytics.operators.hops import (
     trails,
 )
 from edgelytics.operators.partners import store_roots
+from edgelytics.operators.path_counts import count_trails
 from edgelytics.session import materialize
 
 SECTIONS = (
@@ -39,6 +40,7 @@ def neuron_report(
     k: int = 3,
     flt: EdgeFilter = ALL_EDGES,
     edges_by_dst: DataFrame | None = None,
+    degrees: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The rows of the seven sections of the report of each root, by section name.
 
@@ -53,7 +55,7 @@ def neuron_report(
     wanted = store_roots(roots)
 
     def listed(table: DataFrame, direction: tuple[str, str], partners: str, way: str, names: list[str]) -> dict[str, DataFrame]:
-        by_length = trails(table, wanted, max(k, 2), flt, direction)
+        by_length = trails(table, wanted, max(k, 2), flt, direction, degrees=degrees)
         by_length[-1] = materialize(by_length[-1], "trails-last").df
         first = by_length[0]
         second = by_length[1] if len(by_length) > 1 else None
@@ -69,7 +71,7 @@ def neuron_report(
         }
 
     def circuits() -> dict[str, DataFrame]:
-        found = circuit(edges, wanted, k, flt, edges_by_dst=mirror)
+        found = circuit(edges, wanted, k, flt, edges_by_dst=mirror, degrees=degrees)
         return {"circuit": materialize(found, "circuit").df}
 
     with ThreadPoolExecutor() as pool:
@@ -88,20 +90,45 @@ def neuron_report_counts(
     k: int = 3,
     flt: EdgeFilter = ALL_EDGES,
     edges_by_dst: DataFrame | None = None,
+    degrees: DataFrame | None = None,
 ) -> DataFrame:
-    """How many rows each section of `neuron_report` has for each root, as (root_id, section, rows)."""
+    """How many rows each section of `neuron_report` has for each root, as (root_id, section, rows).
+
+    No path is listed for it: see `operators.path_counts`. Circuit rows are counted where
+    they are found. The two directions and the circuit run side by side.
+    """
+    check_hops(k)
+    mirror = edges if edges_by_dst is None else edges_by_dst
     wanted = store_roots(roots)
-    report = neuron_report(edges, wanted.df, k, flt, edges_by_dst)
-    counted = [_counted(rows, section) for section, rows in report.items()]
+
+    def counted(table: DataFrame, direction: tuple[str, str], partners: str, way: str) -> DataFrame:
+        by_hops = materialize(count_trails(table, wanted, max(k, 2), flt, direction, degrees), "trail-counts").df
+        sections = [(partners, F.col("hops") == 1), (f"two_hop_{way}", F.col("hops") == 2), (f"k_hop_{way}", F.col("hops") <= k)]
+        return reduce(DataFrame.union, [_summed(by_hops.where(which), section) for section, which in sections])
+
+    def circuits() -> DataFrame:
+        found = circuit(edges, wanted, k, flt, edges_by_dst=mirror, degrees=degrees)
+        rows = found.groupBy("root_id").agg(F.count("*").alias("rows"))
+        return materialize(_summed(rows, "circuit"), "circuit-counts").df
+
+    with ThreadPoolExecutor() as pool:
+        parts = [
+            pool.submit(counted, mirror, UPSTREAM, "presynaptic", "upstream"),
+            pool.submit(counted, edges, DOWNSTREAM, "postsynaptic", "downstream"),
+            pool.submit(circuits),
+        ]
+        found = [part.result() for part in parts]
     none = wanted.df.select(
         "root_id",
         F.explode(F.array(*map(F.lit, SECTIONS))).alias("section"),
         F.lit(0).cast("bigint").alias("rows"),
     )
-    total = reduce(DataFrame.union, counted, none).groupBy("root_id", "section")
-    return total.agg(F.sum("rows").alias("rows"))
+    return _total(reduce(DataFrame.union, found, none))
+
+
+def _summed(rows: DataFrame, section: str) -> DataFrame:
+    return _total(rows.select("root_id", F.lit(section).alias("section"), "rows"))
 
 
-def _counted(rows: DataFrame, section: str) -> DataFrame:
-    per_root = rows.groupBy("root_id").agg(F.count("*").alias("rows"))
-    return per_root.select("root_id", F.lit(section).alias("section"), "rows")
+def _total(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("root_id", "section").agg(F.sum("rows").alias("rows"))

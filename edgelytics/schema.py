@@ -61,6 +61,9 @@ EDGES = T.StructType(
     + _fields(("ord", T.LongType()))
 )
 NEURONS = T.StructType(_fields(("root_id", T.LongType())))
+DEGREES = T.StructType(
+    _fields(("root_id", T.LongType()), ("out_deg", T.LongType()), ("in_deg", T.LongType()))
+)
 
 # Synapse-count histogram cube: every summary figure is a roll-up of this table.
 CUBE = T.StructType(

@@ -78,10 +78,31 @@ def materialize(df: DataFrame, label: str) -> Stored:
 
 def release_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch folder; DataFrames reading it become invalid."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove_path(spark, scratch_dir(spark))
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file, or return False if it exists: of several writers one gets True."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(found.getParent())
+    return files.createNewFile(found)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if there is no such folder."""
+    if not path_exists(spark, path):
+        return []
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(status.getPath().getName() for status in files.listStatus(found))

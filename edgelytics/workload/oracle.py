@@ -304,6 +304,7 @@ _LATER_LOAD_WINS = f"""with loads as (
     gold as ({_gold('loads')}) {_edges('gold', '(load, ord)')}"""
 
 ORACLE: dict[str, str] = {
+    "edges_as_of": f"with loads as ({_connections(FIRST_LOAD)}), gold as ({_gold('loads')}) {_edges('gold')}",
     "scan_ipc": _with(
         "connections",
         f"""select {_RAW.removeprefix('ord, ')}, (row_number() over (partition by pre_pt_root_id,

@@ -30,7 +30,7 @@ from edgelytics.session import materialize, scratch_path
 from edgelytics.sources import summaries
 from edgelytics.sources.arrow_ipc import read_ipc
 from edgelytics.sources.gold import read_gold, write_gold
-from edgelytics.sources.graph import upsert_graph, write_graph
+from edgelytics.sources.graph import read_graph, upsert_graph, write_graph
 from edgelytics.sources.summaries import (
     fetch_summary,
     push_summary,
@@ -160,6 +160,15 @@ def edges_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert_graph(first, connections(spark, sf_dir, SECOND_LOAD)).edges
 
 
+@query
+def edges_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads through one handle; the graph as the first of them left it."""
+    empty = write_graph(connections(spark, sf_dir, "false"), scratch_path(spark, "graph"))
+    for load in (FIRST_LOAD, SECOND_LOAD):
+        upsert_graph(empty, connections(spark, sf_dir, load))
+    return read_graph(spark, empty.path, as_of=1).edges
+
+
 def _summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the cube and the distinct ids read the derived rows, which are joined once
     derived = materialize(connections(spark, sf_dir), "connections").df
@@ -351,13 +360,14 @@ def top_neuron_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def two_hop_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = graph(spark, sf_dir).edges_by_dst
-    return hops.two_hop_upstream(stored, flt=EdgeFilter(threshold=25, neurotransmitter="a"))
+    loaded, flt = graph(spark, sf_dir), EdgeFilter(threshold=25, neurotransmitter="a")
+    return hops.two_hop_upstream(loaded.edges_by_dst, flt=flt, degrees=loaded.degrees)
 
 
 @query
 def two_hop_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hops.two_hop_downstream(edges(spark, sf_dir), flt=EdgeFilter(threshold=25))
+    loaded = graph(spark, sf_dir)
+    return hops.two_hop_downstream(loaded.edges, flt=EdgeFilter(threshold=25), degrees=loaded.degrees)
 
 
 def _path_text(paths: DataFrame) -> DataFrame:
@@ -371,22 +381,21 @@ def _path_text(paths: DataFrame) -> DataFrame:
 
 @query
 def k_hop_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = edges(spark, sf_dir)
-    return _path_text(hops.k_hop_downstream(stored, k=3, flt=EdgeFilter(threshold=44)))
+    loaded, flt = graph(spark, sf_dir), EdgeFilter(threshold=44)
+    return _path_text(hops.k_hop_downstream(loaded.edges, k=3, flt=flt, degrees=loaded.degrees))
 
 
 @query
 def k_hop_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = graph(spark, sf_dir).edges_by_dst
-    flt = EdgeFilter(threshold=30, neurotransmitter="dopa")
-    return _path_text(hops.k_hop_upstream(stored, k=3, flt=flt))
+    loaded, flt = graph(spark, sf_dir), EdgeFilter(threshold=30, neurotransmitter="dopa")
+    return _path_text(hops.k_hop_upstream(loaded.edges_by_dst, k=3, flt=flt, degrees=loaded.degrees))
 
 
 @query
 def k_hop_from_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = edges(spark, sf_dir)
-    target = eg.top_out_degree(stored, 3)
-    return _path_text(hops.k_hop_downstream(stored, target, k=3, flt=EdgeFilter(threshold=25)))
+    loaded, flt = graph(spark, sf_dir), EdgeFilter(threshold=25)
+    target = eg.top_out_degree(loaded.edges, 3)
+    return _path_text(hops.k_hop_downstream(loaded.edges, target, k=3, flt=flt, degrees=loaded.degrees))
 
 
 @query
@@ -398,13 +407,13 @@ def path_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def k_hop_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     loaded, flt = graph(spark, sf_dir), EdgeFilter(threshold=40)
-    return hops.k_hop_nodes(loaded.edges, k=2, flt=flt, edges_by_dst=loaded.edges_by_dst)
+    return hops.k_hop_nodes(loaded.edges, k=2, flt=flt, edges_by_dst=loaded.edges_by_dst, degrees=loaded.degrees)
 
 
 @query
 def circuit(spark: SparkSession, sf_dir: str) -> DataFrame:
     loaded, flt = graph(spark, sf_dir), EdgeFilter(threshold=48)
-    return hops.circuit(loaded.edges, k=3, flt=flt, edges_by_dst=loaded.edges_by_dst)
+    return hops.circuit(loaded.edges, k=3, flt=flt, edges_by_dst=loaded.edges_by_dst, degrees=loaded.degrees)
 
 
 @query
@@ -429,7 +438,7 @@ def dataset_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neuron_report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     loaded = graph(spark, sf_dir)
     target, flt = eg.top_out_degree(loaded.edges, 1), EdgeFilter(threshold=25)
-    return neuron_report.neuron_report_counts(loaded.edges, target, 3, flt, loaded.edges_by_dst)
+    return neuron_report.neuron_report_counts(loaded.edges, target, 3, flt, loaded.edges_by_dst, loaded.degrees)
 
 
 @query
@@ -437,7 +446,7 @@ def neuron_report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of the report, each as one line of text."""
     loaded = graph(spark, sf_dir)
     target, flt = eg.top_out_degree(loaded.edges, 1), EdgeFilter(threshold=40)
-    report = neuron_report.neuron_report(loaded.edges, target, 3, flt, loaded.edges_by_dst)
+    report = neuron_report.neuron_report(loaded.edges, target, 3, flt, loaded.edges_by_dst, loaded.degrees)
     found = []
     for section, listed in report.items():
         if section.startswith("k_hop"):
