@@ -496,7 +496,7 @@ ORACLE: dict[str, str] = {
         _nearby(2, "syn_count >= 40"),
         recursive=True,
     ),
-    "circuit": _with("edges", _CIRCUIT, _nearby(3, "syn_count >= 48"), recursive=True),
+    "circuit": _with("edges", _CIRCUIT, _nearby(3, "syn_count >= 48")),
     "circuit_document": _with(
         "edges",
         f"""select root_id, ((source_root_id + target_root_id) % 4)::integer as piece,
@@ -506,7 +506,6 @@ ORACLE: dict[str, str] = {
             order by source_root_id, target_root_id, neuropil)}}]}})::varchar as document
         from ({_CIRCUIT}) group by all""",
         _nearby(1, "syn_count >= 40 and neuropil = 'A_F'"),
-        recursive=True,
     ),
     "outgoing_edges": _with(
         "edges", "select src as source_id, dst as target_id, syn_count, neuropil from edges"
