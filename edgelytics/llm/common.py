@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from edgelytics.session import materialize
@@ -50,3 +50,21 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
                 start, size = row + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def most_frequent(table: DataFrame, count: str, most: int) -> tuple[list[Row], int]:
+    """(rows, least): all rows with at least `least` in `count`, as many as `most` allows.
+
+    `least` is the lower end of a class of counts, so that a small table of class sizes
+    decides it and nothing is sorted; only the chosen rows come to the driver.
+    """
+    steps = 8  # classes to each doubling, 512 in all at most
+    named = F.floor(F.log2(F.col(count)) * steps).cast("int")
+    sizes = table.filter(F.col(count) > 0).groupBy(named.alias("class")).agg(F.count(F.lit(1)).alias("rows"), F.min(count).alias("least"))
+    taken, least = 0, (1 << 63) - 1
+    for r in sorted(sizes.collect(), key=lambda r: -r["class"]):
+        taken += r["rows"]
+        if taken > most:
+            break
+        least = r["least"]
+    return table.filter(F.col(count) >= least).collect(), least

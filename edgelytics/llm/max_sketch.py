@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from edgelytics.llm.common import as_bytes, slices, stored, text_column
+from edgelytics.llm.common import as_bytes, most_frequent, slices, stored, text_column
 
 #: ASCII that is neither letter nor digit parts terms; A-Z are lower-cased.
 _TERMS = bytes(
@@ -119,7 +119,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Ind
     held, length = (totals["df"], totals["total"]) if totals else (0, 0)
     frequencies = counted.filter("term is not null").select("term", "df")
     short = frequencies.filter(F.length("term") <= FREQUENT_BYTES)
-    listed = short.orderBy(F.desc("df"), "term").limit(FREQUENT_TERMS).collect()  # a bounded table
+    listed, _ = most_frequent(short, "df", FREQUENT_TERMS)
     dfs = np.array([r["df"] for r in listed], np.int64)
     weights = dict(zip([bytes(r["term"]) for r in listed], _weights(held, dfs).tolist(), strict=True))
     largest = int(_weights(held, np.array([1]))[0])

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgelytics.llm.common import as_bytes, slices, stored, text_column
+from edgelytics.llm.common import as_bytes, most_frequent, slices, stored, text_column
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCKS = 6  # pieces have up to 48 bytes, compared eight at a time
@@ -382,7 +382,7 @@ def score_texts(docs: DataFrame, model_path: str, key: str = "doc_id", text: str
     they occur; a null key is a training row. Without any training row counts are zero.
     Other columns are not read; an empty table gives no rows.
 
-    Counts of the `frequent_words` most frequent words, none of over FREQUENT_BYTES bytes,
+    Counts of up to `frequent_words` most frequent words, none of over FREQUENT_BYTES bytes,
     go to every task; all other words of a document are joined with their counts, so
     results do not depend on that number.
     """
@@ -393,14 +393,11 @@ def score_texts(docs: DataFrame, model_path: str, key: str = "doc_id", text: str
     ends = counts.filter("word is null").agg(F.sum("n")).first()[0] or 0
     weights = learn_weights(counts, vocabulary, rounds)
     short = counts.filter(F.col("word").isNotNull() & (F.length("word") <= FREQUENT_BYTES))
-    listed = short.orderBy(F.desc("n"), "word").limit(frequent_words).collect()  # a bounded table
+    listed, least = most_frequent(short, "n", frequent_words)
     frequent = {bytes(r["word"]): r["n"] for r in listed}
     rows = _score_rows(docs, vocabulary, weights, frequent, ends, key, text)
     rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "scored")
-    # only long words, or words no more frequent than the last of those, can be met
-    met = F.length("word") > FREQUENT_BYTES
-    if len(listed) == frequent_words:
-        met |= F.col("n") <= (listed[-1]["n"] if listed else int(total))
+    met = (F.length("word") > FREQUENT_BYTES) | (F.col("n") < least)
     others = counts.filter(F.col("word").isNotNull() & met).select(*_word_hash(F.col("word")), F.col("n").alias("_count"))
     pairs = rows.select("_row", F.inline("_rare"))
     more = pairs.join(others, ["h1", "h2"]).groupBy("_row").agg(
