@@ -75,6 +75,9 @@ CUBE = T.StructType(
     )
 )
 
+# Mergeable sketches of the ids of some input.
+SKETCHES = T.StructType(_fields(("senders", T.BinaryType()), ("receivers", T.BinaryType())))
+
 PATH_EDGE = T.StructType(
     _fields(
         ("source_id", T.LongType()),

@@ -530,6 +530,9 @@ ORACLE: dict[str, str] = {
         (select count(*) from (select src from edges union select dst from edges)) as neurons""",
     ),
     "unique_counts": _with("unique_ids", "select * from unique_ids"),
+    "approx_unique_counts": _with(
+        "unique_ids", "select name, exact, true as close from (unpivot unique_ids on * into name name value exact)"
+    ),
     "hist_global": _with("hist", "select * from hist"),
     "hist_by_neuropil": _with(
         "hist_np",

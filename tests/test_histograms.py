@@ -2,15 +2,18 @@
 
 import json
 import random
+from functools import reduce
 
 import pytest
 from conftest import NONE6, rows
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgelytics.functions.transmitters import with_dominant
 from edgelytics.operators import histogram as hg
-from edgelytics.operators.reports import first_n_rows
+from edgelytics.operators import sketches as sk
 from edgelytics.operators import tails
+from edgelytics.operators.reports import first_n_rows
 from edgelytics.plans.summary import summarize, summarize_gold, summary_document
 from edgelytics.schema import CONNECTIONS, SUMMARY_RECORD
 from edgelytics.session import scratch_path
@@ -210,3 +213,25 @@ def test_tail_lookup_matches_direct_count(cube, tiny):
             .agg(F.sum("count").alias("pairs"))
         )
         assert rows(looked_up) == rows(direct)
+
+
+def test_approximate_counts_merge_and_keep_their_error(spark, tiny):
+    ids = spark.range(200_000)
+    split = [ids.where(F.col("id") % 3 == n) for n in range(3)]
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in CONNECTIONS.fields[3:]]
+    parts = [
+        part.select(F.col("id").alias("ord"), (F.col("id") % 50_000).alias("pre_pt_root_id"), (F.col("id") + 20_000).alias("post_pt_root_id"), *rest)
+        for part in split
+    ]
+    sketches = reduce(DataFrame.union, [sk.id_sketches(p) for p in parts])
+    cube = hg.connection_cube(with_dominant(parts[0]))
+    got = sk.approx_unique_counts(sketches, cube).first()
+    want = (50_000, 200_000, 220_000, 0)
+    assert list(got.asDict()) == hg.unique_counts(tiny).columns
+    assert all(abs(g - w) <= 0.024 * w for g, w in zip(got, want, strict=True))  # three standard errors
+    # merged at once, in steps, or made in one go: the same registers
+    whole = sk.id_sketches(reduce(DataFrame.union, parts))
+    steps = sk.merge_sketches(sk.merge_sketches(sketches.limit(2)).union(sk.id_sketches(parts[2])))
+    assert got == sk.approx_unique_counts(whole, cube).first() == sk.approx_unique_counts(steps.union(whole), cube).first()
+    none = tiny.where("false")
+    assert tuple(sk.approx_unique_counts(sk.id_sketches(none), hg.connection_cube(with_dominant(none))).first()) == (0, 0, 0, 0)

@@ -14,12 +14,14 @@ from edgelytics.functions.filters import EdgeFilter
 from edgelytics.functions.transmitters import with_dominant
 from edgelytics.operators import hops, partners
 from edgelytics.operators.edges import latest_edges
-from edgelytics.operators.histogram import connection_cube
+from edgelytics.operators.histogram import connection_cube, unique_counts
 from edgelytics.operators.reports import first_n_rows
+from edgelytics.operators.sketches import approx_unique_counts
 from edgelytics.plans.neuron_report import neuron_report_counts
 from edgelytics.schema import CONNECTIONS, EDGES, GOLD, NT_COLUMNS
 from edgelytics.session import materialize, scratch_dir, scratch_path
 from edgelytics.sources import arrow_ipc
+from edgelytics.sources import graph as graph_source
 from edgelytics.sources.gold import read_gold, write_gold
 from edgelytics.sources.graph import compact_graph, read_graph, upsert_graph, write_graph
 from edgelytics.streaming import incremental
@@ -231,18 +233,86 @@ def test_incremental(spark, tiny):
     assert rows(incremental.current_cube(spark, target), *columns) == whole
     assert rows(incremental.current_edges(spark, target)) == rows(latest_edges(tiny))
     assert rows(incremental.current_rejects(spark, target)) == [TINY[-1]]
-    # A batch that runs again after a failure replaces what it had stored.
+    # a batch that runs again after it was published is not counted twice
     commits = f"{target}/checkpoint/commits"
     last = max(int(n) for n in os.listdir(commits) if n.isdigit())
-    stale = read = spark.read.parquet(f"{target}/cube/batch={last}")
-    stale.union(read).coalesce(1).write.parquet(f"{target}/spoiled")
-    spark.read.parquet(f"{target}/spoiled").write.mode("overwrite").parquet(f"{target}/cube/batch={last}")
     for name in (f"{last}", f".{last}.crc"):
         os.unlink(f"{commits}/{name}")
     run()
     assert rows(incremental.current_cube(spark, target), *columns) == whole
 
 
+def test_batches_are_merged_by_levels(spark, tiny, monkeypatch):
+    """Nine batches of a row, merged by twos: few runs, the same tables after every one."""
+    arriving, target = scratch_path(spark, "arriving"), scratch_path(spark, "ingested")
+    columns = ["neuropil", "dominant_nt", "syn_count", "count"]
+
+    def run():
+        stream = incremental.read_connection_stream(spark, arriving)
+        incremental.ingest(stream, target, fanout=2).trigger(availableNow=True).start().awaitTermination()
+
+    for n, part in enumerate(("ord <= 3", "ord in (4, 5)", "ord = 6", "ord = 7", "ord = 8", "ord = 9"), start=1):
+        tiny.where(part).coalesce(1).write.mode("append").parquet(arriving)
+        if n == 4:  # the merges of this batch fail half-way: all batches before it are there, and it too
+            write = incremental._write
+            with monkeypatch.context() as patched:
+                def broken(path, run, tables):
+                    write(path, run, dict(list(tables.items())[: 4 if run.level == 0 else 2]))
+                    if run.level:
+                        raise RuntimeError("lost")
+                patched.setattr(incremental, "_write", broken)
+                with pytest.raises(Exception, match="lost"):
+                    run()
+            upto = tiny.where("ord <= 7")
+            assert rows(incremental.current_cube(spark, target), *columns) == rows(connection_cube(with_dominant(upto)))
+            assert rows(incremental.current_edges(spark, target)) == rows(latest_edges(upto))
+        run()
+    assert rows(incremental.current_cube(spark, target), *columns) == rows(connection_cube(with_dominant(tiny)))
+    assert rows(incremental.current_edges(spark, target)) == rows(latest_edges(tiny))
+    assert rows(incremental.current_rejects(spark, target)) == [TINY[-1]]
+    counted = approx_unique_counts(incremental.current_sketches(spark, target), incremental.current_cube(spark, target))
+    assert rows(counted) == rows(unique_counts(tiny))
+    runs = incremental.snapshot(spark, target)[1]
+    assert [r.name for r in runs] == ["0-3", "4-5"]  # six batches, two runs
+    gone = incremental.vacuum(spark, target, keep=1)
+    assert f"{target}/cube/0-0" in gone and os.listdir(f"{target}/snapshots") != []
+    assert set(os.listdir(f"{target}/edges")) == {"0-3", "4-5"}
+    assert rows(incremental.current_edges(spark, target)) == rows(latest_edges(tiny))
+    assert incremental.compact(spark, target, fanout=2) == 0
+
+
+def test_two_upserts_through_one_handle_keep_both(spark, tiny, monkeypatch):
+    graph = write_graph(tiny, scratch_path(spark, "graph"), mirror=True)
+    loads = [spark.createDataFrame([(1, 20 + n, 1, "EB", n, *[0.5] * 6)], CONNECTIONS) for n in (1, 2, 3)]
+    upsert_graph(graph, loads[0])
+    grown = upsert_graph(graph, loads[1])
+    assert grown.loads == 2
+    found = {r["src"]: r["syn_count"] for r in grown.edges.where("src > 20").collect()}
+    assert found == {21: 1, 22: 2}
+    degree = {r["root_id"]: tuple(r)[1:] for r in grown.degrees.collect()}
+    assert degree[21] == (1, 0) and degree[1] == (2, 3) and len(degree) == 7
+    # as it stood after a load, and before all
+    assert rows(read_graph(spark, graph.path, as_of=1).edges.where("src > 20"), "src") == [(21,)]
+    assert rows(read_graph(spark, graph.path, as_of=0).edges) == rows(graph.edges)
+    # of two writers that reach for a number one is told so, and has written nothing
+    before = files_of(graph.path)
+    monkeypatch.setattr(graph_source, "child_names", lambda spark, path: ["1"])
+    with pytest.raises(graph_source.LoadConflict):
+        upsert_graph(graph, loads[2])
+    assert files_of(graph.path) == before
+    monkeypatch.undo()
+    # a writer that fails keeps its number; the next one goes on
+    monkeypatch.setattr(graph_source, "degrees", lambda edges: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        upsert_graph(graph, loads[2])
+    monkeypatch.undo()
+    assert rows(read_graph(spark, graph.path).edges) == rows(grown.edges)
+    after = upsert_graph(graph, loads[2])
+    assert after.loads == 4 and rows(after.edges.where("src > 20"), "src") == [(21,), (22,), (23,)]
+    again = write_graph(tiny, graph.path, mirror=True)
+    assert again.loads == 0 and rows(again.edges) == rows(latest_edges(tiny))
+
+
 def test_later_batch_wins_whatever_its_order(spark, tiny):
     arriving, target = scratch_path(spark, "arriving"), scratch_path(spark, "ingested")
     half = [(0.5,) * 6]
@@ -254,9 +324,9 @@ def test_later_batch_wins_whatever_its_order(spark, tiny):
     found = rows(incremental.current_edges(spark, target), "src", "dst", "syn_count", "ord")
     assert found == [(1, 2, 8, 2), (3, 4, 6, 10)]
     # a batch that stopped before its commit shows in no table
-    spark.read.parquet(f"{target}/cube/batch=1").write.parquet(f"{target}/cube/batch=2")
+    spark.read.parquet(f"{target}/cube/1-1").write.parquet(f"{target}/cube/2-2")
     assert incremental.current_cube(spark, target).groupBy().sum("count").first()[0] == 4
-    spark.read.parquet(f"{target}/edges/batch=0").write.parquet(f"{target}/edges/batch=3")
+    spark.read.parquet(f"{target}/edges/0-0").write.parquet(f"{target}/edges/3-3")
     assert rows(incremental.current_edges(spark, target), "src", "dst", "syn_count", "ord") == found
 
 
