@@ -12,7 +12,6 @@ then all bins of its groups are final. So no task sees more than a group.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections.abc import Iterator
 from itertools import chain
 
@@ -183,82 +182,77 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(bins: list[list[int]], lengths: list[int], capacity: int, passes: int = 4) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Local search over the bins that are not full.
 
-    The emptiest bin gives its items away. Each step is a move of an item, an exchange of
-    one item for a smaller one, or of two items for a smaller one, into a bin that is at
-    least as full and has the room; each raises the sum of squared fills. A bin that has
-    become empty goes. Ends when the bins are as few as the total allows, when `passes`
-    rounds over the open bins emptied none, or when nothing changes.
+    A step moves an item, exchanges one item for a smaller one, or two items for a smaller
+    one, so that the sum of squared fills grows, which drains the emptiest bins until they
+    are gone. All items and all pairs of a bin are tried against all other open bins, the
+    emptiest bin first, each time with the step that raises the sum most. Ends when the
+    bins are as few as the total allows, or when no step is left: the sum is bounded and
+    grows by a whole number with each.
     """
-    fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
+    fill = np.array([sum(lengths[i] for i in b) for b in bins], np.int64)
+    least = -(-int(fill.sum()) // capacity)
+    open_bins = np.flatnonzero(fill < capacity)
     count = len(bins)
-    for _ in range(passes):
-        if count <= least:
-            break
-        open_bins = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < capacity), key=lambda b: fill[b])
-        # items of open bins by length, to find a partner for an exchange
-        items = sorted((lengths[i], i, b) for b in open_bins for i in bins[b])
-        rooms = sorted((capacity - fill[b], b) for b in open_bins)
-        changed = False
-        where = {i: b for b in open_bins for i in bins[b]}
-
-        def shift(item: int, source: int, target: int) -> None:
-            size = lengths[item]
-            for b, change in ((source, -size), (target, size)):
-                del rooms[bisect_left(rooms, (capacity - fill[b], b))]
-                fill[b] += change
-                insort(rooms, (capacity - fill[b], b))
-            bins[source].remove(item)
-            bins[target].append(item)
-            del items[bisect_left(items, (size, item, source))]
-            insort(items, (size, item, target))
-            where[item] = target
-
-        for source in open_bins:
-            if count <= least:
-                break
-            for item in sorted(bins[source], key=lambda i: -lengths[i]):
-                if where.get(item) != source:
-                    continue
-                # move: the least room that takes it
-                at = bisect_left(rooms, (lengths[item], -1))
-                while at < len(rooms) and (rooms[at][1] == source or fill[rooms[at][1]] + lengths[item] <= fill[source]):
-                    at += 1
-                if at < len(rooms):
-                    shift(item, source, rooms[at][1])
-                    changed = True
-                    continue
-                if _exchange([item], source, items, lengths, fill, capacity, shift):
-                    changed = True
-            rest = sorted(bins[source], key=lambda i: lengths[i])
-            for left, right in zip(rest[::2], rest[1::2], strict=False):
-                if _exchange([left, right], source, items, lengths, fill, capacity, shift):
-                    changed = True
-            if not bins[source]:
-                count -= 1
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def _exchange(given: list[int], source: int, items: list, lengths: list[int], fill: list[int], capacity: int, shift) -> bool:  # noqa: ANN001
-    """Give one or two items of `source` for a smaller one of a bin that thereby becomes fuller."""
-    size = sum(lengths[i] for i in given)
-    at = bisect_left(items, (size, -1, -1)) - 1  # the largest that is smaller, then down
-    for tried in range(64):
-        if at - tried < 0:
+    if count <= least or len(open_bins) < 2:
+        return bins
+    held = {int(b): list(bins[b]) for b in open_bins}
+    item = np.array([i for b in open_bins for i in bins[b]], np.int64)
+    size = np.array([lengths[i] for i in item], np.int64)
+    place = {int(i): k for k, i in enumerate(item)}
+    where = np.array([b for b in open_bins for _ in bins[b]], np.int64)
+
+    def shift(one: int, target: int) -> None:
+        k = place[one]
+        source, length = int(where[k]), int(size[k])
+        fill[source] -= length
+        fill[target] += length
+        where[k] = target
+        held[source].remove(one)
+        held[target].append(one)
+
+    def step(given: list[int], source: int) -> bool:
+        """Give these items for nothing or for a smaller item, whichever raises the sum most."""
+        total, low = sum(lengths[i] for i in given), int(fill[source])
+        best, chosen = 0, None
+        if len(given) == 1:
+            after = fill[open_bins] + total
+            gain = np.where((after <= capacity) & (open_bins != source) & (fill[open_bins] > 0), after - low, 0)
+            at = int(gain.argmax())
+            if gain[at] > 0:
+                best, chosen = total * int(gain[at]), (int(open_bins[at]), None)
+        moved = total - size
+        after = fill[where] + moved
+        gain = np.where((moved > 0) & (after <= capacity) & (where != source), moved * (after - low), 0)
+        at = int(gain.argmax())
+        if gain[at] > best:
+            chosen = int(where[at]), int(item[at])
+        if chosen is None:
             return False
-        length, item, target = items[at - tried]
-        gain = size - length
-        if target != source and gain > 0 and fill[target] + gain <= capacity and fill[target] + gain > fill[source]:
-            for one in given:
-                shift(one, source, target)
-            shift(item, target, source)
-            return True
-    return False
+        target, back = chosen
+        for one in given:
+            shift(one, target)
+        if back is not None:
+            shift(back, source)
+        return True
+
+    changed = True
+    while changed and count > least:
+        changed = False
+        for source in sorted(held, key=lambda b: int(fill[b])):
+            going = bool(held[source])
+            while going and held[source] and count > least:
+                own = sorted(held[source], key=lambda i: -lengths[i])
+                tries = {lengths[i]: [i] for i in own}
+                going = any(step(given, source) for given in tries.values())
+                if not going:
+                    pairs = {lengths[i] + lengths[j]: [i, j] for k, i in enumerate(own) for j in own[k + 1 :]}
+                    going = any(step(given, source) for given in pairs.values())
+                changed |= going
+                count -= not held[source]
+    return [b for n, b in enumerate(bins) if n not in held] + [b for b in held.values() if b]
 
 
 _PACKED = "group long, item long, length long, bin long, offset long, closed boolean"

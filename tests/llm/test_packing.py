@@ -83,7 +83,41 @@ def test_exchanges_beat_a_poor_start():
     rng = np.random.default_rng(2)
     lengths = rng.integers(100, 900, 400).tolist()
     poor = [[i, i + 1] for i in range(0, 400, 2)]
-    assert len(packing.improve(poor, lengths, 2048, passes=20)) <= 1.1 * -(-sum(lengths) // 2048)
+    assert len(packing.improve(poor, lengths, 2048)) <= 1.1 * -(-sum(lengths) // 2048)
+
+
+def gains(bins, lengths, capacity):
+    """Every move and exchange of one or two items for a smaller one that raises the sum of squared fills."""
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for s, source in enumerate(bins):
+        given = [(i,) for i in source] + [(i, j) for n, i in enumerate(source) for j in source[n + 1 :]]
+        for items in given:
+            total = sum(lengths[i] for i in items)
+            for t, target in enumerate(bins):
+                back = [lengths[j] for j in target] + ([0] if len(items) == 1 else [])
+                for length in back if t != s and capacity not in (fill[s], fill[t]) else ():
+                    if 0 < total - length <= capacity - fill[t] and fill[t] + total - length > fill[s]:
+                        yield items, s, t, length
+
+
+def test_search_ends_only_where_no_step_is_left():
+    rng = np.random.default_rng(6)
+    for lo, hi in ((20, 45), (5, 60)):
+        lengths = rng.integers(lo, hi, 60).tolist()
+        bins = packing.best_fit(lengths, 100)
+        better = packing.improve([list(b) for b in bins], lengths, 100)
+        least = -(-sum(lengths) // 100)
+        assert len(better) == least or not list(gains(better, lengths, 100))
+        assert sorted(map(len, packing.improve([list(b) for b in better], lengths, 100))) == sorted(map(len, better))
+
+
+def test_search_on_pieces_that_fit_badly():
+    lengths = np.random.default_rng(0).integers(500, 901, 4000).tolist()
+    bins = packing.best_fit(lengths, 2048)
+    better = packing.improve([list(b) for b in bins], lengths, 2048)
+    assert len(bins) > 1520 and len(better) <= 1459
+    assert sorted(i for b in better for i in b) == list(range(4000))
+    assert max(sum(lengths[i] for i in b) for b in better) <= 2048
 
 
 @pytest.mark.parametrize("group_rows", [40, 20_000])
