@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from edgelytics.llm.common import stored
+
 SLOTS = 4096
+#: Parts that the copies of one row are dealt in: sixteen to each slot, so that slots stay even.
+COPY_PARTS = 65_536
 MAP = T.StructType(
     [
         T.StructField("version", T.IntegerType(), False),
@@ -39,9 +43,10 @@ def virtual_slot(*keys: str, slots: int = SLOTS) -> Column:
     return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(slots)).cast("int")
 
 
-def slot_bytes(records: DataFrame, slot: str = "vslot", size: str = "size") -> DataFrame:
+def slot_bytes(records: DataFrame) -> DataFrame:
     """Records and bytes per slot in use; `slots` rows at most, combined before the shuffle."""
-    return records.groupBy(slot).agg(F.count(F.lit(1)).alias("records"), F.sum(size).alias("bytes"))
+    bytes_held = F.sum(F.col("size") * F.col("copies"))
+    return records.groupBy("vslot").agg(F.sum("copies").alias("records"), bytes_held.alias("bytes"))
 
 
 def even_map(shards: int, slots: int = SLOTS) -> list[tuple[int, int]]:
@@ -153,21 +158,50 @@ def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP).parquet(f"{path}/version={version}")
 
 
-def shard_records(records: DataFrame, slot_map: DataFrame, keys: list[str]) -> DataFrame:
-    """Records with `vslot` and `size` get `shard` and `slot`, a gapless place in the shard.
+def equal_records(docs: DataFrame, slots: int = SLOTS, parts: int = COPY_PARTS) -> DataFrame:
+    """(doc_id, size, text_crc32, copies, vslot): the records of `docs`, rows alike in
+    doc_id and text counted once each, in up to `parts` equal parts with a slot of their own.
 
-    A place is the records in the shard's earlier slots plus the rank in the own slot, so
-    no task sorts a whole shard. Both tables that are joined have one row per slot.
+    A slot must not weigh what one frequent row weighs, so copies beyond the first hash
+    with the number of their part. The text is read once and leaves the first step.
+    """
+    text = F.col("text").cast("string")
+    read = docs.select("doc_id", text.alias("text")).select(
+        "doc_id",
+        size_of().alias("size"),
+        crc_of().alias("text_crc32"),
+        F.xxhash64("text").alias("_h1"),
+        F.xxhash64(F.concat("text", F.lit("\x01"))).alias("_h2"),
+    )
+    named = ["doc_id", "size", "text_crc32", "_h1", "_h2"]
+    alike = read.groupBy(*named).agg(F.count(F.lit(1)).alias("_n"))
+    each = F.expr(f"greatest(1, ceil(_n / {parts}))").cast("long")
+    split = alike.withColumn("_each", each).select(
+        "*", F.explode(F.expr("sequence(0L, (_n - 1) div _each)")).alias("_part")
+    )
+    return split.select(
+        "doc_id", "size", "text_crc32",
+        F.least("_each", F.col("_n") - F.col("_part") * F.col("_each")).alias("copies"),
+        virtual_slot("doc_id", "_h1", "_h2", "_part", slots=slots).alias("vslot"),
+    )
+
+
+def place_records(records: DataFrame, slot_map: DataFrame) -> DataFrame:
+    """`equal_records` with `shard` and `slot`, a gapless place in the shard, one row per copy.
+
+    A place is the records in the shard's earlier slots plus those before it in its own
+    slot, so no task sorts a whole shard, and copies are written out last. Both tables that
+    are joined have one row per slot.
     """
     counts = slot_bytes(records).join(F.broadcast(slot_map), "vslot")
     before = W.partitionBy("shard").orderBy("vslot").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("vslot", "shard", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(W.partitionBy("vslot").orderBy(*keys)) - 1
-    return (
-        records.withColumn("_rank", rank)
-        .join(F.broadcast(starts), "vslot")
-        .withColumn("slot", (F.col("_start") + F.col("_rank")).cast("long"))
-        .drop("_rank", "_start")
+    own = W.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32", "copies").rowsBetween(W.unboundedPreceding, -1)
+    placed = records.withColumn("_before", F.coalesce(F.sum("copies").over(own), F.lit(0))).join(F.broadcast(starts), "vslot")
+    first = F.col("_start") + F.col("_before")
+    copy = F.explode(F.expr("sequence(0L, copies - 1)")).alias("_copy")
+    return placed.select("doc_id", "size", "text_crc32", "vslot", "shard", first.alias("_first"), copy).select(
+        "doc_id", "size", "text_crc32", "vslot", "shard", (F.col("_first") + F.col("_copy")).cast("long").alias("slot")
     )
 
 
@@ -177,23 +211,17 @@ def shard_documents(docs: DataFrame, shards: int, path: str, slots: int = SLOTS)
     Returns doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null under
     this law) and vslot. Version 0 of the map under `path` is the even one, version 1 the
     one edited for the bytes of these documents. A record hashes by doc_id and text, so
-    null or repeated ids spread; rows alike in both share a slot. An empty table gives no
-    rows, a null text counts as none. Of the input only doc_id and text are read, so
-    other columns cannot clash.
+    null or repeated ids spread; rows alike in both are told apart by number and spread
+    too, whatever their share of all rows. An empty table gives no rows, a null text counts
+    as none. Of the input only doc_id and text are read, so other columns cannot clash.
     """
     spark = docs.sparkSession
-    text = F.col("text").cast("string")
-    records = docs.select("doc_id", text.alias("text")).select(
-        "doc_id",
-        size_of().alias("size"),
-        crc_of().alias("text_crc32"),
-        virtual_slot("doc_id", "text", slots=slots).alias("vslot"),
-    )
+    records = stored(equal_records(docs, slots), "records")
     weight = {r["vslot"]: int(r["bytes"]) for r in slot_bytes(records).collect()}  # `slots` rows at most
     first = even_map(shards, slots)
     write_map(spark, first, 0, path)
     current = write_map(spark, rebalanced(first, weight, shards), 1, path)
-    placed = shard_records(records, current.select("vslot", "shard"), ["doc_id", "size", "text_crc32"])
+    placed = place_records(records, current.select("vslot", "shard"))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "vslot",

@@ -62,3 +62,24 @@ def test_null_ids_repeats_and_nothing(spark):
 def test_no_python_in_the_plan(spark, capsys):
     sharding.shard_documents(documents(spark, ["a"]), 2, scratch_path(spark, "map")).explain()
     assert not any(w in capsys.readouterr().out for w in ("Python", "Arrow", "Pandas"))
+
+
+@pytest.mark.parametrize("parts", [sharding.COPY_PARTS, 20])
+def test_a_third_of_all_rows_alike(spark, monkeypatch, parts):
+    """Shards are as even as without, places gapless, and no slot holds what the row holds."""
+    monkeypatch.setattr(sharding, "equal_records", lambda docs, slots, own=sharding.equal_records: own(docs, slots, parts))
+    rng = np.random.default_rng(3)
+    other = [(k, invented(rng, int(rng.integers(1, 30)))) for k in range(2000)]
+    docs = spark.createDataFrame([(None, "the same text " * 3)] * 1000 + other, "doc_id long, text string")
+    rows = sharding.shard_documents(docs, 16, scratch_path(spark, "map")).collect()
+    held, places, alike = [0] * 16, {}, {}
+    for r in rows:
+        held[r["shard"]] += r["size"]
+        places.setdefault(r["shard"], []).append(r["slot"])
+        if r["doc_id"] is None:
+            assert r["size"] == 43
+            alike[r["vslot"]] = alike.get(r["vslot"], 0) + 1
+    assert len(rows) == 3000 and sum(alike.values()) == 1000
+    assert max(held) - min(held) <= (0.005 if parts > 20 else 0.02) * max(held)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert max(alike.values()) <= (10 if parts > 20 else 150)
