@@ -32,7 +32,7 @@ def docs(spark):
 
 
 def test_all_are_registered():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(spark_entry.queries())
     assert set(ORACLE) <= set(QUERIES)
 
