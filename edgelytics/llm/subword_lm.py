@@ -237,7 +237,7 @@ def _lattice(vocabulary: Vocabulary) -> Lattice:
     return _LATTICES[key]
 
 
-def _chunks(words: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _chunks(words: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Stretches of words of about `most` bytes, a word at least."""
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     start = 0
