@@ -5,6 +5,12 @@ added in growing batches; a greedy beam search over the graph so far proposes ne
 for each, and relaxed distance pruning keeps those that no nearer kept one makes
 redundant. Queries go in blocks to every shard, where a beam search over the graph finds
 candidates; these are scored in double precision, and the best of all shards are kept.
+A task loads a shard once and lets its blocks stream past.
+
+How wide a beam must be depends on the vectors: unstructured ones need a wider one than
+clusters. So a bounded sample of the queries is first answered exactly, and the beam is
+doubled until the graphs find enough of those answers. A beam as wide as a shard is an
+exact scan, which ends the doubling at the latest.
 
 Inner products become distances by one more component per vector, which brings all of a
 shard's vectors to the same length.
@@ -27,6 +33,9 @@ DEGREE = 32
 BUILD_BEAM = 64
 SEARCH_BEAM = 160
 RELAX = 1.2
+SAMPLE_QUERIES = 64  # answered exactly to choose the beam
+RECALL = 0.95  # of the sample's answers
+_COPY_BLOCKS = 32  # blocks of queries that one copy of a shard answers
 _BLOCK = 256  # searches that run side by side in a task
 
 
@@ -259,9 +268,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def query_blocks(queries: DataFrame, block_rows: int) -> DataFrame:
-    """(dim, block, queries, vectors): queries packed by about `block_rows`."""
-    blocks = max(1, -(-queries.count() // block_rows))
+def query_blocks(queries: DataFrame, blocks: int) -> DataFrame:
+    """(dim, block, queries, asked): queries packed into so many blocks of each dimension."""
     dealt = queries.select(
         F.size("vector").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "vector"
     )
@@ -288,32 +296,132 @@ def scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return total
 
 
-def _best(row: dict, beam: int, top: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(query id, place in the block, ids, scores): the best of one shard for each query of one block."""
-    dim = row["dim"]
-    vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, dim)
-    edges = np.frombuffer(row["edges"], "<i4").reshape(len(vectors), -1).astype(np.int64)
-    graph = Graph(lifted(vectors), edges, np.frombuffer(row["entries"], "<i4").astype(np.int64))
-    ids, owners = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["owners"], "<i4")
-    begin = np.searchsorted(owners, np.arange(len(vectors) + 1))
-    queries = np.frombuffer(row["queries"], "<i8")
-    asked = np.frombuffer(row["asked"], "<f8").reshape(-1, dim)
-    largest = np.abs(asked).max(axis=1, keepdims=True)
-    unit = asked / largest
-    unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
-    unit = np.column_stack([unit, np.zeros(len(unit))]).astype(np.float32)
-    for at in range(0, len(queries), _BLOCK):
-        found, _ = graph.search(unit[at : at + _BLOCK], beam)
-        for place, own in enumerate(found, at):
-            own = own[own >= 0]
-            value = scores(vectors[own], asked[place])
-            copies = begin[own + 1] - begin[own]
-            members = np.repeat(begin[own], copies) + np.arange(int(copies.sum())) - np.repeat(np.cumsum(copies) - copies, copies)
-            named, value = ids[members], np.repeat(value, copies)
-            other = named != queries[place]
-            named, value = named[other], value[other]
-            order = np.lexsort((named, -value))[:top]
-            yield int(queries[place]), place, named[order], value[order]
+class Shard:
+    """A row of the index, ready to be searched."""
+
+    def __init__(self, row: dict):
+        self.dim = row["dim"]
+        self.vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, self.dim)
+        edges = np.frombuffer(row["edges"], "<i4").reshape(len(self.vectors), -1).astype(np.int64)
+        self.graph = Graph(lifted(self.vectors), edges, np.frombuffer(row["entries"], "<i4").astype(np.int64))
+        self.ids = np.frombuffer(row["ids"], "<i8")
+        owners = np.frombuffer(row["owners"], "<i4")
+        self.begin = np.searchsorted(owners, np.arange(len(self.vectors) + 1))
+
+    def best(self, queries: np.ndarray, asked: np.ndarray, beam: int, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query id, ids, scores): the best found for each query; a beam as wide as the shard finds all."""
+        exact = beam >= len(self.vectors)
+        largest = np.abs(asked).max(axis=1, keepdims=True)
+        unit = asked / largest
+        unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+        unit = np.column_stack([unit, np.zeros(len(unit))]).astype(np.float32)
+        for at in range(0, len(queries), _BLOCK):
+            part = range(at, min(at + _BLOCK, len(queries)))
+            found = None if exact else self.graph.search(unit[part.start : part.stop], beam)[0]
+            for place in part:
+                if exact:
+                    value = scores(self.vectors, asked[place])
+                    # one point may hold no id but the query's own
+                    bar = np.partition(value, -top - 1)[-top - 1] if len(value) > top + 1 else -np.inf
+                    own = np.flatnonzero(value >= bar)
+                    value = value[own]
+                else:
+                    own = found[place - at]
+                    own = own[own >= 0]
+                    value = scores(self.vectors[own], asked[place])
+                copies = self.begin[own + 1] - self.begin[own]
+                before = np.cumsum(copies) - copies
+                members = np.repeat(self.begin[own] - before, copies) + np.arange(int(copies.sum()))
+                named, value = self.ids[members], np.repeat(value, copies)
+                other = named != queries[place]
+                named, value = named[other], value[other]
+                order = np.lexsort((named, -value))[:top]
+                yield int(queries[place]), named[order], value[order]
+
+
+def search_shards(index: DataFrame, asked: DataFrame, beam: int, top: int, block_rows: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the best `top` that beams of this width find in all shards.
+
+    A shard's row comes first in its partition and the blocks of queries after it, so it is
+    shipped and prepared once for `_COPY_BLOCKS` blocks. More blocks get further copies.
+    """
+    blocks = max(1, -(-asked.count() // block_rows))
+    copies = -(-blocks // _COPY_BLOCKS)
+    packed = query_blocks(asked, blocks)
+    names = ["dim", "shard", "copy", "block", "vectors", "edges", "entries", "ids", "owners", "queries", "asked"]
+    shards = index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).withColumn("block", F.lit(-1))
+    spread = packed.withColumn("copy", F.col("block") % copies).join(index.select("dim", "shard"), "dim")
+    lined = shards.unionByName(spread, allowMissingColumns=True).select(*names)
+    lined = lined.repartition(max(1, copies * index.count()), "dim", "shard", "copy")
+    lined = lined.sortWithinPartitions("dim", "shard", "copy", "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                if row["block"] < 0:
+                    shard = Shard(row)
+                    continue
+                queries = np.frombuffer(row["queries"], "<i8")
+                out = list(shard.best(queries, np.frombuffer(row["asked"], "<f8").reshape(-1, shard.dim), beam, top))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([o[0] for o in out], pa.int64()),
+                        pa.array([o[1] for o in out], pa.list_(pa.int64())),
+                        pa.array([o[2] for o in out], pa.list_(pa.float64())),
+                    ],
+                    ["query_id", "ids", "scores"],
+                )
+
+    parts = lined.mapInArrow(run, "query_id long, ids array<long>, scores array<double>")
+    each = parts.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("r"))
+    each = each.select("query_id", F.col("r.ids").alias("vec_id"), F.col("r.scores").alias("score"))
+    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    ranked = each.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def exact_bars(distinct: DataFrame, sample: list[tuple[int, list[float]]], top: int) -> DataFrame:
+    """(query_id, bar, n): for each query of a small sample the least score of its exact
+    answer and the answer's length, by one pass over all vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors, ids = batch.column(0), batch.column(1)
+            sizes, lists = np.diff(vectors.offsets.to_numpy()), ids.to_pylist()
+            for dim in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == dim)
+                wide = _matrix(vectors.take(pa.array(rows)), dim)
+                for query, asked in sample:
+                    if len(asked) != dim:
+                        continue
+                    value = scores(wide, np.array(asked))
+                    order = np.argsort(-value, kind="stable")[: top + 1]
+                    own = [float(value[k]) for k in order for i in lists[rows[k]] if i != query][:top]
+                    yield pa.RecordBatch.from_arrays([pa.array([query] * len(own), pa.int64()), pa.array(own, pa.float64())], ["query_id", "score"])
+
+    found = distinct.select("vector", "ids").mapInArrow(run, "query_id long, score double")
+    best = W.partitionBy("query_id").orderBy(F.col("score").desc())
+    ranked = found.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= top)
+    return ranked.groupBy("query_id").agg(F.min("score").alias("bar"), F.count(F.lit(1)).alias("n"))
+
+
+def choose_beam(index: DataFrame, distinct: DataFrame, asked: DataFrame, beam: int, widest: int, top: int, block_rows: int, sample_queries: int, recall: float) -> int:
+    """The least of beam, 2 * beam, 4 * beam and so on that finds `recall` of the exact answers to the
+    `sample_queries` queries first by a hash of their ids; `widest` if none below it does."""
+    chosen = asked.orderBy(F.xxhash64(F.lit("sample"), "id"), "id").limit(sample_queries)
+    sample = stored(chosen, "sample-queries")
+    rows = [(r["id"], r["vector"]) for r in sample.collect()]
+    bars = {r["query_id"]: (r["bar"], r["n"]) for r in exact_bars(distinct, rows, top).collect()}
+    wanted = sum(n for _, n in bars.values())
+    while beam < widest:
+        # a query id that repeats with several vectors has one bar, the least of the best
+        found = search_shards(index, sample, beam, top, block_rows).select("query_id", "score").collect()
+        if sum(r["score"] >= bars[r["query_id"]][0] for r in found) >= recall * wanted:
+            return beam
+        beam *= 2
+    return widest
 
 
 def nearest(
@@ -328,6 +436,8 @@ def nearest(
     search_beam: int = SEARCH_BEAM,
     relax: float = RELAX,
     block_rows: int = 1024,
+    sample_queries: int = SAMPLE_QUERIES,
+    recall: float = RECALL,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` rows found with the largest inner product.
 
@@ -337,36 +447,17 @@ def nearest(
     or non-finite component take no part. Vectors of several lengths meet only their like.
     A repeated row is one query, and its copies have the same id, so they are not its own
     neighbours; other queries may get each copy. Other columns are not read.
+
+    Beams begin at `search_beam` and are widened until `recall` of the exact answers to
+    `sample_queries` queries is found, by an exact scan of each shard if nothing less does.
+    Index and search cover every row; only the choice of the beam rests on the sample.
     """
     clean = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), queries.alias("_asked"))
     clean = clean.filter(F.col("id").isNotNull() & usable(F.col("vector")))
     distinct = stored(distinct_vectors(clean.select("id", "vector"), top), "distinct-vectors")
     index = stored(build_index(distinct, shard_rows, degree, build_beam, relax), "graphs")
     asked = stored(clean.filter("_asked").select("id", "vector").dropDuplicates(), "queries")
-    blocks = query_blocks(asked, block_rows)
-    places = index.select("dim", "shard")
-    # each block to each shard of its dimension: the blocks' rows are packed queries
-    spread = blocks.join(places, "dim").join(index, ["dim", "shard"])
-    spread = spread.repartition(max(1, index.count()), "shard", "block")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                out = list(_best(row, search_beam, top))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([o[0] for o in out], pa.int64()),
-                        pa.array([o[2] for o in out], pa.list_(pa.int64())),
-                        pa.array([o[3] for o in out], pa.list_(pa.float64())),
-                    ],
-                    ["query_id", "ids", "scores"],
-                )
-
-    found = spread.select("dim", "vectors", "edges", "entries", "ids", "owners", "queries", "asked")
-    parts = found.mapInArrow(run, "query_id long, ids array<long>, scores array<double>")
-    each = parts.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("r"))
-    each = each.select("query_id", F.col("r.ids").alias("vec_id"), F.col("r.scores").alias("score"))
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = each.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    beam = choose_beam(index, distinct, asked, search_beam, shard_rows, top, block_rows, sample_queries, recall)
+    if beam == shard_rows:
+        beam = 1 << 31  # shards are of about that many rows: wider than any
+    return search_shards(index, asked, beam, top, block_rows)

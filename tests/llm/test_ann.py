@@ -89,3 +89,30 @@ def test_a_query_that_repeats_gets_all_its_copies(spark):
         asked = np.array(next(v for i, v, _ in rows if i == query))
         true = sorted((-float(sum(a * b for a, b in zip(v, asked, strict=True))), i) for i, v, _ in rows if i != query)[:20]
         assert [(r, i) for r, i, _ in own] == [(k + 1, i) for k, (_, i) in enumerate(true)]
+
+
+def normal_rows(n, dim, seed):
+    rng = np.random.default_rng(seed)
+    return [(i, [float(x) for x in v], "x") for i, v in enumerate(rng.normal(size=(n, dim)).astype(np.float32))]
+
+
+def test_beams_widen_until_unstructured_vectors_are_found(spark):
+    rows = normal_rows(2500, 48, 5)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute(rows, 20)
+
+    def share(**given):
+        got = found(ann.nearest(df, F.col("vec_id") % 20 == 0, degree=8, build_beam=16, search_beam=20, shard_rows=1500, **given))
+        return np.mean([len({j for j, _ in got.get(q, [])} & {j for j, _ in want[q]}) / 20 for q in want])
+
+    assert share(recall=0.0) < 0.85  # the first beam alone
+    assert share() >= 0.9
+
+
+def test_the_last_resort_is_exact_and_copies_of_a_shard_share_its_queries(spark, monkeypatch):
+    monkeypatch.setattr(ann, "_COPY_BLOCKS", 2)
+    rows = normal_rows(600, 8, 6) + [(1000 + i, [0.5] * 8, "x") for i in range(45)] + [(2000, [1e6] * 1500, "wide"), (2001, [2.0] * 1500, "wide")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = found(ann.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=200, search_beam=200, block_rows=4))
+    want = brute(rows, 20)
+    assert {q: [j for j, _ in own] for q, own in got.items()} == {q: [j for j, _ in own] for q, own in want.items()}
