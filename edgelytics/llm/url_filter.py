@@ -2,8 +2,8 @@
 
 Rules name a host, which stands for its subdomains too, and the beginning of a path; the
 longest that fits an address decides. Addresses that lead to the same place form a group:
-spellings with the same normal form, and normal forms linked by a canonical link or a
-redirect, in distributed connected components. An address without a rule of its own is
+one run of distributed connected components takes redirects, canonical links and the ties
+of addresses to their normal form as edges. An address without a rule of its own is
 blocked if its group holds a blocked address and no allowed one: an explicit allow
 anywhere in the group takes precedence over what is passed on, and an address's own rule
 over both.
@@ -111,25 +111,24 @@ def filter_urls(
     for a null url or one without ://, which belong to no group. passed_on says that the
     group decided. Repeated pages are judged alike; other columns are not read.
     """
+    # nodes are addresses ("u ") and normal forms ("n ")
     edges = [link_targets(pages, url, html)] if html else []
     if redirects is not None:
         edges.append(redirects.select(F.col("source").alias("url"), "target"))
+    urls = pages.select(F.col(url).alias("url"))
     links = None
     for more in edges:
         links = more if links is None else links.union(more)
-    urls = pages.select(F.col(url).alias("url"))
     if links is not None:
-        links = stored(links.distinct(), "page-links")
+        links = stored(links.filter("contains(url, '://') and contains(target, '://')").distinct(), "page-links")
         urls = urls.union(links.select("target")).union(links.select("url"))
-    judged = judge_urls(urls.filter("url is not null").distinct(), rules).withColumn("node", normal_form(F.col("url")))
-    judged = stored(judged, "judged-urls")
-    group = F.col("node")
-    named = judged
-    if links is not None and not links.isEmpty():
-        pairs = links.select(normal_form(F.col("url")).alias("a"), normal_form(F.col("target")).alias("b")).filter("a != b")
-        named = judged.join(components(pairs, "a", "b"), "node", "left")
-        group = F.coalesce("component", "node")
-    named = named.withColumn("group", group)
+    judged = stored(judge_urls(urls.filter("url is not null").distinct(), rules), "judged-urls")
+    ties = judged.select(F.concat(F.lit("u "), "url").alias("a"), F.concat(F.lit("n "), normal_form(F.col("url"))).alias("b"))
+    if links is not None:
+        ties = ties.union(links.select(F.concat(F.lit("u "), "url"), F.concat(F.lit("u "), "target")))
+    found = components(ties, "a", "b").filter(F.startswith("node", F.lit("u ")))
+    groups = stored(found.select(F.substring("node", 3, 1 << 30).alias("url"), F.col("component").alias("group")), "aliases")
+    named = judged.join(groups, "url", "left")
     verdicts = named.filter("group is not null and action is not null").groupBy("group").agg(
         F.bool_or(F.col("action") == "block").alias("blocked"), F.bool_or(F.col("action") == "allow").alias("allowed")
     )

@@ -87,3 +87,48 @@ def test_spellings_share_a_block_and_repeats_stay(spark):
     pages = spark.createDataFrame([(1, "http://a.net/", None)] * 3, "page_id long, url string, html string")
     assert url_filter.filter_urls(pages, rules(spark)).count() == 3
     assert url_filter.filter_urls(pages.limit(0), rules(spark)).count() == 0
+
+
+def plain_form(url):
+    """The normal form of the plain addresses made below."""
+    rest = url.split("://")[1].split("#")[0]
+    return rest.removeprefix("www.").replace("?utm_source=a", "").rstrip("/")
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_verdicts_over_random_links_by_brute_force(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    places = [f"h{h}.io/p{p}" for h in range(12) for p in range(3)]
+    urls = [rng.choice(["http://", "https://www."]) + p + rng.choice(["", "/", "#x", "?utm_source=a"]) for p in places for _ in range(2)]
+    given = [("h0.io", "/", "block"), ("h1.io", "/p1", "block"), ("h2.io", "/", "allow"), ("www.h3.io", "/", "block")]
+    redirects = [(rng.choice(urls), rng.choice(urls)) for _ in range(14)] + [(urls[0], None), (None, urls[0]), ("x", urls[1]), (urls[2], "y")]
+    html = {rng.choice(urls): f"<link rel='canonical' href='{rng.choice(urls)}'>" for _ in range(10)}
+    parent = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for u in urls:
+        parent[top(u)] = top(("n", plain_form(u)))
+    for a, b in redirects + [(u, h.split("'")[3]) for u, h in html.items()]:
+        if a and b and "://" in a and "://" in b:
+            parent[top(a)] = top(b)
+
+    def action(u):
+        host, path = u.split("://")[1].split("/")[0], "/" + u.split("/", 3)[3]
+        return next((act for h, p, act in given if (host == h or host.endswith("." + h)) and path.startswith(p)), None)
+
+    said = {}
+    for u in urls:
+        said.setdefault(top(u), set()).add(action(u))
+    got = judged(spark, [*urls, None, "x"], given, html, redirects)
+    for i, u in enumerate(urls):
+        own = action(u)
+        passed = own is None and "block" in said[top(u)] and "allow" not in said[top(u)]
+        assert (got[i]["verdict"], got[i]["passed_on"]) == (own or ("block" if passed else "allow"), passed), u
+    assert any(r["passed_on"] for r in got.values())
+    assert got[len(urls)]["verdict"] == got[len(urls) + 1]["verdict"] == "allow"
