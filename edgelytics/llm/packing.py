@@ -24,8 +24,8 @@ from tokenizers import Tokenizer
 
 from edgelytics.llm.common import slices, stored, text_column
 
-#: Words that a worker keeps the ids of, twice over while it takes words from the store before.
-STORE_WORDS = 400_000
+#: Words and pieces that a worker keeps the ids of, twice over while it takes some from the store before.
+STORE_WORDS = 450_000
 END = b"\0\0\0\0"  # id 0 ends each document
 
 # Tokens
@@ -37,11 +37,13 @@ _ODD_BLANKS = "\x1c\x1d\x1e\x1f\x85"  # str.split() cuts here, the tokenizer may
 
 
 class WordTokens:
-    """Ids of texts by a vocabulary that drops white space and never joins two words.
+    """Ids of texts by a vocabulary that lower-cases, drops white space and never joins two words.
 
-    Words repeat, so each is encoded once and kept. A store of over `most` words becomes the
-    old one, which words in use are taken over from, and a new one begins. New words go to the tokenizer together: their pieces are joined by
-    spaces, and the ids are cut again after each token that ends a word.
+    Words repeat, so each is encoded once and kept, as are the pieces that the vocabulary's
+    pattern cuts words into: a piece on its own has the ids it has inside a word. A store of
+    over `most` of them becomes the old one, which words in use are taken over from, and a
+    new one begins. New pieces go to the tokenizer together: they are joined by spaces, and
+    the ids are cut again after each token that ends a word.
     """
 
     def __init__(self, path: str, most: int = STORE_WORDS):
@@ -52,7 +54,6 @@ class WordTokens:
             self.ends[number] = token.endswith("</w>")
         self.most = most
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
 
     def _encoded(self, text: str) -> np.ndarray:
@@ -65,14 +66,19 @@ class WordTokens:
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):  # not one end per piece: take them singly
                 for piece in part:
-                    self.pieces[piece] = self._encoded(piece).tobytes()
+                    self.words[piece] = self._encoded(piece).tobytes()
                 continue
-            data, start = ids.tobytes(), 0
-            for piece, cut in zip(part, (4 * cuts).tolist(), strict=True):
-                self.pieces[piece] = data[start:cut]
-                start = cut
+            data, stops = ids.tobytes(), (4 * cuts).tolist()
+            self.words.update(zip(part, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=False))
 
     def _learn(self, new: list[str]) -> None:
+        # a word of small Latin letters is a piece as it stands
+        letters = [w for w in new if w.isascii() and w.isalpha() and w.islower()]
+        self._learn_pieces(letters)
+        if len(letters) == len(new):
+            return
+        words = self.words
+        new = [w for w in new if w not in words]
         # the vocabulary's own normalising; blanks stay between the words
         simple = [w for w in new if w.isascii() and w.isprintable() and "<|" not in w]
         normal = " ".join(simple).lower().split(" ") if simple else []
@@ -87,29 +93,38 @@ class WordTokens:
             [n] if n.isalpha() else [n[:-1], n[-1]] if n[-1] in ".,!?;:" and n[:-1].isalpha() else _PIECES.findall(n)
             for n in normal
         ]
-        pieces, words = self.pieces, self.words
-        self._learn_pieces([p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in pieces])
+        self._learn_pieces([p for p in dict.fromkeys(chain.from_iterable(cut)) if p not in words])
         for word, own in zip(simple, cut, strict=True):
-            words[word] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
+            words[word] = words[own[0]] if len(own) == 1 else b"".join([words[p] for p in own])
         if len(simple) < len(new):
             for word in new:
                 if word not in words:
                     words[word] = self._encoded(word).tobytes()
 
+    def _cut(self, text: str) -> list[str] | None:
+        """The words, A-Z lower-cased as the vocabulary does; None if only the tokenizer can tell.
+
+        A text with a sign of special tokens keeps its capitals, which those tell apart."""
+        if any(c in text for c in _ODD_BLANKS):
+            return None
+        if "<|" in text:
+            return text.split()
+        return (text.lower() if text.isascii() else text.encode().lower().decode()).split()
+
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text, 32 bits each, little-endian."""
-        cut = [None if any(c in t for c in _ODD_BLANKS) else t.split() for t in texts]
+        cut = [self._cut(t) for t in texts]
         at = 0
         while at < len(cut):  # a block of texts at a time, so that the store can start anew between
             if len(self.words) > self.most:
-                self.old_words, self.words, self.pieces = self.words, {}, {}
+                self.old_words, self.words = self.words, {}
             block, size = at, 0
             seen: set[str] = set()
-            while at < len(cut) and size < 100_000:
+            while at < len(cut) and size < 200_000:
                 seen.update(cut[at] or ())
                 size += len(cut[at] or ())
                 at += 1
-            fresh = {w for w in seen if w not in self.words}
+            fresh = seen - self.words.keys()
             kept = fresh & self.old_words.keys()
             self.words.update((w, self.old_words[w]) for w in kept)
             self._learn(list(fresh - kept))
