@@ -52,11 +52,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             yield batch.slice(start)
 
 
-def most_frequent(table: DataFrame, count: str, most: int) -> tuple[list[Row], int]:
-    """(rows, least): all rows with at least `least` in `count`, as many as `most` allows.
+def frequency_floor(table: DataFrame, count: str, most: int) -> int:
+    """The least count of a row among the most frequent ones, as many as `most` allows.
 
-    `least` is the lower end of a class of counts, so that a small table of class sizes
-    decides it and nothing is sorted; only the chosen rows come to the driver.
+    It is the lower end of a class of counts, so that a small table of class sizes decides
+    it and nothing is sorted.
     """
     steps = 8  # classes to each doubling, 512 in all at most
     named = F.floor(F.log2(F.col(count)) * steps).cast("int")
@@ -67,4 +67,11 @@ def most_frequent(table: DataFrame, count: str, most: int) -> tuple[list[Row], i
         if taken > most:
             break
         least = r["least"]
+    return least
+
+
+def most_frequent(table: DataFrame, count: str, most: int) -> tuple[list[Row], int]:
+    """(rows, least): all rows with at least `least` in `count`, as `frequency_floor` has it;
+    only these come to the driver."""
+    least = frequency_floor(table, count, most)
     return table.filter(F.col(count) >= least).collect(), least

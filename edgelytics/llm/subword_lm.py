@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgelytics.llm.common import as_bytes, most_frequent, slices, stored, text_column
+from edgelytics.llm.common import as_bytes, frequency_floor, slices, stored, text_column
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCKS = 6  # pieces have up to 48 bytes, compared eight at a time
@@ -37,6 +37,8 @@ _FILTER_BITS = 20
 #: Words whose counts travel to all tasks: the most frequent ones, of bounded length.
 FREQUENT_WORDS = 100_000
 FREQUENT_BYTES = 256
+#: Bytes of text that a worker holds cut into words at a time.
+_SLICE = 2 << 20
 #: Expected counts are added up in these parts of one, as whole numbers, in any order.
 UNITS = 1 << 20
 
@@ -323,12 +325,35 @@ def _signed(number: int) -> int:
     return number - (number >> 63 << 64)
 
 
-def _score_rows(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, frequent: dict[bytes, int], ends: int, key: str, text: str) -> DataFrame:
+@dataclass(frozen=True)
+class Frequent:
+    """The most frequent words by number, their counts and the logs of their probabilities."""
+
+    number: dict[bytes, int]
+    counts: np.ndarray
+    logs: np.ndarray
+
+
+def scored_words(counts: DataFrame, least: int, vocabulary: Vocabulary, weights: np.ndarray) -> Frequent:
+    """The words of (word, n) with at least `least` occurrences, each scored once, by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            logs = word_scores(batch.column(0).to_pylist(), vocabulary, weights)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(logs, pa.float64())], ["word", "n", "log"])
+
+    scored = counts.filter(F.col("n") >= least).select("word", "n").mapInArrow(run, "word binary, n long, log double")
+    listed = scored.collect()  # as many as the floor allows
+    number = {bytes(r["word"]): k for k, r in enumerate(listed)}
+    return Frequent(number, np.array([r["n"] for r in listed], np.int64), np.array([r["log"] for r in listed], np.float64))
+
+
+def _score_rows(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, frequent: Frequent, ends: int, key: str, text: str) -> DataFrame:
     """One row per document: sums over its frequent words, its score, and its other words."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
+        for batch in slices(batches, "_text", _SLICE):
             tokens = [(t or b"").translate(_LOWER).split() for t in as_bytes(batch.column(2))]
             sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
             flat = list(chain.from_iterable(tokens))
@@ -336,8 +361,11 @@ def _score_rows(docs: DataFrame, vocabulary: Vocabulary, weights: np.ndarray, fr
             at = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
             row = np.repeat(np.arange(len(tokens)), sizes)
             words = list(number)
-            logs = word_scores(words, vocabulary, weights)
-            known = np.fromiter((frequent.get(w, -1) for w in words), np.int64, len(words))
+            found = np.fromiter((frequent.number.get(w, -1) for w in words), np.int64, len(words))
+            listed, new = np.flatnonzero(found >= 0), np.flatnonzero(found < 0)
+            logs, known = np.zeros(len(words)), np.full(len(words), -1, np.int64)
+            logs[listed], known[listed] = frequent.logs[found[listed]], frequent.counts[found[listed]]
+            logs[new] = word_scores([words[k] for k in new.tolist()], vocabulary, weights)
             base = np.log10(np.maximum(known, 0) + 1.0)
             n = len(tokens)
             rare = np.flatnonzero(known[at] < 0)
@@ -382,8 +410,8 @@ def score_texts(docs: DataFrame, model_path: str, key: str = "doc_id", text: str
     they occur; a null key is a training row. Without any training row counts are zero.
     Other columns are not read; an empty table gives no rows.
 
-    Counts of up to `frequent_words` most frequent words, none of over FREQUENT_BYTES bytes,
-    go to every task; all other words of a document are joined with their counts, so
+    Counts and scores of up to `frequent_words` most frequent words, none of over FREQUENT_BYTES
+    bytes, go to every task; all other words of a document are joined with their counts, so
     results do not depend on that number.
     """
     spark = docs.sparkSession
@@ -393,8 +421,8 @@ def score_texts(docs: DataFrame, model_path: str, key: str = "doc_id", text: str
     ends = counts.filter("word is null").agg(F.sum("n")).first()[0] or 0
     weights = learn_weights(counts, vocabulary, rounds)
     short = counts.filter(F.col("word").isNotNull() & (F.length("word") <= FREQUENT_BYTES))
-    listed, least = most_frequent(short, "n", frequent_words)
-    frequent = {bytes(r["word"]): r["n"] for r in listed}
+    least = frequency_floor(short, "n", frequent_words)
+    frequent = scored_words(short, least, vocabulary, weights)
     rows = _score_rows(docs, vocabulary, weights, frequent, ends, key, text)
     rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "scored")
     met = (F.length("word") > FREQUENT_BYTES) | (F.col("n") < least)
