@@ -32,6 +32,9 @@ END = b"\0\0\0\0"  # id 0 ends each document
 
 # What the vocabulary's own splitting does inside a word, for words of plain Latin letters.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# Byte-level vocabularies write bytes that print as themselves, the others from 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SIGNS = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 _LATIN = regex.compile(r"[!-~¡-ɏ]+")
 _ODD_BLANKS = "\x1c\x1d\x1e\x1f\x85"  # str.split() cuts here, the tokenizer may not
 
@@ -42,34 +45,28 @@ class WordTokens:
     Words repeat, so each is encoded once and kept, as are the pieces that the vocabulary's
     pattern cuts words into: a piece on its own has the ids it has inside a word. A store of
     over `most` of them becomes the old one, which words in use are taken over from, and a
-    new one begins. New pieces go to the tokenizer together: they are joined by spaces, and
-    the ids are cut again after each token that ends a word.
+    new one begins. New pieces go to the vocabulary's model alone, without its splitting.
     """
 
     def __init__(self, path: str, most: int = STORE_WORDS):
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        for token, number in vocabulary.items():
-            self.ends[number] = token.endswith("</w>")
+        #: the four bytes of each id
+        self.named = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
         self.most = most
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
 
-    def _encoded(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    def _encoded(self, text: str) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(ids, "<u4").tobytes()
 
     def _learn_pieces(self, new: list[str]) -> None:
-        for at in range(0, len(new), 1000):
-            part = new[at : at + 1000]
-            ids = self._encoded(" ".join(part))
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part):  # not one end per piece: take them singly
-                for piece in part:
-                    self.words[piece] = self._encoded(piece).tobytes()
-                continue
-            data, stops = ids.tobytes(), (4 * cuts).tolist()
-            self.words.update(zip(part, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=False))
+        words, named, join = self.words, self.named, b"".join
+        merged = self.tokenizer.model.tokenize
+        for piece in new:
+            # the model sees a sign for each byte
+            signs = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SIGNS)
+            words[piece] = join([named[t.id] for t in merged(signs)])
 
     def _learn(self, new: list[str]) -> None:
         # a word of small Latin letters is a piece as it stands
@@ -99,7 +96,7 @@ class WordTokens:
         if len(simple) < len(new):
             for word in new:
                 if word not in words:
-                    words[word] = self._encoded(word).tobytes()
+                    words[word] = self._encoded(word)
 
     def _cut(self, text: str) -> list[str] | None:
         """The words, A-Z lower-cased as the vocabulary does; None if only the tokenizer can tell.
@@ -130,7 +127,7 @@ class WordTokens:
             self._learn(list(fresh - kept))
             for row in range(block, at):
                 if cut[row] is None:
-                    yield self._encoded(texts[row]).tobytes()
+                    yield self._encoded(texts[row])
                 else:
                     yield b"".join(map(self.words.__getitem__, cut[row]))
 
