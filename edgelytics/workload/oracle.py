@@ -483,6 +483,13 @@ ORACLE: dict[str, str] = {
         _trails(3, "syn_count >= 25", True, f"src in {_TOP.format(3)}"),
         recursive=True,
     ),
+    "paths_between": _with(
+        "edges",
+        f"""select root_id, hops, nodes, edges, tip as target_id from trails
+        where tip in (select dst from edges group by dst order by count(*) desc, dst limit 3)""",
+        _trails(4, "syn_count >= 25", True, f"src in {_TOP.format(3)}"),
+        recursive=True,
+    ),
     "path_preview": _with(
         "edges",
         """select root_id, hops, tip as start, root_id as "end", (hops + 1)::integer as nodes,

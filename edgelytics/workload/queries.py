@@ -24,6 +24,7 @@ from edgelytics.operators import edges as eg
 from edgelytics.operators import histogram as hg
 from edgelytics.operators import hops, partners, reports, tails, whatif
 from edgelytics.operators import sketches as sk
+from edgelytics.operators.between import paths_between as between
 from edgelytics.operators.histogram import connection_cube
 from edgelytics.plans import neuron_report, summary
 from edgelytics.schema import CONNECTIONS, CUBE, EDGES, GOLD, NT_COLUMNS
@@ -399,6 +400,18 @@ def k_hop_from_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _path_text(hops.k_hop_downstream(loaded.edges, target, k=3, flt=flt, degrees=loaded.degrees))
 
 
+@query
+def paths_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the three neurons that send most to the three that receive most."""
+    loaded, flt = graph(spark, sf_dir), EdgeFilter(threshold=25)
+    targets = loaded.degrees.where("in_deg > 0").orderBy(F.desc("in_deg"), "root_id").limit(3)
+    found = between(
+        loaded.edges, eg.top_out_degree(loaded.edges, 3), targets, k=4, flt=flt,
+        edges_by_dst=loaded.edges_by_dst, degrees=loaded.degrees,
+    )
+    return _path_text(found).withColumn("target_id", F.element_at(F.split("nodes", ">"), -1).cast("bigint"))
+
+
 @query
 def path_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = edges(spark, sf_dir)
