@@ -8,6 +8,8 @@ from edgelytics.functions import transmitters as nt
 from edgelytics.functions.filters import EdgeFilter
 from edgelytics.operators import reports
 from edgelytics.schema import CONNECTIONS, NT_COLUMNS, require_columns
+from edgelytics.workload.queries import QUERIES
+from edgelytics.workload.tables import gold
 
 NAN = float("nan")
 
@@ -130,3 +132,21 @@ def test_first_n_rows(spark, n):
 def test_first_n_of_tiny(tiny):
     assert [r[0] for r in rows(reports.first_n_rows(tiny, 4), "ord")] == [1, 2, 3, 4]
     assert reports.first_n_rows(tiny, 100).count() == len(TINY)
+
+
+def test_tied_rows_make_the_text_once(spark, tmp_path):
+    """Above the join the row maximum is made once; in a condition below it, once a label."""
+    spark.range(40).selectExpr(
+        "id % 20 as l_orderkey", "id * 3 as l_partkey", "id % 7 as l_suppkey", "cast(id % 4 as int) as l_linenumber",
+        "double(id) as l_quantity", "'A' as l_returnflag", "'F' as l_linestatus",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(20).selectExpr("id as o_orderkey", "id + 5 as o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    found = QUERIES["tied_rows"](spark, str(tmp_path))
+    listed = rows(gold(spark, str(tmp_path)).select(found.columns))
+    assert rows(found) == [r for r in listed if "," in r[-1]] and 0 < found.count() < 40
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("greatest(") == 1
+
+
+def test_tied_rows_of_texts(spark):
+    texts = spark.createDataFrame([("GABA,Dopamine",), ("",), (None,), ("GABA",)], "dominant_nt string")
+    assert rows(nt.tied_rows(texts)) == [("GABA,Dopamine",)]
