@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from edgelytics.functions.filters import EdgeFilter
 from edgelytics.functions.transmitters import with_dominant
+from edgelytics.operators import edges as edge_operators
 from edgelytics.operators import hops, partners
 from edgelytics.operators.edges import latest_edges
 from edgelytics.operators.histogram import connection_cube, unique_counts
 from edgelytics.operators.reports import first_n_rows
 from edgelytics.operators.sketches import approx_unique_counts
 from edgelytics.plans.neuron_report import neuron_report_counts
-from edgelytics.schema import CONNECTIONS, EDGES, GOLD, NT_COLUMNS
+from edgelytics.schema import CONNECTIONS, EDGE_KEY, EDGES, GOLD, NT_COLUMNS
 from edgelytics.session import materialize, scratch_dir, scratch_path
 from edgelytics.sources import arrow_ipc
 from edgelytics.sources import graph as graph_source
@@ -343,3 +344,43 @@ def test_numbers_of_files_and_schemes(monkeypatch):
     assert arrow_ipc._conform(batch, target, last, 0).column(0)[1].as_py() < 2**63
     with pytest.raises(ValueError, match="too many"):
         arrow_ipc._conform(batch, target, last + 1, 0)
+
+
+def many_connections(spark):
+    """Keys that repeat, one of them in half of the rows; equal keys without a position."""
+    crowd = [(n, 1, 2, "A", n % 9, n / 512, *[0.25] * 5) for n in range(256)]
+    others = [(n * 7 % 256, n % 11, n % 5, "AB"[n % 2], n % 4, *[n / 512] * 6) for n in range(240)]
+    lost = [(None, 50, 51, "A", 3, *[0.5] * 6), (None, 1, 2, "A", 77, *[0.5] * 6), (4, None, 2, "A", 1, *[0.5] * 6)]
+    return spark.createDataFrame(crowd + others + lost, CONNECTIONS)
+
+
+@pytest.mark.parametrize("hot_rows", [100_000, 20])
+def test_edges_in_order_are_the_latest(spark, monkeypatch, hot_rows):
+    """Sorted in the ranges they are written in, and whole rows are in no hash table."""
+    monkeypatch.setattr(edge_operators, "HOT_ROWS", hot_rows)
+    given = materialize(many_connections(spark), "given").df
+    # equal keys and positions leave it open which row counts: one of them each
+    given = materialize(given.dropDuplicates(["pre_pt_root_id", "post_pt_root_id", "neuropil", "ord"]), "given").df
+    found = edge_operators.latest_in_order(given)
+    assert rows(found) == rows(latest_edges(given)) and len(rows(found)) > 20
+    assert ("partial_max_by" in plan(found)) == (hot_rows == 20)
+    assert "rangepartitioning(src" in plan(found) and "hashpartitioning(src" not in plan(found).partition("Union")[0]
+    for split in (None, 3):
+        graph = write_graph(given, scratch_path(spark, "graph"), mirror=True, directories=split)
+        assert rows(graph.edges.select(EDGES.names)) == rows(graph.edges_by_dst.select(EDGES.names)) == rows(latest_edges(given))
+        files = graph.edges.select(F.input_file_name().alias("f"), F.struct(*EDGE_KEY).alias("key"), F.monotonically_increasing_id().alias("at"))
+        listed = [(r["f"], tuple(r["key"])) for r in files.orderBy("at").collect()]
+        for file in {f for f, _ in listed}:
+            keys = [key for f, key in listed if f == file]
+            assert keys == sorted(keys)
+
+
+def test_one_load_is_read_as_written(spark, tiny):
+    """Only several loads are merged; one has each of its keys once."""
+    graph = write_graph(tiny.where("ord <= 4"), scratch_path(spark, "graph"))
+    once = upsert_graph(graph, tiny.where("ord > 4"))
+    assert "max_by" not in plan(once.edges) and once.edges.count() == 7
+    twice = upsert_graph(graph, tiny.where("ord = 1"))
+    assert "max_by" in plan(twice.edges) and twice.edges.count() == 7
+    assert "max_by" not in plan(read_graph(spark, graph.path, as_of=1).edges)
+    assert rows(read_graph(spark, graph.path, as_of=1).edges) == rows(latest_edges(tiny)) == rows(once.edges)
