@@ -87,3 +87,26 @@ def test_trails_are_written_once_per_hop(spark):
     for earlier in by_length[:-1]:
         assert "FileScan parquet" in plan(earlier) and "Join" not in plan(earlier)
     assert plan(by_length[-1]).count("Join") == 1
+
+
+def even_edges(spark, neurons=1_000, degree=6):
+    """Every neuron sends and receives as much as any other."""
+    ids = spark.range(neurons).select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(degree))).alias("n"))
+    far = (F.col("src") * 7 + F.col("n") * F.col("n") * 31) % neurons
+    df = ids.select("src", far.alias("dst"), F.concat(F.lit("R"), F.col("n")).alias("neuropil"), F.lit(3).alias("syn_count"))
+    rest = [f for f in EDGES.fields if f.name not in df.columns]
+    return df.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in rest])
+
+
+@pytest.mark.parametrize("known", [True, False])
+def test_reached_neurons_are_combined_in_tasks_of_bounded_size(spark, monkeypatch, known):
+    """No neuron is a hub, but a hop makes more pairs than one task should hold."""
+    monkeypatch.setattr(hub_join, "CELL_ROWS", 2_000)
+    edges = even_edges(spark)
+    degrees = eg.degrees(edges) if known else None
+    found = hops.k_hop_nodes(edges, k=2, degrees=degrees)
+    # one shuffle of all pairs, none of them held before it
+    assert "partial_max" not in plan(found) and plan(found).count("Join") == 2
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == found.distinct().count() > 50_000
+    assert max(sizes) <= 4 * 2_000
