@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from edgelytics.functions.filters import EdgeFilter
 from edgelytics.functions.transmitters import with_dominant
 from edgelytics.operators import edges as edge_operators
-from edgelytics.operators import hops, partners
+from edgelytics.operators import hops, hub_join, partners
 from edgelytics.operators.edges import latest_edges
 from edgelytics.operators.histogram import connection_cube, unique_counts
 from edgelytics.operators.reports import first_n_rows
@@ -26,6 +26,7 @@ from edgelytics.sources import graph as graph_source
 from edgelytics.sources.gold import read_gold, write_gold
 from edgelytics.sources.graph import compact_graph, read_graph, upsert_graph, write_graph
 from edgelytics.streaming import incremental
+from edgelytics.workload import tables
 
 # Column types that differ from the target schema on purpose.
 RAW = pa.schema(
@@ -384,3 +385,30 @@ def test_one_load_is_read_as_written(spark, tiny):
     assert "max_by" in plan(twice.edges) and twice.edges.count() == 7
     assert "max_by" not in plan(read_graph(spark, graph.path, as_of=1).edges)
     assert rows(read_graph(spark, graph.path, as_of=1).edges) == rows(latest_edges(tiny)) == rows(once.edges)
+
+
+def test_two_loads_are_joined_and_stored_once(spark, tmp_path, monkeypatch):
+    when = "timestamp '1998-04-{0} 00:00:00'"
+    dates = [when.format(24), when.format(25), when.format(26), "cast(null as timestamp)"]
+    orders = " union all ".join(
+        f"select {n}L as o_orderkey, {n % 3}L as o_custkey, {date} as o_orderdate" for n, date in enumerate([*dates, *dates], 1)
+    )
+    spark.sql(orders).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = "id % 10 as l_orderkey, id % 4 as l_partkey, id % 3 as l_suppkey, cast(id as int) as l_linenumber, 7.0D as l_quantity, 'A' as l_returnflag, 'F' as l_linestatus"
+    spark.range(40).selectExpr(*lines.split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    loads = tables.stored_loads(spark, str(tmp_path))
+    for stored, part in zip(loads, (tables.FIRST_LOAD, tables.SECOND_LOAD), strict=True):
+        assert rows(stored.df) == rows(tables.connections(spark, str(tmp_path), part)) != []
+        assert stored.df.dtypes == tables.connections(spark, str(tmp_path), part).dtypes
+    written = []
+    monkeypatch.setattr(graph_source, "materialize", lambda df, label: written.append(label))
+    later = upsert_graph(write_graph(loads[0], f"{tmp_path}/graph"), loads[1])
+    assert written == [] and later.loads == 1
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(hub_join, "CELL_ROWS", 100)
+    for count, ranges in ((400, 4), (5_000, 50)):
+        found = edge_operators.in_ranges(spark.range(count).withColumnRenamed("id", "src"), ["src"])
+        assert found.rdd.getNumPartitions() <= ranges and found.count() == count
+    assert found.rdd.getNumPartitions() == 50
