@@ -303,3 +303,23 @@ def test_recursive_sql_lists_the_same_trails(spark):
         select root, hops, tip from t""")
     paths = hops.path_preview(hops.k_hop_downstream(spark.table("e"), k=3))
     assert rows(paths, "root_id", "hops", "end") == rows(listed)
+
+
+@pytest.mark.parametrize(("cell_rows", "pack_roots"), [(1_000_000, 4096), (1_000_000, 2), (20, 3), (1_000, 4096)])
+def test_circuits_of_every_neuron_against_brute_force(spark, monkeypatch, cell_rows, pack_roots):
+    """Lists of roots in one or many parts, with a hub cut or not, repeated rows and null ids."""
+    monkeypatch.setattr(hub_join, "CELL_ROWS", cell_rows)
+    monkeypatch.setattr(hops, "PACK_ROOTS", pack_roots)
+    edges = random_edges(5)
+    edges += edges[::7]
+    odd = [(None, 1, "A", 9), (2, None, "A", 9), (None, None, "B", 9), (900, 900, "A", 9), (901, 902, "A", 1)]
+    df = edge_table(spark, edges + odd).cache()
+    usable = [e for e in [*edges, odd[3]] if e[3] >= 4]
+    known = eg.degrees(df.where("src is not null and dst is not null"))
+    columns = ["root_id", "source_root_id", "target_root_id", "neuropil", "syn_count"]
+    for k, degrees in ((1, known), (2, None), (3, known)):
+        near = {r: brute_nodes(usable, r, k) for r in {n for e in usable for n in e[:2]}}
+        inside = rows(hops.circuit(df, None, k, EdgeFilter(threshold=4), degrees=degrees), *columns)
+        expected = [(r, *e) for r in near for e in usable if e[0] in near[r] and e[1] in near[r]]
+        assert inside == sorted(expected, key=repr)
+    df.unpersist()

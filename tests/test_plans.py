@@ -110,3 +110,13 @@ def test_reached_neurons_are_combined_in_tasks_of_bounded_size(spark, monkeypatc
     sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == found.distinct().count() > 50_000
     assert max(sizes) <= 4 * 2_000
+
+
+def test_circuits_shuffle_lists_of_roots(spark, monkeypatch):
+    """Not a row for each root and edge, of which there are many times more than edges."""
+    monkeypatch.setattr(hub_join, "CELL_ROWS", 2_000)
+    edges = even_edges(spark, 300)
+    found = hops.circuit(edges, k=2, degrees=eg.degrees(edges))
+    text = plan(found)
+    assert "array_intersect" in text and "hashpartitioning(root_id" not in text
+    assert found.count() > 20 * edges.count()
