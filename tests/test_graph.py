@@ -323,3 +323,18 @@ def test_circuits_of_every_neuron_against_brute_force(spark, monkeypatch, cell_r
         expected = [(r, *e) for r in near for e in usable if e[0] in near[r] and e[1] in near[r]]
         assert inside == sorted(expected, key=repr)
     df.unpersist()
+
+
+def test_paths_as_text(spark):
+    """The texts are those of the listed nodes and edges, nulls included."""
+    edges = random_edges(3)
+    df = edge_table(spark, [*edges, (None, 1, "A", 9), (2, None, "A", 9), (0, 1, None, None)])
+    df = df.withColumn("dominant_nt", F.when(F.col("syn_count") > 5, "GABA,Dopamine")).withColumn(
+        "dominant_score", F.when(F.col("syn_count") > 3, F.col("syn_count") / 8)
+    )
+    nodes = F.array_join(F.col("nodes").cast("array<string>"), ">").alias("nodes")
+    steps = F.array_join(F.col("edges").cast("array<string>"), ";").alias("edges")
+    for operator in (hops.k_hop_downstream, hops.k_hop_upstream):
+        for roots, k in ((None, 2), ([0, 3], 3), ([77], 2)):
+            listed = operator(df, roots, k).select("root_id", "hops", nodes, steps)
+            assert rows(operator(df, roots, k, text=True)) == rows(listed)

@@ -120,3 +120,11 @@ def test_circuits_shuffle_lists_of_roots(spark, monkeypatch):
     text = plan(found)
     assert "array_intersect" in text and "hashpartitioning(root_id" not in text
     assert found.count() > 20 * edges.count()
+
+
+def test_edges_are_worded_once(spark):
+    """Below the join: as text, a trail only joins the words of its edges."""
+    edges = even_edges(spark, 100)
+    text = plan(hops.k_hop_downstream(edges, k=2, text=True).where("hops = 2"))
+    above = text[: text.index("Join")]
+    assert "concat_ws" in above and "struct" not in above
